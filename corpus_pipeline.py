@@ -1,4 +1,8 @@
-"""The corpus pipeline: five stages over ``documents``, each written and read again."""
+"""The corpus pipeline: five stages over ``documents``, each written and read again.
+
+Every stage applies one operator of ``walkframe.llm`` to all that the stage before
+kept; all but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
@@ -6,22 +10,45 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from walkframe.llm.bpe import bpe_round_trip
-from walkframe.llm.simhash import near_deduplicate
+from walkframe.llm import bpe, mixing, pii, simhash, toxicity
 from walkframe.session import ensure_checkpoint_dir
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score below the threshold; the tagger learns from the labelled ones among ``docs``."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return toxicity.without_toxic(docs, toxicity.train(docs, labels))
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return near_deduplicate(docs)
+    """One document of each group of near-duplicates: the one with the smallest id."""
+    return simhash.near_deduplicate(docs)
+
+
+def surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data replaced in ``text``; ``n_chars`` follows the text."""
+    return pii.with_surrogates(docs).drop("n_entities")
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them; the one on a source's budget is cut to the words taken."""
+    return mixing.mixed_documents(docs)
 
 
-def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bpe_round_trip(docs)
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of the encoded and decoded texts."""
+    return bpe.bpe_round_trip(docs)
 
 
-STAGES = [("near_dedup", near_dedup), ("byte_bpe", byte_bpe)]
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_dedup", near_dedup),
+    ("surrogates", surrogates),
+    ("mix", mix_sources),
+    ("bpe", encode),
+]
 
-#: SQL can't express the trained tagger, the union of near-duplicates by a chain of links, or BPE.
+#: SQL can't express the trained tagger, near-duplicates through chains of links, or BPE.
 ORACLE_SQL = None
 
 
@@ -30,9 +57,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     ensure_checkpoint_dir(spark)
     base = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, stage) in enumerate(STAGES):
-        out = stage(spark, docs, sf_dir)
-        if k == len(STAGES) - 1:
-            return out
-        out.write.parquet(f"{base}/{k}-{name}")
+    for k, (name, stage) in enumerate(STAGES[:-1]):
+        stage(spark, docs, sf_dir).write.parquet(f"{base}/{k}-{name}")
         docs = spark.read.parquet(f"{base}/{k}-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

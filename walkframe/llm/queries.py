@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from walkframe.llm import bpe, mixing, pii, simhash
+from walkframe.llm import bpe, mixing, pii, quality, simhash, toxicity
 
-MODULES = (mixing, pii, bpe, simhash)
+MODULES = (mixing, pii, toxicity, bpe, quality, simhash)
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in MODULES for name, sql in m.ORACLE_SQL.items()}
