@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from walkframe.llm import bpe, html, mixing, pii, quality, simhash, toxicity
+from walkframe.llm import bpe, html, mixing, pii, quality, simhash, toxicity, vectors
 
-MODULES = (html, mixing, pii, toxicity, bpe, quality, simhash)
+MODULES = (html, mixing, pii, toxicity, bpe, quality, vectors, simhash)
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in MODULES for name, sql in m.ORACLE_SQL.items()}
