@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -56,6 +57,12 @@ def stored(df: DataFrame) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Let shuffle files of finished queries go: Spark drops them once the driver has collected their references."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Let shuffle files of finished queries go.
+
+    Spark drops them in the background once the driver's garbage collector has seen
+    that nothing refers to their stages; references that Python held go in a second turn.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(1)
