@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,9 +35,10 @@ PREFIX = 24
 #: Bytes of text in a group (a task's unit of work), and whose prefixes share a bucket of round 1.
 GROUP_BYTES = 16 << 20
 BUCKET_BYTES = 32 << 20
-#: Windows handled at a time within a group.
-STEP = 1 << 21
+#: Windows handled at a time within a group: arrays that stay in a core's cache.
+STEP = 1 << 18
 A, B, C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F))
+LOW32 = (1 << 32) - 1
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -46,93 +48,109 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+@lru_cache(maxsize=8)
+def byte_values(seed: int) -> np.ndarray:
+    """A fixed 64-bit number for each byte."""
+    return mix((np.arange(256, dtype=np.uint64) + np.uint64(seed) * np.uint64(256) + np.uint64(1)) * A)
+
+
 def prefix_ranks(x: np.ndarray, length: int, seed: int) -> np.ndarray:
     """Fingerprints of the ``length`` bytes from each position, by doubling: rank pairs at offsets 1, 2, 4, ..."""
-    h = mix((x.astype(np.uint64) + np.uint64(seed)) * A)
-    size, out, have = 1, None, 0
+
+    def pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        h = a * C
+        h += b
+        h ^= h >> np.uint64(32)
+        return h
+
+    h, size, out, have = byte_values(seed)[x], 1, None, 0
     while True:
         if length & size:
-            out, have = (h, size) if out is None else (mix(out[: len(h) - have] * C + h[have:]) if len(h) > have else h[:0], have + size)
+            n = max(0, len(h) - have)
+            out, have = (h, size) if out is None else (pair(out[:n], h[have : have + n]), have + size)
         if 2 * size > length:
-            return out[: max(0, len(x) - length + 1)]
-        h = mix(h[:-size] * C + h[size:]) if len(h) > size else h[:0]
+            return mix(out[: max(0, len(x) - length + 1)])
+        h = pair(h[:-size], h[size:]) if len(h) > size else h[:0]
         size *= 2
 
 
 def sliding_min(a: np.ndarray, width: int) -> np.ndarray:
-    """Minimum of each ``width`` neighbours, by running minima from both ends of blocks."""
-    n = len(a) - width + 1
+    """Minimum of each ``width`` neighbours, by minima of 1, 2, 4, ... neighbours."""
+    n, size = len(a) - width + 1, 1
     if n <= 0:
         return a[:0]
-    padded = np.full(-(-len(a) // width) * width, np.iinfo(np.uint64).max, dtype=np.uint64)
-    padded[: len(a)] = a
-    blocks = padded.reshape(-1, width)
-    ahead = np.minimum.accumulate(blocks, axis=1).ravel()
-    back = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
-    return np.minimum(back[:n], ahead[width - 1 : width - 1 + n])
+    while 2 * size <= width:
+        a, size = np.minimum(a[:-size], a[size:]), 2 * size
+    return np.minimum(a[:n], a[width - size : width - size + n])
 
 
 class Group:
-    """The distinct texts of one group, joined; a class of equal texts is known by its smallest doc_id."""
+    """The distinct texts of one group, joined in the order of doc_id."""
 
     def __init__(self, t: pa.Table) -> None:
         rows = sorted(zip(t.column("doc_id").to_pylist(), t.column("key").to_pylist(), range(len(t))))
         text = t.column("text").combine_chunks()
-        seen: set[str] = set()
-        keep = [(d, i) for d, k, i in rows if not (k in seen or seen.add(k))]
-        parts = [text[i].as_py() for _, i in keep]
-        self.number = t.column("grp")[0].as_py() if len(t) else 0
-        self.docs = np.array([d for d, _ in keep], dtype=np.int64)
-        self.keys = [t.column("key")[i].as_py() for _, i in keep]
+        keep = [r for k, r in enumerate(rows) if not k or r[:2] != rows[k - 1][:2]]
+        parts = [text[i].as_py() for _, _, i in keep]
+        self.docs = np.array([d for d, _, _ in keep], dtype=np.int64)
+        self.keys = [k for _, k, _ in keep]
         self.starts = np.cumsum([0] + [len(x) for x in parts])
         self.bytes = np.frombuffer(b"".join(parts), dtype=np.uint8)
+        # texts that share a doc_id are told apart by a number, 0 for all others
+        self.first = np.searchsorted(self.docs, self.docs)
+        self.twin = np.arange(len(self.docs)) - self.first
 
-    def place(self, which: np.ndarray) -> np.ndarray:
-        """Where a text is found again: its group, and its number in there."""
-        return (np.int64(self.number) << 32) | which.astype(np.int64)
+    def at(self, which: np.ndarray, offset: np.ndarray) -> np.ndarray:
+        return (self.twin[which] << 32) | offset
+
+    def find(self, doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(text, position in the joined texts) of places given by doc_id and ``at``."""
+        which = np.searchsorted(self.docs, doc) + (at >> 32)
+        return which, self.starts[which] + (at & LOW32)
 
     def anchors(self) -> Iterator[tuple[np.ndarray, ...]]:
         """Chunks of (text, prefix rank, anchor, first window, last window); positions are in the joined texts."""
         total = len(self.bytes)
-        ends = np.repeat(self.starts[1:], np.diff(self.starts))
         low = np.uint64((1 << 24) - 1)
         for at in range(0, max(0, total - LENGTH + 1), STEP):
             x = self.bytes[at : at + STEP + LENGTH - 1]
             ranks = prefix_ranks(x, PREFIX, 1)
             # the smallest rank, and of equal ones the last: position counts down in the low bits
-            packed = (ranks & ~low) | (low - np.arange(len(ranks), dtype=np.uint64))
+            packed = ranks & ~low
+            packed |= low - np.arange(len(ranks), dtype=np.uint64)
             least = sliding_min(packed, LENGTH - PREFIX + 1)
-            first = np.arange(at, at + len(least))
-            inside = first + LENGTH <= ends[at : at + len(least)]
-            anchor = (low - (least & low)).astype(np.int64)
-            first, anchor = first[inside], anchor[inside]
+            inside = np.ones(len(least), dtype=bool)
+            ends = self.starts[np.searchsorted(self.starts, at + 1) : np.searchsorted(self.starts, at + len(least) + LENGTH)]
+            across = (ends[:, None] - np.arange(1, LENGTH)[None, :] - at).ravel()
+            inside[across[(across >= 0) & (across < len(inside))]] = False
+            first = np.flatnonzero(inside)
             if not len(first):
                 continue
+            anchor = (low - (least[first] & low)).astype(np.int64)
             new = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (first[1:] != first[:-1] + 1)]))
-            last = first[np.append(new[1:], len(first)) - 1]
-            anchor, first = anchor[new], first[new]
+            last = first[np.append(new[1:], len(first)) - 1] + at
+            anchor, first = anchor[new], first[new] + at
             yield np.searchsorted(self.starts, first, side="right") - 1, ranks[anchor], anchor + at, first, last
 
 
-def buckets_of(group: Group, buckets: int) -> tuple[list[tuple[np.ndarray, ...]], dict[int, tuple[np.ndarray, np.ndarray]]]:
-    """All anchors, and of each bucket the sorted distinct 32-bit ranks and whether two texts have them."""
+def bucket_keys(rank: np.ndarray, buckets: int) -> np.ndarray:
+    """Bucket of round 1 in the high half, 32 bits of the rank in the low half."""
+    return ((rank % np.uint64(buckets)) << np.uint64(32)) | (rank >> np.uint64(32))
+
+
+def distinct_ranks(group: Group, buckets: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Of each bucket, the sorted distinct 32-bit ranks and whether two texts have them."""
     found = list(group.anchors())
     if not found:
-        return [], {}
-    which, rank = (np.concatenate([f[i] for f in found]) for i in (0, 1))
-    bucket = (rank % np.uint64(buckets)).astype(np.int64)
-    short = (rank >> np.uint64(32)).astype(np.uint32)
-    order = np.lexsort((which, short, bucket))
-    b, s, w = bucket[order], short[order], which[order]
-    new = np.concatenate([[True], (b[1:] != b[:-1]) | (s[1:] != s[:-1])])
-    at = np.flatnonzero(new)
-    ends = np.append(at[1:], len(b)) - 1
-    several = w[at] != w[ends]
-    out = {}
-    for k in np.unique(b[at]):
-        of = b[at] == k
-        out[int(k)] = (s[at][of], several[of])
-    return found, out
+        return {}
+    which, key = np.concatenate([f[0] for f in found]), bucket_keys(np.concatenate([f[1] for f in found]), buckets)
+    order = np.argsort(key, kind="stable")  # texts come in order, so they stay sorted within a key
+    key, which = key[order], which[order]
+    at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    several = which[at] != which[np.append(at[1:], len(key)) - 1]
+    key = key[at]
+    edges = np.searchsorted(key, np.arange(buckets + 1, dtype=np.uint64) << np.uint64(32))
+    return {b: (key[s:e].astype(np.uint32), several[s:e]) for b, (s, e) in enumerate(zip(edges[:-1], edges[1:])) if e > s}
 
 
 def empty(schema: pa.Schema) -> pa.Table:
@@ -140,21 +158,20 @@ def empty(schema: pa.Schema) -> pa.Table:
 
 
 BLOBS = "bucket int, grp int, ranks binary, several binary"
-BLOBS_PA = pa.schema([("bucket", pa.int32()), ("grp", pa.int32()), ("ranks", pa.binary()), ("several", pa.binary())])
 REPLY = "grp int, bucket int, shared binary"
 REPLY_PA = pa.schema([("grp", pa.int32()), ("bucket", pa.int32()), ("shared", pa.binary())])
-RANKED = "rank long, wide long, doc_id long, place long, lo int, hi int"
-RANKED_PA = pa.schema([("rank", pa.int64()), ("wide", pa.int64()), ("doc_id", pa.int64()), ("place", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32())])
-WINDOWS = "rank long, wide long, doc_id long, place long, lo int"
-WINDOWS_PA = pa.schema([("rank", pa.int64()), ("wide", pa.int64()), ("doc_id", pa.int64()), ("place", pa.int64()), ("lo", pa.int32())])
-RESULT = "key string, n_removed long, n_spans long, kept_sha256 string"
-RESULT_PA = pa.schema([("key", pa.string()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
+PAIRS = "rank long, wide long, local boolean, doc_id long, at long, n int"
+PAIRS_PA = pa.schema([("rank", pa.int64()), ("wide", pa.int64()), ("local", pa.bool_()), ("doc_id", pa.int64()), ("at", pa.int64()), ("n", pa.int32())])
+WINDOWS = "rank long, more int, doc_id long, at long"
+WINDOWS_PA = pa.schema([("rank", pa.int64()), ("more", pa.int32()), ("doc_id", pa.int64()), ("at", pa.int64())])
+RESULT = "doc_id long, key string, n_removed long, n_spans long, kept_sha256 string"
+RESULT_PA = pa.schema([("doc_id", pa.int64()), ("key", pa.string()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
 
 
 def send_ranks(buckets: int):
     def run(t: pa.Table) -> pa.Table:
         """Round 1, from a group: the distinct prefix ranks of its texts, by bucket."""
-        _, of = buckets_of(Group(t), buckets)
+        of = distinct_ranks(Group(t), buckets)
         grp = t.column("grp")[0].as_py() if len(t) else 0
         return pa.table(
             {
@@ -176,92 +193,111 @@ def shared_ranks(t: pa.Table) -> pa.Table:
         return empty(REPLY_PA)
     everything = np.sort(np.concatenate(ranks))
     twice = np.unique(np.concatenate([everything[1:][everything[1:] == everything[:-1]], *(r[s] for r, s in zip(ranks, several))]))
-    masks = [np.packbits(np.isin(r, twice, assume_unique=True)).tobytes() for r in ranks]
-    return pa.table({"grp": t.column("grp"), "bucket": t.column("bucket"), "shared": pa.array(masks, pa.binary())})
+    own = [r[np.isin(r, twice, assume_unique=True)].tobytes() for r in ranks]
+    return pa.table({"grp": t.column("grp"), "bucket": t.column("bucket"), "shared": pa.array(own, pa.binary())})
 
 
 INVERSE = np.uint64(pow(int(A), -1, 1 << 64))
 
 
+@lru_cache(maxsize=2)
+def powers(base: int, n: int) -> np.ndarray:
+    return np.concatenate([[np.uint64(1)], np.cumprod(np.full(n, np.uint64(base), dtype=np.uint64))])
+
+
 def wide_ranks(x: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     """Polynomial fingerprints of bytes lo..hi, the same wherever in ``x`` they are."""
-    n = len(x)
-    powers = np.concatenate([[np.uint64(1)], np.cumprod(np.full(n, A, dtype=np.uint64))])
-    inverse = np.concatenate([[np.uint64(1)], np.cumprod(np.full(n, INVERSE, dtype=np.uint64))])
-    values = mix((x.astype(np.uint64) + np.uint64(11)) * C)
-    sums = np.concatenate([[np.uint64(0)], np.cumsum(values * powers[:n])])
-    return mix((sums[hi] - sums[lo]) * inverse[lo])
+    up, down = (powers(int(p), STEP + 2 * LENGTH) for p in (A, INVERSE))
+    sums = np.concatenate([[np.uint64(0)], np.cumsum(byte_values(2)[x] * up[: len(x)])])
+    return mix((sums[hi] - sums[lo]) * down[lo])
 
 
 def send_pairs(buckets: int):
     def run(t: pa.Table, replies: pa.Table) -> pa.Table:
-        """Round 2, from a group: (prefix rank, rank of all its windows) of each anchor that isn't unique."""
+        """Round 2, from a group: (prefix rank, rank of all its windows) of each anchor that isn't unique.
+
+        Where the group itself has the pair in an earlier text, that is settled here;
+        the row is sent on as ``local``, under a rank that spreads it.
+        """
         if not len(t) or not len(replies):
-            return empty(RANKED_PA)
+            return empty(PAIRS_PA)
         group = Group(t)
-        found, of = buckets_of(group, buckets)
-        shared: dict[int, np.ndarray] = {}
-        for b, mask in zip(replies.column("bucket").to_pylist(), replies.column("shared").to_pylist()):
-            ranks = of[b][0]
-            shared[b] = ranks[np.unpackbits(np.frombuffer(mask, dtype=np.uint8), count=len(ranks)).astype(bool)]
-        out: list[list[np.ndarray]] = [[] for _ in range(6)]
-        for which, rank, anchor, first, last in found:
-            bucket, short = (rank % np.uint64(buckets)).astype(np.int64), (rank >> np.uint64(32)).astype(np.uint32)
-            keep = np.zeros(len(rank), dtype=bool)
-            order = np.argsort(bucket, kind="stable")
-            edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            for b, ranks in shared.items():
-                rows = order[edges[b] : edges[b + 1]]
-                keep[rows] = np.isin(short[rows], ranks)
+        shared = np.sort(
+            np.concatenate(
+                [
+                    (np.uint64(b) << np.uint64(32)) | np.frombuffer(x, dtype=np.uint32).astype(np.uint64)
+                    for b, x in zip(replies.column("bucket").to_pylist(), replies.column("shared").to_pylist())
+                ]
+            )
+        )
+        if not len(shared):
+            return empty(PAIRS_PA)
+        out: list[list[np.ndarray]] = [[] for _ in range(5)]
+        for which, rank, anchor, first, last in group.anchors():
+            key = bucket_keys(rank, buckets)
+            keep = shared[np.minimum(np.searchsorted(shared, key), len(shared) - 1)] == key
             if not keep.any():
                 continue
             which, rank, anchor, first, last = (x[keep] for x in (which, rank, anchor, first, last))
             lo, hi = int(first[0]), int(last[-1]) + LENGTH
             wide = wide_ranks(group.bytes[lo:hi], first - lo, last + LENGTH - lo)
             wide ^= mix(((last - first) << 8 | (anchor - first)).astype(np.uint64) * A)
-            start = group.starts[which]
-            columns = (rank.view(np.int64), wide.view(np.int64), group.docs[which], group.place(which), (first - start).astype(np.int32), (last - start).astype(np.int32))
-            for o, v in zip(out, columns):
+            at = group.at(which, first - group.starts[which])
+            for o, v in zip(out, (rank, wide, which, at, (last - first).astype(np.int32))):
                 o.append(v)
-        return pa.table([np.concatenate(o) for o in out], schema=RANKED_PA) if out[0] else empty(RANKED_PA)
+        if not out[0]:
+            return empty(PAIRS_PA)
+        rank, wide, which, at, n = (np.concatenate(o) for o in out)
+        doc = group.docs[which]
+        order = np.lexsort((np.arange(len(rank)), mix(rank * C) ^ wide))
+        same = np.concatenate([[False], (rank[order][1:] == rank[order][:-1]) & (wide[order][1:] == wide[order][:-1])])
+        start = np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))
+        local = np.zeros(len(order), dtype=bool)
+        local[order] = doc[order] > doc[order][start]
+        rank = np.where(local, mix((doc ^ at).astype(np.uint64) * A), rank)
+        return pa.table([rank.view(np.int64), wide.view(np.int64), local, doc, at, n], schema=PAIRS_PA)
 
     return run
 
 
 def send_windows(t: pa.Table, asked: pa.Table) -> pa.Table:
-    """Round 3, from a group: (prefix rank, window rank) of each window that round 2 left open."""
+    """Round 3, from a group: (prefix rank, window rank) of each window that round 2 left open, in 96 bits."""
     if not len(t) or not len(asked):
         return empty(WINDOWS_PA)
     group = Group(t)
-    which = asked.column("place").to_numpy() & ((1 << 32) - 1)
-    lo, hi = asked.column("lo").to_numpy(), asked.column("hi").to_numpy()
-    n = hi - lo + 1
+    doc, at, n = (asked.column(c).to_numpy() for c in ("doc_id", "at", "n"))
+    n = n.astype(np.int64) + 1
     each = np.repeat(np.arange(len(n)), n)
-    at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + lo[each]
-    place = at + group.starts[which][each]
-    out = np.empty(len(place), dtype=np.uint64)
-    for s in range(0, len(group.bytes), STEP):  # ranks of 50-byte windows, a chunk of positions at a time
-        here = (place >= s) & (place < s + STEP)
-        if here.any():
-            out[here] = prefix_ranks(group.bytes[s : s + STEP + LENGTH - 1], LENGTH, 3)[place[here] - s]
-    which = which[each]
-    return pa.table([asked.column("rank").to_numpy()[each], out.view(np.int64), group.docs[which], group.place(which), at.astype(np.int32)], schema=WINDOWS_PA)
+    shift = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    place = group.find(doc, at)[1][each] + shift
+    order = np.argsort(place, kind="stable")
+    rank = np.empty(len(place), dtype=np.uint64)
+    edges = np.searchsorted(place[order], np.arange(0, len(group.bytes) + STEP, STEP))
+    for s, (lo, hi) in enumerate(zip(edges[:-1], edges[1:])):  # a chunk of positions at a time
+        if hi > lo:
+            rows = order[lo:hi]
+            rank[rows] = prefix_ranks(group.bytes[s * STEP : (s + 1) * STEP + LENGTH - 1], LENGTH, 3)[place[rows] - s * STEP]
+    prefix = asked.column("rank").to_numpy().view(np.uint64)[each]
+    more = (mix(prefix * C) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+    return pa.table([(rank ^ prefix).view(np.int64), more, doc[each], at[each] + shift], schema=WINDOWS_PA)
 
 
 def remove(t: pa.Table, repeats: pa.Table) -> pa.Table:
     """Of each text of a group: what is left without the bytes of its repeated windows."""
     group = Group(t)
-    covered = np.zeros(len(group.bytes) + 1, dtype=np.int64)
+    covered = np.zeros(len(group.bytes) + 1, dtype=np.int32)
     if len(repeats):
-        start = group.starts[repeats.column("place").to_numpy() & ((1 << 32) - 1)]
-        np.add.at(covered, start + repeats.column("lo").to_numpy(), 1)
-        np.add.at(covered, start + repeats.column("hi").to_numpy() + LENGTH, -1)
-    gone = np.cumsum(covered[:-1]) > 0
+        _, place = group.find(repeats.column("doc_id").to_numpy(), repeats.column("at").to_numpy())
+        np.add.at(covered, place, 1)
+        np.add.at(covered, place + repeats.column("n").to_numpy() + LENGTH, -1)
+    gone = np.cumsum(covered[:-1], dtype=np.int32) > 0
     rows = []
-    for key, s, e in zip(group.keys, group.starts[:-1], group.starts[1:]):
+    for doc, key, s, e in zip(group.docs.tolist(), group.keys, group.starts[:-1], group.starts[1:]):
         off = gone[s:e]
-        spans = int(np.count_nonzero(off[1:] & ~off[:-1]) + (len(off) > 0 and bool(off[0])))
-        rows.append((key, int(off.sum()), spans, hashlib.sha256(group.bytes[s:e][~off].tobytes()).hexdigest()))
+        if not off.any():
+            continue  # nothing removed: the digest of the text is known
+        spans = int(np.count_nonzero(off[1:] & ~off[:-1])) + bool(off[0])
+        rows.append((doc, key, int(off.sum()), spans, hashlib.sha256(group.bytes[s:e][~off].tobytes()).hexdigest()))
     return pa.table([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(RESULT_PA)], schema=RESULT_PA)
 
 
@@ -294,50 +330,50 @@ def repeated_bytes_removed(docs: DataFrame) -> DataFrame:
     ids = cut(rows.select("doc_id", "key", F.octet_length("text").cast("long").alias("n_bytes")))
     total = ids.agg(F.sum("n_bytes")).first()[0] or 0
     groups, buckets = max(1, -(-total // GROUP_BYTES)), max(1, -(-total // BUCKET_BYTES))
+    group_of = F.pmod(F.xxhash64("doc_id"), F.lit(groups)).cast("int").alias("grp")
     texts = (
         rows.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= LENGTH))
         .mapInArrow(one_of_each, "doc_id long, key string, text binary")
-        .withColumn("grp", F.pmod(F.xxhash64("key"), F.lit(groups)).cast("int"))
+        .withColumn("grp", group_of)
         .repartition(groups, "grp")
     )
     by_group = texts.groupBy("grp")
-    group_of = F.shiftright("place", 32).cast("int").alias("grp")
     # round 1
     ranks = by_group.applyInArrow(send_ranks(buckets), BLOBS)
     replies = ranks.groupBy("bucket").applyInArrow(shared_ranks, REPLY)
-    # round 2
-    pairs = by_group.cogroup(replies.groupBy("grp")).applyInArrow(send_pairs(buckets), RANKED)
-    pairs = stored(pairs)
-    release(spark)
-    classes = pairs.groupBy("rank", "wide").agg(
-        F.min("doc_id").alias("first"), F.min(F.struct("doc_id", "place", "lo", "hi")).alias("at")
+    # round 2: a rank has a row for each group and context at most
+    pairs = by_group.cogroup(replies.groupBy("grp")).applyInArrow(send_pairs(buckets), PAIRS).repartition("rank")
+    in_order = W.partitionBy("rank", "wide").orderBy("doc_id", "at")
+    judged = (
+        pairs.withColumn("first", F.first("doc_id").over(in_order))
+        .withColumn("nth", F.row_number().over(in_order))
+        .withColumn("a", F.min("first").over(W.partitionBy("rank")))
+        .withColumn("b", F.max("first").over(W.partitionBy("rank")))
     )
-    classes = stored(classes)
-    repeats = pairs.join(classes.select("rank", "wide", "first"), ["rank", "wide"]).where("doc_id > first").select("place", "lo", "hi")
-    open_ = classes.groupBy("rank").agg(F.min("first").alias("a"), F.max("first").alias("b")).where("a < b").select("rank")
-    asked = classes.join(open_, "rank").select("rank", "at.*")
-    repeats, asked = stored(repeats), stored(asked)
+    repeat = F.col("local") | (F.col("doc_id") > F.col("first"))
+    asked = ~F.col("local") & (F.col("nth") == 1) & (F.col("a") < F.col("b"))
+    judged = stored(judged.where(repeat | asked).select(repeat.alias("repeat"), F.when(~repeat, F.col("rank")).alias("rank"), "doc_id", "at", "n"))
     release(spark)
     # round 3
-    windows = by_group.cogroup(asked.groupBy(group_of)).applyInArrow(send_windows, WINDOWS)
-    first = F.min("doc_id").over(W.partitionBy("rank", "wide"))
-    more = windows.withColumn("first", first).where("doc_id > first").select("place", "lo", F.col("lo").alias("hi"))
-    kept = by_group.cogroup(repeats.union(more).groupBy(group_of)).applyInArrow(remove, RESULT)
+    asked = judged.where(~F.col("repeat")).select("rank", "doc_id", "at", "n", group_of)
+    windows = by_group.cogroup(asked.groupBy("grp")).applyInArrow(send_windows, WINDOWS)
+    first = F.min("doc_id").over(W.partitionBy("rank", "more"))
+    open_repeats = windows.withColumn("first", first).where("doc_id > first").select("doc_id", "at", F.lit(0).alias("n"))
+    open_repeats = stored(open_repeats)
+    release(spark)
+    repeats = judged.where("repeat").select("doc_id", "at", "n").union(open_repeats).select("doc_id", "at", "n", group_of)
+    kept = by_group.cogroup(repeats.groupBy("grp")).applyInArrow(remove, RESULT)
     # copies of a text go whole, but for the first
     of_text = ids.groupBy("key").agg(F.min("doc_id").alias("rep"))
-    i, o = ids.alias("i"), of_text.alias("o")
-    named = i.join(o, "key").select("doc_id", "key", "n_bytes", F.col("rep").alias("rep"))
-    whole = F.col("doc_id").isNotNull() & (F.col("doc_id") > F.col("rep")) & (F.col("n_bytes") >= LENGTH)
-    mine = (F.col("doc_id") == F.col("rep")) & F.col("n_removed").isNotNull()
-    return (
-        named.join(kept, "key", "left")
-        .select(
-            "doc_id",
-            "n_bytes",
-            F.when(whole, F.col("n_bytes")).when(mine, F.col("n_removed")).otherwise(F.lit(0)).cast("long").alias("n_removed"),
-            F.when(whole, F.lit(1)).when(mine, F.col("n_spans")).otherwise(F.lit(0)).cast("long").alias("n_spans"),
-            F.when(whole, F.lit(hashlib.sha256(b"").hexdigest())).when(mine, F.col("kept_sha256")).otherwise(F.col("key")).alias("kept_sha256"),
-        )
+    named = ids.join(of_text, "key")
+    whole = F.coalesce((F.col("doc_id") > F.col("rep")) & (F.col("n_bytes") >= LENGTH), F.lit(False))
+    cut_up = F.col("n_removed").isNotNull()
+    return named.join(kept, ["doc_id", "key"], "left").select(
+        "doc_id",
+        "n_bytes",
+        F.when(whole, F.col("n_bytes")).when(cut_up, F.col("n_removed")).otherwise(F.lit(0)).cast("long").alias("n_removed"),
+        F.when(whole, F.lit(1)).when(cut_up, F.col("n_spans")).otherwise(F.lit(0)).cast("long").alias("n_spans"),
+        F.when(whole, F.lit(hashlib.sha256(b"").hexdigest())).when(cut_up, F.col("kept_sha256")).otherwise(F.col("key")).alias("kept_sha256"),
     )
 
 
