@@ -99,3 +99,15 @@ def record_lengths(visit: DataFrame) -> DataFrame:
     n = visit.groupBy("g").agg(F.count("*").alias("n"))
     both = n.union(n.select(F.col("g").bitwiseXOR(F.lit(1)).alias("g"), "n"))
     return both.groupBy("g").agg(F.sum("n").alias("len"))
+
+
+def encoded_records(records: DataFrame) -> DataFrame:
+    """``(g, code)``: each handle's record in bytes: its number of edges, edges (successors as differences), runs of edge ranks."""
+    from walkframe.functions.bytecode import encode_integers, encode_runs
+
+    edges = record_edges(records).groupBy("g").agg(F.sort_array(F.collect_list(F.struct("edge_rank", "next_g", "next_off"))).alias("e"))
+    runs = record_runs(records).groupBy("g").agg(F.sort_array(F.collect_list(F.struct("run_no", "value", "len"))).alias("r"))
+    step = F.transform("e", lambda x, i: F.array(x["next_g"] - F.coalesce(F.get("e", i - 1)["next_g"], F.lit(0)), x["next_off"]))
+    head = F.concat(F.array(F.size("e").cast("long")), F.flatten(step))
+    both = edges.join(runs, "g").select("g", head.alias("head"), "r", F.size("e").cast("long").alias("sigma"))
+    return both.select("g", F.concat(encode_integers("head"), encode_runs("r", F.col("sigma"))).alias("code"))
