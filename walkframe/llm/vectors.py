@@ -235,8 +235,8 @@ def op7_embedding_near_dedup(spark, sf_dir):
 # ---------------------------------------------------------------- exact top-k
 
 TOP = 10
-QUERY_BLOCK = 2048
-GROUP = 8192
+QUERY_BLOCK = 512
+GROUP = 2048
 #: The longest vectors, compared first to give every query a score to beat.
 HEAD = 4096
 SCALE = 1024
