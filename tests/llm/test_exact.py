@@ -173,7 +173,8 @@ def test_main_text(spark, data):
 def test_hosts_agree_on_a_path(spark, monkeypatch):
     # without votes, the short page's own best container is its list of teasers
     long = "<div class='story-7'><p>" + "many words of the article " * 20 + "</p></div><div class='teasers'><p>read this too</p></div>"
-    short = "<div class='story-8'><p>only a few words</p></div><div class='teasers'><p>read these</p></div>"
+    short = "<div class='story-8'><p>only a few words</p></div><div class='teasers'><p>read these, and all those, and some other things too</p></div>"
+    assert html.extract(f"<html><body>{short}</body></html>", []).startswith("read these")
     pages = spark.createDataFrame([(i, "http://h.org/x", f"<html><body>{long if i else short}</body></html>") for i in range(5)], "page_id long, url string, html string")
     for small in (html.SMALL, -1):  # with the paths broadcast, and by the salted join
         monkeypatch.setattr(html, "SMALL", small)

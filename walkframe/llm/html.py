@@ -1,12 +1,11 @@
 """Main text of web pages, by consensus paths of each host.
 
 Every page scores its containers: a block of text counts for the container it
-stands in, and half as much for each container around that. The best ones vote,
-with their score, for their generalised path (tags and classes from the root,
+stands in, and half as much for each container around that. The best one votes,
+with its score, for its generalised path (tags and classes from the root,
 without numbers). Votes are summed by host and path in Spark, and every page is
 extracted again from the elements on the best-voted path that it has. A page
-whose own best container holds far more text than any path of its host (another
-template) keeps its own.
+with none of its host's paths keeps its own best.
 """
 
 from __future__ import annotations
@@ -21,7 +20,7 @@ from pyspark.sql import DataFrame, functions as F, Window as W
 
 # HTML's element classes, and words in class names of what isn't the article.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style title textarea noscript template iframe svg math object select canvas audio video head".split())
+RAW = frozenset("script style title textarea noscript template iframe svg object select canvas audio video head".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html"
     " li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul br option".split()
@@ -225,25 +224,33 @@ class Page:
         return "\n".join(t for i in elements for _, t, _ in self.blocks(i))
 
 
-def ballot(source: str | None, votes: int = 3) -> list[tuple[str, float]]:
-    """The paths of a page's best containers and their scores, summed over elements on one path."""
-    page, by_path = Page(source or ""), {}
+def ranked_paths(page: Page) -> list[tuple[str, float]]:
+    """The paths of a page's containers and their scores, summed over the elements on a path, best first."""
+    by_path: dict[str, float] = {}
     for i, s in page.scores().items():
         by_path[page.path[i]] = by_path.get(page.path[i], 0.0) + s
-    return sorted(by_path.items(), key=lambda x: (-x[1], x[0]))[:votes]
+    return sorted(by_path.items(), key=lambda x: (-x[1], x[0]))
+
+
+def ballot(source: str | None) -> list[tuple[str, float]]:
+    """A page's vote: its best path, with its score."""
+    return ranked_paths(Page(source or ""))[:1]
+
 
+def extract(source: str | None, paths: list[str], least: float = 0.1) -> str:
+    """Text of the elements on the first of the host's paths that the page has; or of its own best container.
 
-def extract(source: str | None, paths: list[str], least: float = 0.5) -> str:
-    """Text of the elements on the first of the host's paths that the page has; or of its own best container."""
+    A path with a small share (``least``) of what the best one scores isn't taken, nor is
+    the page as a whole where it has a container of its own: other templates of the host
+    that have no container say nothing about this one.
+    """
     page = Page(source or "")
-    by_path: dict[str, float] = {}
-    for i, s in page.scores().items():
-        by_path[page.path[i]] = by_path.get(page.path[i], 0.0) + s
-    if not by_path:
+    scores = ranked_paths(page)
+    if not scores:
         return page.text([0])
-    top = max(by_path.values())
-    own = min(p for p, s in by_path.items() if s == top)
-    chosen = next((p for p in paths if by_path.get(p, -1.0) >= least * top), own)
+    (own, top), of = scores[0], dict(scores)
+    root = lambda p: p.count(">") < 2
+    chosen = next((p for p in paths if of.get(p, -1.0) >= least * top and (not root(p) or root(own))), own)
     return page.text(page.on_path(chosen))
 
 
@@ -284,7 +291,7 @@ def main_text(pages: DataFrame, keep: int = 16) -> DataFrame:
     * whole pages are read, at any length; repeated rows each come back;
     * an empty table gives an empty result; other columns are ignored, whatever their names.
 
-    Pages vote with a few short rows, summed before the shuffle, so a host with
+    Pages vote with a short row each, summed before the shuffle, so a host with
     any share of the pages is no hot key. The pages themselves aren't shuffled as
     long as the paths of all hosts are small (their size is checked).
     """
