@@ -243,9 +243,9 @@ def test_tag_array_files(spark, tmp_path, chopped):
 
 
 def test_tags_and_reference_samples(spark, chopped):
-    t = spark.createDataFrame([("gbwt", "Source", "x"), ("gbwt", "reference_samples", "sample nobody")], "scope string, key string, value string")
-    new = spark.createDataFrame([("gbwt", "SOURCE", "y")], "scope string, key string, value string")
-    assert rows(metadata.set_tags(t, new)) == [("gbwt", "reference_samples", "sample nobody"), ("gbwt", "source", "y")]
+    t = spark.createDataFrame([("index", "Source", "x"), ("index", "reference_samples", "sample nobody")], "scope string, key string, value string")
+    new = spark.createDataFrame([("index", "SOURCE", "y")], "scope string, key string, value string")
+    assert rows(metadata.set_tags(t, new)) == [("index", "reference_samples", "sample nobody"), ("index", "source", "y")]
     assert metadata.remove_tags(t, "source").count() == 1
     assert rows(metadata.reference_samples(chopped, True), "name") == [(names.GENERIC_SAMPLE,), ("sample",)]
     nobody = spark.createDataFrame([("nobody",), (names.GENERIC_SAMPLE,)], "name string")

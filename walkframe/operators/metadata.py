@@ -82,7 +82,7 @@ def remove_tags(tag: DataFrame, *keys: str) -> DataFrame:
 
 def reference_samples(graph: PathGraph, also_generic: bool = False) -> DataFrame:
     """``(ordinal, sample_id, name)`` in the order of the tag; names without a sample are left out, generic comes last."""
-    value = normalised_tags(graph.tag).where((F.col("scope") == "gbwt") & (F.col("key") == REFERENCE_SAMPLES))
+    value = normalised_tags(graph.tag).where((F.col("scope") == "index") & (F.col("key") == REFERENCE_SAMPLES))
     names = value.select(F.posexplode(F.split("value", " ")).alias("ordinal", "name"))
     if also_generic:
         last = graph.sample.where(F.col("name") == GENERIC_SAMPLE).select(F.lit(2**31 - 1).alias("ordinal"), "name")

@@ -10,10 +10,9 @@ from walkframe.functions import dna, handles, names
 from walkframe.model import PathGraph, names_of_paths
 from walkframe.operators import contigs, lcs, metadata, navigation, order, positions, search, segments, tags
 from walkframe.plans.base_sql import BASE, EDGES, ORDER
-from walkframe.sources import sinks
-from walkframe.sources.projection import event_graph, order_graph, segment_visits
-from walkframe.sources.projection import segments as all_segments
 from walkframe.session import cut
+from walkframe.sources import sinks
+from walkframe.sources.projection import event_graph, order_graph
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -154,9 +153,7 @@ def path_nodes_rev(g):
 SELECT path_id, array_to_string(list(g ORDER BY pos), ' ') AS walk, array_to_string(list(xor(g, 1) ORDER BY pos DESC), ' ') AS mirrored FROM fvisit GROUP BY path_id""")
 def path_array(g):
     a = navigation.path_arrays(g.visit)
-    return (
-        a.withColumn("m", handles.reverse_path("handles")).select("path_id", text("handles").alias("walk"), text("m").alias("mirrored"))
-    )
+    return a.withColumn("m", handles.reverse_path("handles")).select("path_id", text("handles").alias("walk"), text("m").alias("mirrored"))
 
 
 @over(event_graph, "SELECT seq_id, g, off FROM ord WHERE pos = 0", ORDER)
@@ -457,7 +454,7 @@ def duplicate_names(g):
     return metadata.duplicates(metadata.path_names(g), "pansn")
 
 
-TAGS = "(VALUES ('gbwt', 'reference_samples', 'c3 c7 c3 nobody c11 c20'), ('gbz', 'source', 'projection'))"
+TAGS = "(VALUES ('index', 'reference_samples', 'c3 c7 c3 nobody c11 c20'), ('graph', 'source', 'projection'))"
 
 
 @over(order_graph, f"SELECT * FROM {TAGS} t(scope, key, value)")
@@ -660,5 +657,3 @@ SELECT o_orderkey, round(CASE WHEN n >= 1099511627776 THEN n / 1099511627776.0::
 FROM (SELECT o_orderkey, (o_orderkey * o_orderkey * 1000)::DOUBLE AS n FROM orders)""",
     "top_subpaths": BASE + f", grams AS ({lead_gram(3, 'visit', 'seq_id')}) SELECT pattern, count(*)::BIGINT AS n FROM grams GROUP BY pattern ORDER BY n DESC, pattern LIMIT 100",
 }
-
-__all__ = ["ORACLE_SQL", "QUERIES", "all_segments", "segment_visits"]

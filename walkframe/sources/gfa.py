@@ -70,7 +70,7 @@ def read_gfa(spark: SparkSession, path: str, node_bp: int = 1024) -> PathGraph:
     visit = order_visits(steps.join(seg.select("name", "seg_id"), "name").select("path_id", "sv", "seg_id", "is_rev"), seg)
     used = visit.select(F.shiftright("g", 1).alias("node_id")).distinct()
     header = lines.where(F.col("value").startswith("H\t")).select(F.explode(F.slice(part, 2, 1000)).alias("f"))
-    refs = header.where(F.col("f").startswith("RS:Z:")).select(F.lit("gbwt").alias("scope"), F.lit("reference_samples").alias("key"), F.expr("substring(f, 6)").alias("value"))
+    refs = header.where(F.col("f").startswith("RS:Z:")).select(F.lit("index").alias("scope"), F.lit("reference_samples").alias("key"), F.expr("substring(f, 6)").alias("value"))
     return PathGraph(
         visit, node.join(used, "node_id", "left_semi"), None if by_number else seg, path_table,
         sample.select("sample_id", "name"), contig.select("contig_id", "name"), refs,

@@ -97,7 +97,7 @@ def order_graph(spark: SparkSession, sf_dir: str) -> PathGraph:
         key.alias("sample_id"), F.when(key == 0, GENERIC_SAMPLE).otherwise(F.concat(F.lit("c"), key.cast("string"))).alias("name")
     )
     contig = t("region").select(F.col("r_regionkey").cast("long").alias("contig_id"), F.col("r_name").alias("name"))
-    tag = spark.createDataFrame([("gbwt", "reference_samples", "c3 c7 c3 nobody c11 c20"), ("gbz", "Source", "projection")], "scope string, key string, value string")
+    tag = spark.createDataFrame([("index", "reference_samples", "c3 c7 c3 nobody c11 c20"), ("graph", "Source", "projection")], "scope string, key string, value string")
     return PathGraph(visit, nodes_of(segment, visit), segment, path, sample, contig, tag)
 
 
