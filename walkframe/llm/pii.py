@@ -43,7 +43,7 @@ def suspect(text: Column) -> Column:
     found = text.rlike("[0-9@]")
     for start in STARTS:
         found = found | text.contains(start)
-    return found
+    return F.coalesce(found, F.lit(False))
 
 
 # Syllables of surrogate names, by script, and the endings of given names by gender.
@@ -241,14 +241,14 @@ def with_surrogates(docs: DataFrame, key: str = "surrogate-key") -> DataFrame:
     * an empty table gives an empty result; a column of ``docs`` named ``n_entities`` is replaced,
       any other name is kept as it is.
 
-    Only rows with entities take part in the exchange that brings surrogates back by
-    row; a popular entity is one row of the mapping, and its occurrences are joined
-    once for each text.
+    Rows that can't hold an entity go straight through; only the others take part in
+    the exchange that brings surrogates back by text. A popular entity is one row of
+    the mapping, and its occurrences are joined once for each text.
     """
     own = [c for c in docs.columns if c != "n_entities"]
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("row"), F.col("text"))
-    keyed = rows.select("row", "text", F.md5(F.col("text").cast("binary")).alias("row_id"))
-    hits = keyed.where(suspect(F.col("text"))).select("row_id", F.regexp_extract_all("text", F.lit(ANY), F.lit(0)).alias("hits"))
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("row"), F.col("text"), F.md5(F.col("text").cast("binary")).alias("row_id"))
+    may = keyed.where(suspect(F.col("text")))
+    hits = may.select("row_id", F.regexp_extract_all("text", F.lit(ANY), F.lit(0)).alias("hits"))
     hits = cut(hits.where(F.size("hits") > 0).dropDuplicates(["row_id"]))
     occurrences = hits.select("row_id", F.posexplode("hits").alias("n", "entity"))
     by_row = (
@@ -258,15 +258,16 @@ def with_surrogates(docs: DataFrame, key: str = "surrogate-key") -> DataFrame:
     )
     between = F.split("text", ANY, -1)
     text = F.concat(F.array_join(F.transform("new", lambda x, i: F.concat(F.get(between, i), x["replacement"])), ""), F.element_at(between, -1))
+    changed = F.col("new").isNotNull()
     out = (
-        keyed.join(by_row, "row_id", "left")
-        .withColumn("n_entities", F.coalesce(F.size("new"), F.lit(0)).cast("long"))
-        .withColumn("n_entities", F.when(F.col("new").isNull(), F.lit(0)).otherwise(F.col("n_entities")).cast("long"))
-        .withColumn("text", F.when(F.col("new").isNull(), F.col("text")).otherwise(text))
+        may.join(by_row, "row_id", "left")
+        .withColumn("n_entities", F.when(changed, F.size("new")).otherwise(0).cast("long"))
+        .withColumn("text", F.when(changed, text).otherwise(F.col("text")))
     )
     value = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
-    kept = [F.when(F.col("new").isNull(), F.col(f"row.`{c}`")).otherwise(value[c]).alias(c) if c in value else F.col(f"row.`{c}`").alias(c) for c in own]
-    return out.select(*kept, "n_entities")
+    kept = [F.when(changed, value[c]).otherwise(F.col(f"row.`{c}`")).alias(c) if c in value else F.col(f"row.`{c}`").alias(c) for c in own]
+    through = keyed.where(~suspect(F.col("text"))).select(*[F.col(f"row.`{c}`").alias(c) for c in own], F.lit(0).cast("long").alias("n_entities"))
+    return through.union(out.select(*kept, "n_entities"))
 
 
 def op4_pii_surrogates(spark, sf_dir):
