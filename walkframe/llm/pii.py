@@ -18,7 +18,10 @@ from walkframe.session import cut
 
 # Patterns, in the order in which they are tried at a position.
 EMAIL = r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]++@[\p{L}\p{N}\-]+(?:\.[\p{L}\p{N}\-]+)*\.\p{L}{2,}"
-CREDENTIAL = r"(?<![\p{L}\p{N}_\-])(?:(?=[a-f]*[0-9])[0-9a-f]{32,}+|(?=[A-F]*[0-9])[0-9A-F]{32,}+|AKIA[0-9A-Z]{16}|(?:sk|pk|ghp|gho|xoxb)[-_][0-9A-Za-z_\-]{16,}+)(?![\p{L}\p{N}_\-])"
+CREDENTIAL = (
+    r"(?<![\p{L}\p{N}_\-])(?=[A-Za-z_\-]*[0-9])"
+    r"(?:[0-9a-f]{32,}+|[0-9A-F]{32,}+|AKIA[0-9A-Z]{16}|(?:sk|pk|ghp|gho|xoxb)[-_][0-9A-Za-z_\-]{16,}+)(?![\p{L}\p{N}_\-])"
+)
 IBAN = r"(?<![\p{L}\p{N}])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?(?![\p{L}\p{N}])"
 IP = r"(?<![\p{L}\p{N}.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![\p{L}\p{N}]|\.[0-9])"
 SSN = r"(?<![\p{L}\p{N}\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\p{L}\p{N}\-])"
@@ -34,8 +37,9 @@ PERSON = rf"(?<![\p{{L}}\p{{N}}])(?:{MALE}|{FEMALE})\.? \p{{Lu}}\p{{L}}+(?:[ \-]
 KINDS = (("email", EMAIL), ("credential", CREDENTIAL), ("iban", IBAN), ("ip", IP), ("ssn", SSN), ("card", CARD), ("phone", PHONE), ("person", PERSON))
 ANY = "|".join(f"(?:{p})" for _, p in KINDS)
 
-#: Without any of these in it, a text has no entity: a digit or @, the start of a key, an honorific.
-STARTS = ("AKIA", *(f"{p}{c}" for p in ("sk", "pk", "ghp", "gho", "xoxb") for c in "-_"), *f"{MALE}|{FEMALE}".split("|"))
+HONORIFICS = f"{MALE}|{FEMALE}".split("|")
+#: Without a digit, an @ or one of these in it, a text has no entity.
+STARTS = [h for h in HONORIFICS if not any(h != o and h.startswith(o) for o in HONORIFICS)]
 
 
 def suspect(text: Column) -> Column:
@@ -144,10 +148,9 @@ def atoms(entities: DataFrame) -> DataFrame:
     )
 
 
-def drawn(key: str) -> Column:
-    """The surrogate of (atom_kind, atom, attempt), canonical."""
-    kind, atom = F.col("atom_kind"), F.col("atom")
-    h = stream(key, kind, atom, F.col("attempt"))
+def drawn() -> Column:
+    """The surrogate of (atom_kind, atom, attempt), canonical, by the keyed digits ``h``."""
+    kind, atom, h = F.col("atom_kind"), F.col("atom"), F.col("h")
     at = F.instr(atom, "@")
     local = letters_and_digits(F.substring(atom, F.lit(1), at - 1), h)
     host = F.concat(F.lit("mail"), nibble(h, F.lit(250)), F.lit(".example."), F.element_at(F.array(F.lit("com"), F.lit("net"), F.lit("org")), nibble(h, F.lit(251)) % 3 + 1))
@@ -176,6 +179,12 @@ def drawn(key: str) -> Column:
     )
 
 
+def draw(atoms_: DataFrame, key: str) -> DataFrame:
+    """Add ``surrogate``; its digits are a column of their own, so each is hashed once."""
+    h = stream(key, F.col("atom_kind"), F.col("atom"), F.col("attempt"))
+    return atoms_.withColumn("h", h).withColumn("surrogate", drawn()).drop("h")
+
+
 def surrogates(found: DataFrame, key: str) -> DataFrame:
     """``(atom_kind, atom, surrogate)``: one row an atom, no surrogate twice in a kind, none an atom that occurs.
 
@@ -184,14 +193,14 @@ def surrogates(found: DataFrame, key: str) -> DataFrame:
     """
     all_atoms = cut(found.select("atom_kind", "atom").distinct())
     taken = all_atoms.select("atom_kind", F.col("atom").alias("surrogate"), F.lit(-1).alias("attempt"))
-    done = cut(all_atoms.withColumn("attempt", F.lit(0)).withColumn("surrogate", drawn(key)))
+    done = cut(draw(all_atoms.withColumn("attempt", F.lit(0)), key))
     for attempt in range(1, ATTEMPTS + 1):
         first = W.partitionBy("atom_kind", "surrogate").orderBy("attempt", "atom")
         marked = done.unionByName(taken, allowMissingColumns=True).withColumn("rank", F.row_number().over(first)).where("atom is not null")
         again = marked.where("rank > 1").select("atom_kind", "atom", F.lit(attempt).alias("attempt"))
         if again.isEmpty():
             return done.select("atom_kind", "atom", "surrogate")
-        done = cut(marked.where("rank = 1").select("atom_kind", "atom", "attempt", "surrogate").unionByName(again.withColumn("surrogate", drawn(key))))
+        done = cut(marked.where("rank = 1").select("atom_kind", "atom", "attempt", "surrogate").unionByName(draw(again, key)))
     first = W.partitionBy("atom_kind", "surrogate").orderBy("attempt", "atom")
     rank = F.row_number().over(first)
     return done.unionByName(taken, allowMissingColumns=True).withColumn("rank", rank).where("atom is not null").select(
