@@ -2,15 +2,58 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from walkframe.session import cut
 
+#: Edges that a task contracts at a time.
+CHUNK = 1 << 20
+
+
+def roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The smallest index connected with each of 0..n-1, by links (i, j)."""
+    label = np.arange(n)
+    while True:
+        low = np.minimum(label[i], label[j])
+        new = label.copy()
+        np.minimum.at(new, i, low)
+        np.minimum.at(new, j, low)
+        np.minimum.at(new, label[i], low)
+        np.minimum.at(new, label[j], low)
+        new = new[new]
+        if np.array_equal(new, label):
+            return label
+        label = new
+
+
+def contracted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of a task's edges, chunk by chunk: a star for each component, which connects the same nodes."""
+
+    def stars(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        u, v = (np.concatenate([b.column(k).to_numpy() for b in held]) for k in (0, 1))
+        ids, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+        root = roots(len(ids), at[: len(u)], at[len(u) :])
+        leaf = np.flatnonzero(root != np.arange(len(ids)))
+        return pa.RecordBatch.from_arrays([pa.array(ids[leaf]), pa.array(ids[root[leaf]])], ["u", "v"])
+
+    held, n = [], 0
+    for b in batches:
+        held, n = [*held, b], n + b.num_rows
+        if n >= CHUNK:
+            yield stars(held)
+            held, n = [], 0
+    if held:
+        yield stars(held)
+
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """Return ``(node, component)``; ``component`` is the smallest node reachable.
 
-    Every round is two aggregations and two joins over the edge list, whose size
+    Tasks first contract what they hold. Every round is then two aggregations and two joins over the edge list, whose size
     never grows, so the work is linear in the edges for each of the O(log n)
     rounds. A node's neighbours are never gathered in one row: its minimum comes
     from a (map-side combined) aggregation and goes back to the edges by a join,
@@ -21,8 +64,11 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     e = (
         edges.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v"))
         .where(F.col("u") != F.col("v"))
-        .distinct()
+        .select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v"))
     )
+    # each task leaves stars of what it has, and again with neighbours of near ids in one task
+    e = cut(e.mapInArrow(contracted, "u long, v long"))
+    e = e.repartitionByRange("v").mapInArrow(contracted, "u long, v long").distinct()
     e, before = cut(e), None
     while True:
         found = e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
