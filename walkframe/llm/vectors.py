@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from walkframe.operators.components import connected_components
+from walkframe.operators.components import connected_components, roots
 from walkframe.session import cut
 
 #: Vectors that the basis is fitted on, at most.
@@ -115,20 +115,6 @@ def linked_pairs(a: np.ndarray, b: np.ndarray, rotation: np.ndarray, threshold:
         yield i[ok], j[ok]
 
 
-def roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """The smallest index connected with each of n, by links (i, j)."""
-    label = np.arange(n)
-    while True:
-        low = np.minimum(label[i], label[j])
-        new = label.copy()
-        np.minimum.at(new, i, low)
-        np.minimum.at(new, j, low)
-        new = new[new]
-        if np.array_equal(new, label):
-            return label
-        label = new
-
-
 def compare_blocks(rotation: np.ndarray, threshold: float):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         """Of each vector with links: how many vectors it links with here, and one that it is connected with."""
