@@ -33,7 +33,7 @@ from walkframe.session import cut, release, stored
 LENGTH = 50
 PREFIX = 24
 #: Bytes of text in a group (a task's unit of work), and whose prefixes share a bucket of round 1.
-GROUP_BYTES = 16 << 20
+GROUP_BYTES = 8 << 20
 BUCKET_BYTES = 32 << 20
 #: Windows handled at a time within a group: arrays that stay in a core's cache.
 STEP = 1 << 18
@@ -290,7 +290,7 @@ def remove(t: pa.Table, repeats: pa.Table) -> pa.Table:
         _, place = group.find(repeats.column("doc_id").to_numpy(), repeats.column("at").to_numpy())
         np.add.at(covered, place, 1)
         np.add.at(covered, place + repeats.column("n").to_numpy() + LENGTH, -1)
-    gone = np.cumsum(covered[:-1], dtype=np.int32) > 0
+    gone = np.cumsum(covered, out=covered)[:-1] > 0
     rows = []
     for doc, key, s, e in zip(group.docs.tolist(), group.keys, group.starts[:-1], group.starts[1:]):
         off = gone[s:e]
