@@ -66,9 +66,9 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
         .where(F.col("u") != F.col("v"))
         .select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v"))
     )
-    # each task leaves stars of what it has, and again with neighbours of near ids in one task
+    # each task leaves stars of what it has, and again with neighbours of near ids in one task (a hub may be in several)
     e = cut(e.mapInArrow(contracted, "u long, v long"))
-    e = e.repartitionByRange("v").mapInArrow(contracted, "u long, v long").distinct()
+    e = e.repartitionByRange("v", "u").mapInArrow(contracted, "u long, v long").distinct()
     e, before = cut(e), None
     while True:
         found = e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
