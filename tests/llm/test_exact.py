@@ -128,6 +128,16 @@ def test_repeated_substrings_of_few_letters(spark, monkeypatch):
     assert got == brute_removed(rows)
 
 
+def test_repeated_substrings_at_every_place_of_a_context(spark):
+    rng = random.Random(3)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    a, licence, b, x, y = (word(n) for n in (120, 240, 120, 120, 120))
+    rows = [(5, x + licence + y), (9, a + licence + a + licence + a + licence + b), (12, a + licence + y)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: tuple(r)[1:] for r in substrings.repeated_bytes_removed(df).collect()}
+    assert got == brute_removed(rows)
+
+
 def test_cosine_and_top_k_over_many_blocks(spark):
     rng = np.random.default_rng(6)
     centres = rng.standard_normal((12, 16))

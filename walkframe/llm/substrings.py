@@ -343,15 +343,14 @@ def repeated_bytes_removed(docs: DataFrame) -> DataFrame:
     replies = ranks.groupBy("bucket").applyInArrow(shared_ranks, REPLY)
     # round 2: a rank has a row for each group and context at most
     pairs = by_group.cogroup(replies.groupBy("grp")).applyInArrow(send_pairs(buckets), PAIRS).repartition("rank")
-    in_order = W.partitionBy("rank", "wide").orderBy("doc_id", "at")
     judged = (
-        pairs.withColumn("first", F.first("doc_id").over(in_order))
-        .withColumn("nth", F.row_number().over(in_order))
+        pairs.withColumn("first", F.min("doc_id").over(W.partitionBy("rank", "wide")))
         .withColumn("a", F.min("first").over(W.partitionBy("rank")))
         .withColumn("b", F.max("first").over(W.partitionBy("rank")))
     )
     repeat = F.col("local") | (F.col("doc_id") > F.col("first"))
-    asked = ~F.col("local") & (F.col("nth") == 1) & (F.col("a") < F.col("b"))
+    # all places of a context in its first document: each may hold windows of a smaller doc_id
+    asked = ~repeat & (F.col("a") < F.col("b"))
     judged = stored(judged.where(repeat | asked).select(repeat.alias("repeat"), F.when(~repeat, F.col("rank")).alias("rank"), "doc_id", "at", "n"))
     release(spark)
     # round 3
