@@ -222,6 +222,14 @@ def test_surrogates(spark):
     assert re.search(r"г-жа [А-Я][а-я]+$", got[2])
 
 
+def test_keys_without_a_digit_are_replaced(spark):
+    keys = ["AKIA" + "QWERTYUIOPASDFGH", "sk-" + "abcdefghijklmnopq", "ghp_" + "ABCDEFghijklMNOPqrst", "xoxb-" + "abcdefgh-ijklmnopq", "abcdef" * 6, "ABCDEF" * 6]
+    df = spark.createDataFrame([(i, f"the key {k} is here") for i, k in enumerate(keys)], "doc_id long, text string")
+    got = pii.with_surrogates(df).orderBy("doc_id").collect()
+    assert [r.n_entities for r in got] == [1] * len(keys)
+    assert all(k not in r.text and len(r.text) == len(f"the key {k} is here") for k, r in zip(keys, got))
+
+
 def test_surrogates_stay_distinct_where_draws_collide(spark):
     # all 3-digit areas and lines of one small block: many draws in a small space
     rows = [(i, f"Mr. Name{chr(97 + i % 26)}{chr(97 + i // 26 % 26)} and 10.{i % 7}.{i // 7}.{i % 5}") for i in range(600)]

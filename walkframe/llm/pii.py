@@ -19,7 +19,7 @@ from walkframe.session import cut
 # Patterns, in the order in which they are tried at a position.
 EMAIL = r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]++@[\p{L}\p{N}\-]+(?:\.[\p{L}\p{N}\-]+)*\.\p{L}{2,}"
 CREDENTIAL = (
-    r"(?<![\p{L}\p{N}_\-])(?=[A-Za-z_\-]*[0-9])"
+    r"(?<![\p{L}\p{N}_\-])"
     r"(?:[0-9a-f]{32,}+|[0-9A-F]{32,}+|AKIA[0-9A-Z]{16}|(?:sk|pk|ghp|gho|xoxb)[-_][0-9A-Za-z_\-]{16,}+)(?![\p{L}\p{N}_\-])"
 )
 IBAN = r"(?<![\p{L}\p{N}])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?(?![\p{L}\p{N}])"
@@ -38,13 +38,15 @@ KINDS = (("email", EMAIL), ("credential", CREDENTIAL), ("iban", IBAN), ("ip", IP
 ANY = "|".join(f"(?:{p})" for _, p in KINDS)
 
 HONORIFICS = f"{MALE}|{FEMALE}".split("|")
-#: Without a digit, an @ or one of these in it, a text has no entity.
-STARTS = [h for h in HONORIFICS if not any(h != o and h.startswith(o) for o in HONORIFICS)]
+#: Without any of these in it, a text has no entity: a digit or @, a hexadecimal key of letters alone, the start of a key, an honorific.
+SIGNS = "[0-9@]|[a-f]{32}|[A-F]{32}"
+KEYS = ("AKIA", *(f"{p}{c}" for p in ("sk", "pk", "ghp", "gho", "xoxb") for c in "-_"))
+STARTS = [*KEYS, *(h for h in HONORIFICS if not any(h != o and h.startswith(o) for o in HONORIFICS))]
 
 
 def suspect(text: Column) -> Column:
     """A cheap test that most texts fail: only the others are searched with all patterns."""
-    found = text.rlike("[0-9@]")
+    found = text.rlike(SIGNS)
     for start in STARTS:
         found = found | text.contains(start)
     return F.coalesce(found, F.lit(False))
