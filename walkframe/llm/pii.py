@@ -31,6 +31,8 @@ PHONE = (
     r"|(?<![\p{L}\p{N}])\([0-9]{3}\)[ .\-]?[0-9]{3}[ .\-][0-9]{4}(?![\p{L}\p{N}])"
     r"|(?<![\p{L}\p{N}\-.])[0-9]{3}[.\-][0-9]{3}[.\-][0-9]{4}(?![\p{L}\p{N}\-])"
 )
+#: The country codes of ITU-T E.164: none begins another, so the digits alone tell where the code ends.
+COUNTRY = "^(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
 MALE = r"Mr|Herr|Herrn|Monsieur|Señor|Signor|г-н|господин"
 FEMALE = r"Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Signora|г-жа|госпожа"
 PERSON = rf"(?<![\p{{L}}\p{{N}}])(?:{MALE}|{FEMALE})\.? \p{{Lu}}\p{{L}}+(?:[ \-]\p{{Lu}}\p{{L}}+){{0,2}}"
@@ -142,7 +144,9 @@ def atoms(entities: DataFrame) -> DataFrame:
             x.alias("shown"),
         ),
     )
-    other = F.array(F.struct(F.col("kind").alias("atom_kind"), canonical(F.col("kind"), F.col("entity")).alias("atom"), F.col("entity").alias("shown")))
+    # digits behind a + begin with a country code, others don't: a kind each, as the code stays
+    other_kind = F.when((F.col("kind") == "phone") & F.col("entity").startswith("+"), "phone+").otherwise(F.col("kind"))
+    other = F.array(F.struct(other_kind.alias("atom_kind"), canonical(F.col("kind"), F.col("entity")).alias("atom"), F.col("entity").alias("shown")))
     return (
         entities.withColumn("kind", kind)
         .select("entity", "kind", F.posexplode(F.when(F.col("kind") == "person", of_person).otherwise(other)).alias("n", "a"))
@@ -158,6 +162,7 @@ def drawn() -> Column:
     host = F.concat(F.lit("mail"), nibble(h, F.lit(250)), F.lit(".example."), F.element_at(F.array(F.lit("com"), F.lit("net"), F.lit("org")), nibble(h, F.lit(251)) % 3 + 1))
     octet = lambda i: ((nibble(h, F.lit(2 * i)) * 16 + nibble(h, F.lit(2 * i + 1))) % 254 + 1).cast("string")
     plain = letters_and_digits(atom, h)
+    country = F.regexp_extract(atom, COUNTRY, 0)
     body = F.substring(plain, F.lit(1), F.length(atom) - 1)
     check = ((10 - luhn_sum(body, True) % 10) % 10).cast("string")
     card = F.when(luhn_sum(atom, False) % 10 == 0, F.concat(body, check)).otherwise(plain)
@@ -177,6 +182,7 @@ def drawn() -> Column:
         .when(kind == "credential", letters_and_digits(atom, h, hexadecimal=True))
         .when((kind == "surname") | kind.startswith("given-"), person)
         .when(kind == "iban", F.concat(F.substring(atom, 1, 2), letters_and_digits(F.expr("substring(atom, 3)"), h)))
+        .when(kind == "phone+", F.concat(country, letters_and_digits(F.substring(atom, F.length(country) + 1, F.length(atom)), h)))
         .otherwise(plain)
     )
 
@@ -216,13 +222,12 @@ ATTEMPTS = 12
 def laid_out(kind: Column, shown: Column, surrogate: Column) -> Column:
     """The canonical surrogate in the format of what is shown."""
     digits_before = lambda i: F.length(F.regexp_replace(F.substring(shown, F.lit(1), i), "[^0-9]", ""))
-    country = F.when(shown.startswith("+"), F.length(F.regexp_extract(shown, r"^\+[0-9]{1,3}(?=[ .\-(])", 0))).otherwise(0)
-    as_digits = each_char(shown, lambda c, i: F.when(c.rlike("[0-9]") & (i > F.when(kind == "phone", country).otherwise(0)), F.substring(surrogate, digits_before(i), F.lit(1))).otherwise(c))
+    as_digits = each_char(shown, lambda c, i: F.when(c.rlike("[0-9]"), F.substring(surrogate, digits_before(i), F.lit(1))).otherwise(c))
     solid_before = lambda i: F.length(F.regexp_replace(F.substring(shown, F.lit(1), i), " ", ""))
     spaced = each_char(shown, lambda c, i: F.when(c == " ", c).otherwise(F.substring(surrogate, solid_before(i), F.lit(1))))
     as_name = F.when(shown.rlike(r"^\p{Lu}{2,}$"), F.upper(surrogate)).otherwise(F.initcap(surrogate))
     return (
-        F.when(kind.isin("card", "ssn", "phone"), as_digits)
+        F.when(kind.isin("card", "ssn", "phone", "phone+"), as_digits)
         .when(kind == "iban", spaced)
         .when((kind == "surname") | kind.startswith("given-"), as_name)
         .otherwise(surrogate)
