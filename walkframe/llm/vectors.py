@@ -9,6 +9,9 @@ a bounded sample: any basis gives exact results, a good one prunes more.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
@@ -29,10 +32,11 @@ def valid(embedding: Column) -> Column:
     return F.coalesce(F.forall(embedding, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < x)) & (F.size(embedding) > 0), F.lit(False))
 
 
-def of_main_size(vectors: DataFrame) -> DataFrame:
-    """Rows whose vector has the most frequent size (ties: the smallest); others compare with nothing."""
-    sizes = vectors.groupBy(F.size("embedding").alias("d")).count().orderBy(F.col("count").desc(), "d").limit(1).collect()
-    return vectors.where(F.size("embedding") == (sizes[0].d if sizes else -1))
+def by_size(vectors: DataFrame, f: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The results of ``f`` for the vectors of each size, together; only vectors of one size compare."""
+    # a row a size: as many as there are embedding models
+    sizes = [r.d for r in vectors.select(F.size("embedding").alias("d")).distinct().orderBy("d").collect()]
+    return reduce(DataFrame.union, [f(vectors.where(F.size("embedding") == d)) for d in sizes or [-1]])
 
 
 def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -153,8 +157,8 @@ def cosine_components(embeddings: DataFrame, threshold: float = THRESHOLD, block
 
     Rows link when the cosine of their vectors is ``threshold`` or more, in double precision.
 
-    * vectors that are null, empty, zero, of another size than most, or hold null or
-      non-finite components link with nothing; so do rows without ``vec_id``;
+    * vectors that are null, empty, zero, or hold null or non-finite components link
+      with nothing; so do rows without ``vec_id``; others link with vectors of their size;
     * equal vectors are one class: it is compared once, and its rows count each other;
     * repeated rows are rows; an empty table gives an empty result; other columns are ignored.
 
@@ -166,8 +170,21 @@ def cosine_components(embeddings: DataFrame, threshold: float = THRESHOLD, block
     usable = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").where(
         F.col("vec_id").isNotNull() & valid(F.col("embedding")) & F.exists("embedding", lambda v: v != 0)
     )
-    usable = of_main_size(usable)
     classes = cut(usable.groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")))
+    label = by_size(classes, lambda c: class_labels(c, threshold, block))
+    everything = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
+    kind = F.when(F.col("vec_id").isNotNull(), F.col("embedding"))  # rows without an id match no class
+    named = everything.withColumn("key", kind).join(label.withColumnRenamed("embedding", "key"), "key", "left")
+    return named.select(
+        "vec_id",
+        F.coalesce("class_links", F.lit(0)).cast("long").alias("n_links"),
+        F.coalesce("class_component", "vec_id").alias("component_id"),
+        F.coalesce(F.col("vec_id") == F.coalesce("class_component", "vec_id"), F.lit(False)).alias("kept"),
+    )
+
+
+def class_labels(classes: DataFrame, threshold: float, block: int) -> DataFrame:
+    """``(embedding, class_links, class_component)`` of classes ``(embedding, rep, n)`` of one size."""
     rotation = basis(classes.withColumnRenamed("rep", "vec_id"), unit)
     first = rotation[:, 0]
 
@@ -192,7 +209,7 @@ def cosine_components(embeddings: DataFrame, threshold: float = THRESHOLD, block
     )
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     cc = connected_components(found, "rep", "parent").withColumnRenamed("node", "rep")
-    label = (
+    return (
         classes.join(links, "rep", "left")
         .join(cc, "rep", "left")
         .select(
@@ -201,15 +218,6 @@ def cosine_components(embeddings: DataFrame, threshold: float = THRESHOLD, block
             F.coalesce("component", "rep").alias("class_component"),
         )
     )
-    everything = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
-    kind = F.when(F.col("vec_id").isNotNull(), F.col("embedding"))  # rows without an id match no class
-    named = everything.withColumn("key", kind).join(label.withColumnRenamed("embedding", "key"), "key", "left")
-    return named.select(
-        "vec_id",
-        F.coalesce("class_links", F.lit(0)).cast("long").alias("n_links"),
-        F.coalesce("class_component", "vec_id").alias("component_id"),
-        F.coalesce(F.col("vec_id") == F.coalesce("class_component", "vec_id"), F.lit(False)).alias("kept"),
-    )
 
 
 def op7_embedding_near_dedup(spark, sf_dir):
@@ -291,9 +299,9 @@ def top_inner_products(embeddings: DataFrame, every: int = 100, k: int = TOP) ->
     The score is the inner product of ``floor(1024 * x)``, exact below 2**53; ties
     go to the smaller ``vec_id``.
 
-    * vectors that are null, empty, of another size than most, or hold null or non-finite
-      components take no part, nor do rows without ``vec_id``; zero vectors do;
-    * a row is compared with all others but those of its own ``vec_id``;
+    * vectors that are null, empty, or hold null or non-finite components take no part,
+      nor do rows without ``vec_id``; zero vectors do;
+    * a row is compared with all others of its vector's size but those of its own ``vec_id``;
     * repeated rows are rows; an empty table gives an empty result; other columns are ignored.
 
     Queries, in blocks, meet all rows, in groups of falling length. Each query starts
@@ -301,7 +309,11 @@ def top_inner_products(embeddings: DataFrame, every: int = 100, k: int = TOP) ->
     gets), so most groups end at a bound of lengths or of partial products.
     """
     usable = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").where(F.col("vec_id").isNotNull() & valid(F.col("embedding")))
-    usable = cut(of_main_size(usable))
+    return by_size(cut(usable), lambda v: top_of_size(v, every, k))
+
+
+def top_of_size(usable: DataFrame, every: int, k: int) -> DataFrame:
+    """``top_inner_products`` of usable vectors of one size."""
     rotation = basis(usable, quantised)
     length = F.aggregate("embedding", F.lit(0.0), lambda a, v: a + F.floor(v.cast("double") * SCALE).cast("double") ** 2)
     sized = usable.withColumn("length", length)
