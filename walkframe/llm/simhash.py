@@ -65,15 +65,21 @@ def fingerprint(text: bytes | None, width: int = 3) -> int:
     return int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
-    """``(doc_id, fp)``: one signed 64-bit fingerprint per row; null and wordless texts have 0."""
+def fingerprints(docs: DataFrame, width: int = 3, digest: bool = False) -> DataFrame:
+    """``(doc_id, fp)``: one signed 64-bit fingerprint per row; null and wordless texts have 0. With the text's digest, if asked for."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = np.array([fingerprint(x.as_py(), width) for x in b.column(1)], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp), *b.columns[2:]], ["doc_id", "fp", *b.schema.names[2:]])
 
-    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    more = [digest_of(F.col("text")).alias("digest")] if digest else []
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), *more)
+    return rows.mapInArrow(run, "doc_id long, fp long" + ", digest binary" * digest)
+
+
+def digest_of(text):
+    return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
 
 
 def segment_counts(fp: np.ndarray) -> np.ndarray:
@@ -192,9 +198,27 @@ def simhash_components(docs: DataFrame, width: int = 3) -> DataFrame:
 
 
 def near_deduplicate(docs: DataFrame) -> DataFrame:
-    """Keep of every component the row with the smallest ``doc_id``, with all its columns."""
-    keep = simhash_components(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi").select(*docs.columns)
+    """Keep one row of every component, with all its columns: of the smallest ``doc_id``; without any, of the smallest digest.
+
+    Fingerprints are linked, whatever ids their rows have: a row without ``doc_id`` is
+    kept only where its component has no id at all, and rows that share the kept id
+    (and even the text) are one row in the result.
+    """
+    fps = cut(fingerprints(docs, digest=True).groupBy("fp", "doc_id", "digest").agg(F.count("*").alias("n")))
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "digest", "n")).alias("best")
+    of_fp = cut(fps.groupBy("fp").agg(best))
+    cc = connected_components(near_links(of_fp.select("fp", F.col("fp").alias("rep"))))
+    of_component = of_fp.join(cc, of_fp.fp == cc.node, "left").groupBy(F.coalesce("component", "fp").alias("c")).agg(F.min("best").alias("best"))
+    keep = cut(of_component.select(F.col("best.doc_id").alias("keep_id"), F.col("best.digest").alias("keep_digest"), F.col("best.n").alias("n")))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    rows = docs.select(row, F.col("doc_id").cast("long").alias("row_id"), digest_of(F.col("text")).alias("digest"))
+    same = F.col("row_id").eqNullSafe(F.col("keep_id")) & (F.col("digest") == F.col("keep_digest"))
+    kept = rows.join(keep.where("n = 1"), same, "left_semi").select("row")
+    if not keep.where("n > 1").isEmpty():
+        # rows of one id and text: one is taken, where they differ elsewhere any
+        several = rows.join(keep.where("n > 1"), same, "left_semi")
+        kept = kept.union(several.groupBy("row_id", "digest").agg(F.any_value("row").alias("row")).select("row"))
+    return kept.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def op10_simhash_near_dedup(spark, sf_dir):
