@@ -16,7 +16,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, Window as W
+from pyspark.sql import DataFrame, functions as F
 
 # HTML's element classes, and words in class names of what isn't the article.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -113,6 +113,8 @@ class Page:
                 self.events.append(None)
             if name == "html":
                 continue
+            if name == "svg" and m[3].endswith("/"):
+                continue  # foreign: closed by its own tag, unlike <script/> and the like
             if name in RAW:
                 found = re.compile(rf"</{name}[^>]*>", re.IGNORECASE).search(source, at)
                 if name != "head":
@@ -232,59 +234,72 @@ def ranked_paths(page: Page) -> list[tuple[str, float]]:
     return sorted(by_path.items(), key=lambda x: (-x[1], x[0]))
 
 
-def ballot(source: str | None) -> list[tuple[str, float]]:
-    """A page's vote: its best path, with its score."""
-    return ranked_paths(Page(source or ""))[:1]
-
-
-def extract(source: str | None, paths: list[str], least: float = 0.1) -> str:
-    """Text of the elements on the first of the host's paths that the page has; or of its own best container.
+def eligible(scores: list[tuple[str, float]], least: float = 0.1) -> list[str]:
+    """Of a page's ranked paths, those that it can be extracted on, its own best one first.
 
     A path with a small share (``least``) of what the best one scores isn't taken, nor is
     the page as a whole where it has a container of its own: other templates of the host
     that have no container say nothing about this one.
     """
-    page = Page(source or "")
-    scores = ranked_paths(page)
     if not scores:
-        return page.text([0])
-    (own, top), of = scores[0], dict(scores)
+        return []
+    own, top = scores[0]
     root = lambda p: p.count(">") < 2
-    chosen = next((p for p in paths if of.get(p, -1.0) >= least * top and (not root(p) or root(own))), own)
-    return page.text(page.on_path(chosen))
+    return [p for p, s in scores if s >= least * top and (not root(p) or root(own))]
+
+
+def extract(source: str | None, paths: list[str], least: float = 0.1) -> str:
+    """Text of the elements on the first of ``paths`` that the page is eligible for; or of its own best container."""
+    page = Page(source or "")
+    mine = eligible(ranked_paths(page), least)
+    if not mine:
+        return page.text([0])
+    return page.text(page.on_path(next((p for p in paths if p in mine), mine[0])))
 
 
 def host_of(url):
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
 
 
-def host_paths(pages: DataFrame, keep: int = 16) -> DataFrame:
-    """``(host, paths)``: the paths voted for by the pages of each host, best first."""
+def ballots(pages: DataFrame) -> DataFrame:
+    """``(host, key, own, eligible, votes)`` of each page: its best path and the votes for it, and all paths it can be extracted on, sorted."""
 
-    def votes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sums: dict[tuple[str, str], float] = {}
-            for host, source in zip(b.column(0).to_pylist(), b.column(1)):
-                for path, s in ballot(source.as_py()):
-                    sums[host, path] = sums.get((host, path), 0.0) + s
+            own, mine, votes = [], [], []
+            for source in b.column(2):
+                scores = ranked_paths(Page(source.as_py() or ""))
+                of = eligible(scores)
+                own.append(of[0] if of else None)
+                mine.append(sorted(of))
+                votes.append(round(1024 * scores[0][1]) if of else 0)  # whole numbers: a sum has no order
             yield pa.RecordBatch.from_arrays(
-                [pa.array([h for h, _ in sums], pa.string()), pa.array([p for _, p in sums], pa.string()), pa.array([round(s) for s in sums.values()], pa.int64())],
-                ["host", "path", "votes"],
+                [b.column(0), b.column(1), pa.array(own, pa.string()), pa.array(mine, pa.list_(pa.string())), pa.array(votes, pa.int64())],
+                ["host", "key", "own", "eligible", "votes"],
             )
 
-    cast = pages.select(host_of(F.col("url")).alias("host"), "html").mapInArrow(votes, "host string, path string, votes long")
-    summed = cast.groupBy("host", "path").agg(F.sum("votes").alias("votes"))
-    rank = F.row_number().over(W.partitionBy("host").orderBy(F.col("votes").desc(), "path"))
-    best = summed.withColumn("rank", rank).where(F.col("rank") <= keep)
-    return best.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("rank", "path"))).alias("p")).select("host", F.transform("p", lambda x: x["path"]).alias("paths"))
+    return pages.select("host", "key", "html").mapInArrow(read, "host string, key binary, own string, eligible array<string>, votes long").where("own is not null")
+
+
+def chosen_paths(cast: DataFrame) -> DataFrame:
+    """``(host, key, path)`` of the pages that are extracted on another path than their own best.
+
+    All votes of a host count. Pages of a template are eligible for the same paths, so
+    these sets, not pages, meet the votes.
+    """
+    votes = cast.groupBy("host", F.col("own").alias("path")).agg(F.sum("votes").alias("votes"))
+    open_ = cast.where(F.size("eligible") > 1)
+    sets = open_.select("host", "eligible").distinct()
+    best = F.min(F.struct((-F.col("votes")).alias("v"), "path"))["path"].alias("path")
+    choice = sets.withColumn("path", F.explode("eligible")).join(votes, ["host", "path"]).groupBy("host", "eligible").agg(best)
+    return open_.join(choice, ["host", "eligible"]).where("path <> own").select("host", "key", "path").distinct()
 
 
-#: Paths of all hosts are sent to every task up to so many characters; beyond, pages are joined in salted parts.
+#: The pages' paths are sent to every task up to so many characters; beyond, they are joined by host and digest.
 SMALL = 8 << 20
-SALTS = 32
 
 
-def main_text(pages: DataFrame, keep: int = 16) -> DataFrame:
+def main_text(pages: DataFrame) -> DataFrame:
     """``(page_id, url, text, n_chars)`` of every row of ``pages``.
 
     * null and empty html give an empty text; a null url is a host of its own;
@@ -292,28 +307,25 @@ def main_text(pages: DataFrame, keep: int = 16) -> DataFrame:
     * an empty table gives an empty result; other columns are ignored, whatever their names.
 
     Pages vote with a short row each, summed before the shuffle, so a host with
-    any share of the pages is no hot key. The pages themselves aren't shuffled as
-    long as the paths of all hosts are small (their size is checked).
+    any share of the pages is no hot key. Only pages whose host outvotes their own
+    best path get one; the pages themselves aren't shuffled as long as these paths
+    are small (their size is checked).
     """
     from walkframe.session import cut
 
-    paths = cut(host_paths(pages, keep))
-    size = paths.agg(F.sum(F.length("host") + F.length(F.array_join("paths", ",")) + 64)).first()[0] or 0
-    rows = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"))
-    if size <= SMALL:
-        joined = rows.join(F.broadcast(paths), "host", "left")
-    else:
-        salt = F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")
-        copies = paths.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = rows.withColumn("salt", salt).join(copies, ["host", "salt"], "left")
+    key = F.unhex(F.md5(F.coalesce("html", F.lit("")).cast("binary"))).alias("key")
+    rows = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"), key)
+    paths = cut(chosen_paths(cut(ballots(rows))))
+    size = paths.agg(F.sum(F.length("host") + F.length("path") + 64)).first()[0] or 0
+    joined = rows.join(F.broadcast(paths) if size <= SMALL else paths, ["key", "host"], "left")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            text = [extract(h.as_py(), p) for h, p in zip(b.column(2), (x or [] for x in b.column(3).to_pylist()))]
+            text = [extract(h.as_py(), [p] if p else []) for h, p in zip(b.column(2), b.column(3).to_pylist())]
             n = np.array([len(t) for t in text], dtype=np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(text, pa.string()), pa.array(n)], ["page_id", "url", "text", "n_chars"])
 
-    return joined.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", "paths").mapInArrow(
+    return joined.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", "path").mapInArrow(
         run, "page_id long, url string, text string, n_chars long"
     )
 
