@@ -1,7 +1,7 @@
 """Suffix-array deduplication: bytes covered by 50-byte strings that an earlier document has as well.
 
-Distributed prefix doubling over sampled suffixes. A suffix array would sort every
-position; here only *anchors* are sorted, one at least in every 50-byte window:
+Fingerprints of anchors, in place of distributed prefix doubling. A suffix array would sort
+every position; here only *anchors* are compared, one at least in every 50-byte window:
 the position whose 24-byte prefix has the smallest hash in the window, which
 depends on the window's bytes alone, so equal windows have equal anchors. Ranks are
 64-bit fingerprints of the bytes, and each round compares longer ones, leaving out
