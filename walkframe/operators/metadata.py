@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, functions as F, Window as W
 
 from walkframe.functions.names import GENERIC_SAMPLE, display_name, fragment_name, pansn_name
 from walkframe.model import PathGraph, names_of_paths
+from walkframe.operators.prefix import running_sum
+from walkframe.session import cut
 
 REFERENCE_SAMPLES = "reference_samples"
 
@@ -104,5 +106,6 @@ def duplicates(names: DataFrame, key: str) -> DataFrame:
 
 def dictionary(names: DataFrame, name: str = "name") -> DataFrame:
     """``(id, name)``: distinct names numbered in byte order."""
-    rank = F.row_number().over(W.orderBy(name)) - 1
-    return names.select(name).distinct().select(rank.cast("long").alias("id"), name)
+    placed = names.select(name).distinct().repartitionByRange(name).sortWithinPartitions(name)
+    placed = cut(placed.withColumn("_at", F.monotonically_increasing_id()).withColumn("_one", F.lit(1)))
+    return running_sum(placed, "_at", "_one", "id").select("id", name)
