@@ -1,13 +1,15 @@
-"""Byte-level BPE over whole texts, long ones in overlapping chunks.
+"""Byte-level BPE over whole texts, in overlapping chunks.
 
 A pre-token is a function of the position where it starts and of the text from
 there on, so two chains of pre-tokens that meet at one boundary are the same
-from it on. A text over ``CHUNK`` characters is cut in chunks that overlap; each
-is pre-tokenised alone, and the boundaries that both neighbours see in their
-overlap are where the chunks resynchronise. The text is cut at one of those
-(after a non-space, so that look-ahead at white space can't see the cut), and
-the pieces are encoded independently. Where an overlap has no common boundary,
-its two chunks stay one piece, which is right at any length.
+from it on. Every text over ``CHUNK`` characters is cut in chunks that overlap;
+each is pre-tokenised alone, and the boundaries that both neighbours see in
+their overlap are where the chunks resynchronise. Each chunk keeps what lies
+between the first such boundary of either overlap (after a non-space, so that
+look-ahead at white space can't see the cut), and these pieces are encoded
+independently. Where an overlap has no common boundary, its two chunks become one
+piece, which is right at any length. A text's pieces come together in order
+only to be decoded and hashed, one after the other.
 """
 
 from __future__ import annotations
@@ -21,10 +23,12 @@ import numpy as np
 import pyarrow as pa
 import regex
 import tiktoken
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
-CHUNK = 1 << 16
-OVERLAP = 1 << 10
+from walkframe.llm.common import slices
+
+CHUNK = 1 << 12
+OVERLAP = 1 << 9
 #: A match that ends so near the end of a chunk may go on behind it.
 MARGIN = 16
 
@@ -35,7 +39,7 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=1)
 def encoder(path: str) -> tiktoken.Encoding:
     import public_tokenizers
 
@@ -58,108 +62,156 @@ def boundaries(chunk: str, last: bool) -> np.ndarray:
     return x if last else x[x <= len(chunk) - MARGIN]
 
 
-def overlap_boundaries(batches: Iterable[pa.RecordBatch], chunk: int, overlap: int) -> Iterator[pa.RecordBatch]:
-    """Rows (row_id, zone, at, side): a boundary of chunk ``zone - 1`` (side 0) or ``zone`` (side 1) in their overlap."""
+# ---------------------------------------------------------------- what tasks do
+
+CHUNKS = "key binary, doc_id long, k int, n int, text string"
+BOUNDS = "key binary, k int, lefts array<int>, rights array<int>"
+ENCODED = "key binary, doc_id long, piece int, copies long, n_tokens long, ids binary"
+CODED = [("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()), ("ids", pa.binary()), ("decoded", pa.binary())]
+
+
+def in_chunks(batches: Iterable[pa.RecordBatch], chunk: int, overlap: int) -> Iterator[pa.RecordBatch]:
+    """Chunk ``k`` of the ``n`` of each text, with what overlaps the next; rows of one id and text share their key."""
     for b in batches:
-        cols: list[list] = [[], [], [], []]
-        for row, k, n, text in zip(*(c.to_pylist() for c in b.columns)):
-            at = boundaries(text, k == n - 1)
-            for zone, side, base in ((k, 1, 0), (k + 1, 0, chunk)):
-                if 0 < zone < n:
-                    here = at[(at >= base) & (at <= base + overlap)] - base + zone * chunk
-                    for c, v in zip(cols, (row, zone, None, side)):
-                        c.extend(here.tolist() if v is None else [v] * len(here))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int32()))],
-            ["row_id", "zone", "at", "side"],
-        )
+        for row in slices(b, 1):
+            doc, text = row.column(0)[0].as_py(), row.column(1)[0].as_py()
+            key = hashlib.blake2b(f"{doc}|{text}".encode(errors="surrogatepass"), digest_size=16).digest()
+            n = -(-len(text) // chunk)
+            for at in range(0, n, 256):
+                ks = range(at, min(n, at + 256))
+                parts = [text[k * chunk : (k + 1) * chunk + overlap] for k in ks]
+                columns = [pa.array([key] * len(ks), pa.binary()), pa.array([doc] * len(ks), pa.int64()), pa.array(ks, pa.int32()), pa.array([n] * len(ks), pa.int32()), pa.array(parts, pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, ["key", "doc_id", "k", "n", "text"])
+
+
+def overlap_boundaries(batches: Iterable[pa.RecordBatch], chunk: int, overlap: int) -> Iterator[pa.RecordBatch]:
+    """Of each chunk: the boundaries in its overlap with the chunk before, and with the chunk behind, from the overlap's start."""
+    for whole in batches:
+        for b in slices(whole, 256):
+            lefts, rights = [], []
+            for k, n, text in zip(*(b.column(c).to_pylist() for c in ("k", "n", "text"))):
+                at = boundaries(text, k == n - 1)
+                lefts.append(at[at <= overlap] if k else at[:0])
+                rights.append(at[at >= chunk] - chunk if k < n - 1 else at[:0])
+            kind = pa.list_(pa.int32())
+            yield pa.RecordBatch.from_arrays([b.column("key"), b.column("k"), pa.array(lefts, kind), pa.array(rights, kind)], ["key", "k", "lefts", "rights"])
+
+
+def encode_pieces(batches: Iterable[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+    enc = encoder(path)
+    for whole in batches:
+        for b in slices(whole, 256):
+            tokens = [np.array(enc.encode_ordinary(x.as_py()), dtype="<u4") for x in b.column("text")]
+            columns = [pa.array([len(t) for t in tokens], pa.int64()), pa.array([t.tobytes() for t in tokens], pa.binary())]
+            names = ["key", "doc_id", "piece", "copies"]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), *columns], [*names, "n_tokens", "ids"])
 
 
-PIECES = "row_id long, doc_id long, piece int, pieces int, n_tokens long, ids binary, decoded binary, ids_sha256 string, decoded_sha256 string"
+def coded(rows: list[tuple], keep: bool) -> pa.RecordBatch:
+    kinds = CODED if keep else CODED[:4]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, (_, kind) in enumerate(kinds)], [name for name, _ in kinds])
 
 
-def encode_pieces(batches: Iterable[pa.RecordBatch], path: str, keep: bool) -> Iterator[pa.RecordBatch]:
-    """Encode and decode each piece; a text of one piece gets its digests here, and no bytes unless ``keep``."""
+def code_whole(batches: Iterable[pa.RecordBatch], path: str, keep: bool) -> Iterator[pa.RecordBatch]:
+    """Texts of one chunk: encoded, decoded and hashed where they are."""
     enc = encoder(path)
-    sha = lambda x: hashlib.sha256(x).hexdigest()
-    for b in batches:
-        out: list[list] = [[] for _ in range(5)]
-        for n, text in zip(b.column("pieces").to_pylist(), b.column("text").to_pylist()):
-            tokens = enc.encode_ordinary(text or "")
-            ids, decoded = np.array(tokens, dtype="<u4").tobytes(), enc.decode_bytes(tokens)
-            held = keep or n > 1
-            row = (len(tokens), ids if held else None, decoded if held else None) + ((None, None) if n > 1 else (sha(ids), sha(decoded)))
-            for c, v in zip(out, row):
-                c.append(v)
-        kinds = (pa.int64(), pa.binary(), pa.binary(), pa.string(), pa.string())
-        yield pa.RecordBatch.from_arrays(
-            [b.column(c) for c in ("row_id", "doc_id", "piece", "pieces")] + [pa.array(c, t) for c, t in zip(out, kinds)],
-            ["row_id", "doc_id", "piece", "pieces", "n_tokens", "ids", "decoded", "ids_sha256", "decoded_sha256"],
-        )
+    for whole in batches:
+        for b in slices(whole, 256):
+            rows = []
+            for doc, text in zip(b.column(0).to_pylist(), b.column(1)):
+                tokens = enc.encode_ordinary(text.as_py())
+                ids, decoded = np.array(tokens, dtype="<u4").tobytes(), enc.decode_bytes(tokens)
+                rows.append((doc, len(tokens), hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded).hexdigest(), ids, decoded))
+            yield coded(rows, keep)
 
 
-def pieces_of(docs: DataFrame, chunk: int, overlap: int) -> DataFrame:
-    """``(row_id, doc_id, piece, pieces, text)``: short texts whole, long ones cut where chunks resynchronise."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    size = F.length("text")
-    short = rows.where(size <= chunk).select(F.lit(None).cast("long").alias("row_id"), "doc_id", F.lit(0).alias("piece"), F.lit(1).alias("pieces"), "text")
-    # equal long texts are cut alike, so rows with the same id and text may share a row_id
-    long = rows.where(size > chunk).withColumn("row_id", F.xxhash64("doc_id", "text"))
-    n = F.ceil(size / chunk).cast("int")
-    chunks = (
-        long.withColumn("n", n)
-        .withColumn("k", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-        .select("row_id", "k", "n", F.col("text").substr(F.col("k") * chunk + 1, F.lit(chunk + overlap)).alias("text"))
-        .repartition("row_id", "k")
-    )
-    seen = chunks.mapInArrow(
-        lambda batches: overlap_boundaries(batches, chunk, overlap), "row_id long, zone int, at long, side int"
-    )
-    common = seen.groupBy("row_id", "zone", "at").agg(F.countDistinct("side").alias("sides")).where("sides = 2")
-    cuts = common.groupBy("row_id", "zone").agg(F.min("at").alias("at")).groupBy("row_id").agg(F.sort_array(F.collect_list("at")).alias("cuts"))
-    span = F.expr("filter(array_distinct(concat(array(0L), coalesce(cuts, array()), array(cast(length(text) as bigint)))), x -> x >= 0)")
-    cut_up = (
-        long.join(cuts, "row_id", "left")
-        .withColumn("span", span)
-        .withColumn("pieces", F.size("span") - 1)
-        .withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+def code_in_order(batches: Iterable[pa.RecordBatch], path: str, keep: bool) -> Iterator[pa.RecordBatch]:
+    """Of pieces sorted by key and place: the ids of a text and the bytes that they decode to, hashed piece by piece.
+
+    Pieces of rows that are alike come side by side; one of each is hashed, and the copies of the first tell how many rows there are.
+    """
+    enc = encoder(path)
+    key, held = None, None
+
+    def result() -> Iterator[pa.RecordBatch]:
+        doc, copies, n, of_ids, of_bytes, parts, _ = held
+        row = (doc, n, of_ids.hexdigest(), of_bytes.hexdigest(), b"".join(p for p, _ in parts), b"".join(d for _, d in parts))
+        for at in range(0, copies, 256):
+            yield coded([row] * min(256, copies - at), keep)
+
+    for whole in batches:
+        for b in slices(whole, 64):
+            for new, doc, piece, copies, n, ids in zip(*(c.to_pylist() for c in b.columns)):
+                if new != key:
+                    if held:
+                        yield from result()
+                    key, held = new, [doc, 0, 0, hashlib.sha256(), hashlib.sha256(), [], -1]
+                if piece == 0:
+                    held[1] += copies
+                if piece == held[6]:
+                    continue
+                decoded = enc.decode_bytes(np.frombuffer(ids, dtype="<u4").tolist())
+                held[2] += n
+                held[3].update(ids)
+                held[4].update(decoded)
+                held[6] = piece
+                if keep:
+                    held[5].append((ids, decoded))
+    if held:
+        yield from result()
+
+
+# ---------------------------------------------------------------- the plan
+
+
+def pieces_of(chunks: DataFrame, chunk: int, overlap: int) -> DataFrame:
+    """``(key, doc_id, piece, copies, text)`` of the chunks of long texts: cut where they resynchronise, joined where they don't."""
+    seen = chunks.mapInArrow(lambda batches: overlap_boundaries(batches, chunk, overlap), BOUNDS).dropDuplicates(["key", "k"])
+    order = W.partitionBy("key").orderBy("k")
+    meets = F.when(F.col("k") == 0, F.lit(0)).otherwise(F.array_min(F.array_intersect("lefts", F.lag("rights").over(order))))
+    spans = (
+        seen.withColumn("meets", meets)
         .select(
-            "row_id", "doc_id", "piece", "pieces",
-            F.expr("substring(text, int(span[piece]) + 1, int(span[piece + 1] - span[piece]))").alias("text"),
+            "key",
+            "k",
+            F.coalesce("meets", F.lit(0)).alias("start"),
+            # the last chunk has none behind it and ends where its text does
+            (F.when(F.lead("k").over(order).isNotNull(), chunk + F.coalesce(F.lead("meets").over(order), F.lit(0)))).alias("end"),
+            (F.sum(F.col("meets").isNotNull().cast("int")).over(order) - 1).cast("int").alias("piece"),
         )
-        .repartition("row_id", "piece")
-    )
-    return short.union(cut_up)
+        .withColumn("parts", F.count("*").over(W.partitionBy("key", "piece")))
+    )
+    own = F.col("text").substr(F.col("start") + 1, F.coalesce("end", F.length("text")) - F.col("start"))
+    parts = chunks.join(spans, ["key", "k"]).select("key", "doc_id", "piece", "k", "parts", own.alias("text"))
+    alone = parts.where("parts = 1").select("key", "doc_id", "piece", F.lit(1).cast("long").alias("copies"), "text")
+    joined = (
+        parts.where("parts > 1")
+        .groupBy("key", "doc_id", "piece", "parts")
+        .agg(F.count("*").alias("rows"), F.sort_array(F.collect_set(F.struct("k", "text"))).alias("of"))
+        .select("key", "doc_id", "piece", F.expr("rows div parts").alias("copies"), F.array_join(F.transform("of", lambda x: x["text"]), "").alias("text"))
+    )
+    return alone.union(joined)
 
 
 def bpe_round_trip(docs: DataFrame, vocabulary: str | None = None, chunk: int = CHUNK, overlap: int = OVERLAP, keep: bool = False) -> DataFrame:
     """``(doc_id, n_tokens, ids_sha256, decoded_sha256)`` of every row; with ``keep`` also ``ids`` and ``decoded`` bytes.
 
     ``ids`` are little-endian unsigned 32-bit integers. ``vocabulary`` is the path
-    of a rank file in tiktoken's format.
+    of a rank file in tiktoken's format. ``overlap`` is at most ``chunk``.
 
     * null and empty texts have no tokens, and the digests of no bytes;
-    * very long texts go through the chunked path; its unit of work is a chunk, not a text;
+    * texts over ``chunk`` characters, of any length, are chunks, each a row of its own until its ids are hashed;
     * repeated rows each come back; a null ``doc_id`` stays null;
     * an empty table gives an empty result; other columns are ignored, whatever their names.
     """
     path = vocabulary or default_vocabulary()
-    coded = pieces_of(docs, chunk, overlap).mapInArrow(lambda batches: encode_pieces(batches, path, keep), PIECES)
-    own = ["ids", "decoded"] if keep else []
-    single = coded.where("pieces = 1").select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *own)
-    # one row per (row, piece, copy): copies of a row share row_id, so count them and give each its own row back
-    piece = coded.where("pieces > 1").groupBy("row_id", "doc_id", "piece").agg(
-        F.count("*").alias("copies"), F.first("n_tokens").alias("n_tokens"), F.first("ids").alias("ids"), F.first("decoded").alias("decoded")
-    )
-    joined = lambda c: F.unhex(F.array_join(F.transform("p", lambda x: F.hex(x[c])), ""))
-    many = (
-        piece.groupBy("row_id", "doc_id")
-        .agg(F.max("copies").alias("copies"), F.sum("n_tokens").alias("n_tokens"), F.sort_array(F.collect_list(F.struct("piece", "ids", "decoded"))).alias("p"))
-        .select("doc_id", "copies", "n_tokens", joined("ids").alias("ids"), joined("decoded").alias("decoded"))
-        .select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), *own, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
-        .drop("copy")
-    )
-    return single.union(many)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    out = ", ".join(f"{name} {'long' if kind == pa.int64() else 'string' if kind == pa.string() else 'binary'}" for name, kind in (CODED if keep else CODED[:4]))
+    short = rows.where(F.length("text") <= chunk).mapInArrow(lambda batches: code_whole(batches, path, keep), out)
+    chunks = rows.where(F.length("text") > chunk).mapInArrow(lambda batches: in_chunks(batches, chunk, overlap), CHUNKS).repartition("key", "k")
+    encoded = pieces_of(chunks, chunk, overlap).mapInArrow(lambda batches: encode_pieces(batches, path), ENCODED)
+    long = encoded.repartition("key").sortWithinPartitions("key", "piece").mapInArrow(lambda batches: code_in_order(batches, path, keep), out)
+    return short.union(long)
 
 
 def op6_byte_bpe(spark, sf_dir):

@@ -108,26 +108,27 @@ def fit(sample: list[tuple[bytes, int]], dimensions: int = DIMENSIONS) -> Voter:
 
 
 def vote(voter: Voter, counts: np.ndarray, neighbours: int = NEIGHBOURS) -> np.ndarray:
-    """Scores 0 to 1 of a block of histograms."""
+    """Scores 0 to 1 of a block of histograms: the share of label 1 among the nearest, by weights that grow with similarity.
+
+    Of equal cosines (to six places) the smaller ``doc_id`` is nearer. A text without features has the base rate.
+    """
     if not len(voter.votes):
         return np.full(len(counts), voter.base)
-    cosine = embed(counts, voter.idf, voter.directions) @ voter.vectors.T
+    where = embed(counts, voter.idf, voter.directions).astype(np.float64)
+    cosine = np.round(where @ voter.vectors.astype(np.float64).T, 6)
     k = min(neighbours, cosine.shape[1])
-    nearest = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
-    near = np.take_along_axis(cosine, nearest, axis=1).astype(np.float64)
-    weight = np.exp(12 * (near - near.max(1, keepdims=True)))
-    share = (weight * voter.votes[nearest]).sum(1) / weight.sum(1)
-    # ties within a vote count are ordered by how close the labels' nearest neighbours are
-    good = voter.votes > 0.5
-    best = lambda m: cosine[:, m].max(1) if m.any() else np.full(len(cosine), -1.0)
-    margin = 1 / (1 + np.exp(-8 * (best(good) - best(~good))))
-    return np.clip(0.8 * share + 0.2 * margin, 0, 1)
+    last = np.partition(cosine, -k, axis=1)[:, -k, None]
+    nearer, level = cosine > last, cosine == last
+    chosen = nearer | level & (np.cumsum(level, axis=1) <= k - nearer.sum(1, keepdims=True))  # labelled vectors are in the order of doc_id
+    weight = np.exp(12 * (cosine - cosine.max(1, keepdims=True))) * chosen
+    share = (weight @ voter.votes.astype(np.float64)) / weight.sum(1)
+    return np.where(where.any(1), np.clip(share, 0, 1), voter.base)
 
 
 def quality_scores(docs: DataFrame, voter: Voter) -> DataFrame:
     """``(doc_id, score)`` of every row, whole texts.
 
-    * null and empty texts have no direction: all labelled vectors are equally near, and they get a defined score;
+    * null and empty texts, and those of one byte, have no direction: their score is the share of label 1 in the sample;
     * repeated rows each come back, with one score; a null ``doc_id`` stays null;
     * an empty table gives an empty result; other columns are ignored, whatever their names.
     """

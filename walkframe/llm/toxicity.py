@@ -21,12 +21,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql.pandas.functions import ArrowUDFType
+
+from walkframe.llm.common import slices
 
 #: Training reads at most so many labelled documents of each label.
 SAMPLE = 1200
-#: Documents of the sample over so many characters aren't trained on, so that what the driver reads is bounded.
-SAMPLE_CHARS = 30_000
+#: and so many bytes of their texts, half for each label.
+SAMPLE_BYTES = 12 << 20
 #: Tokens a training sequence; longer documents are several sequences.
 SEGMENT = 96
 #: Words whose weight a task remembers before it forgets all.
@@ -48,19 +51,33 @@ class Tagger:
     calibration: tuple[float, float, float]
 
 
-def bounded_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int, held_in: bool, n: int) -> DataFrame:
-    """``(doc_id, text, y)``: at most ``n`` training documents of each label, by a hash of their id."""
+def bounded_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int, held_in: bool, n: int, size: int = SAMPLE_BYTES) -> DataFrame:
+    """``(doc_id, text, y)``: at most ``n`` training documents of each label and ``size / 2`` bytes of their texts, by a hash of their id.
+
+    Texts are whole: in the order of the hash, a document that no longer fits in what is left of the bytes is passed over.
+    Rows that share their id are one document, of the smallest text.
+    """
     rest = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(folds))
     ids = labels.where(F.col(label).isNotNull()).where(rest != held_out if held_in else rest == held_out)
     ids = ids.select("doc_id", F.col(label).cast("int").alias("y")).groupBy("doc_id").agg(F.max("y").alias("y"))
     few = [ids.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for y in (0, 1)]
-    # at most 2n rows of two integers: a proven bound
-    short = docs.select("doc_id", "text").where(F.coalesce(F.length("text"), F.lit(0)) <= SAMPLE_CHARS)
-    return short.join(F.broadcast(few[0].union(few[1])), "doc_id")
+    text = F.coalesce("text", F.lit(""))
+    of = docs.select("doc_id", text.alias("text")).join(F.broadcast(few[0].union(few[1])), "doc_id")  # 2n rows of two integers at most
+    # 2n rows of three integers at most
+    found = of.groupBy("doc_id", "y").agg(F.max(F.octet_length("text")).alias("bytes")).orderBy(F.xxhash64("doc_id"), "doc_id").collect()
+    left, chosen = [size // 2, size // 2], []
+    for r in found:
+        if r.bytes <= left[r.y]:
+            left[r.y] -= r.bytes
+            chosen.append((r.doc_id, r.y))
+    picked = docs.sparkSession.createDataFrame(chosen, T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("y", T.IntegerType())]))
+    return docs.select("doc_id", text.alias("text")).join(F.broadcast(picked), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
 
 
 def tokens(text: str) -> list[str]:
-    return TOKEN.findall(text.lower())
+    """The words of ``text`` as they are cut there, in lower case."""
+    low = text.lower()
+    return TOKEN.findall(low) if len(low) == len(text) else [w.lower() for w in TOKEN.findall(text)]
 
 
 def without_near_copies(sample: list[tuple[list[str], int]]) -> list[tuple[list[str], int]]:
@@ -282,18 +299,12 @@ def marginals(tagger: Tagger, words: list[str], weights: Weights) -> list[tuple[
 
 def score_text(tagger: Tagger, text: str, weights: Weights) -> tuple[float, list[tuple[int, int, float]]]:
     """Score of one whole text, and (start, end, probability) of the tokens that are more likely toxic than not."""
-    low = text.lower()
-    found = marginals(tagger, TOKEN.findall(low), weights) if weights.touches(low) else []
+    found = marginals(tagger, tokens(text), weights) if weights.touches(text.lower()) else []
     b, w1, w2 = tagger.calibration
     top, count = evidence([p for _, p in found])
     score = 1 / (1 + math.exp(-max(-30.0, min(30.0, b + w1 * top + w2 * count))))
     bad = {i: p for i, p in found if p >= 0.5}
-    spans = []
-    if bad:
-        # offsets are of the text itself; lower-casing may change lengths, so tokens are matched by their number
-        source = low if len(low) == len(text) else text
-        spans = [(m.start(), m.end(), bad[i]) for i, m in enumerate(TOKEN.finditer(source)) if i in bad]
-    return score, spans
+    return score, [(m.start(), m.end(), bad[i]) for i, m in enumerate(TOKEN.finditer(text)) if i in bad] if bad else []
 
 
 SCORED = "doc_id long, score double, spans array<struct<start:int,end:int,p:double>>"
@@ -310,13 +321,11 @@ def toxicity_scores(docs: DataFrame, tagger: Tagger) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = Weights(tagger)
-        for b in batches:
-            scores, spans = [], []
-            for text in b.column(1):
-                score, found = score_text(tagger, text.as_py() or "", weights)
-                scores.append(score)
-                spans.append([{"start": s, "end": e, "p": p} for s, e, p in found])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores, pa.float64()), pa.array(spans, SPANS)], ["doc_id", "score", "spans"])
+        for whole in batches:
+            for b in slices(whole, 256):
+                of = [score_text(tagger, text.as_py() or "", weights) for text in b.column(1)]
+                spans = [[{"start": s, "end": e, "p": p} for s, e, p in found] for _, found in of]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x for x, _ in of], pa.float64()), pa.array(spans, SPANS)], ["doc_id", "score", "spans"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCORED)
 
@@ -328,19 +337,25 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Tagger:
     return fit((r.text, r.y) for r in rows)
 
 
-def without_toxic(docs: DataFrame, tagger: Tagger, threshold: float = THRESHOLD) -> DataFrame:
-    """Rows of ``docs`` that score below the threshold, with all their columns."""
-    own = docs.columns
-    schema = docs.schema
-    text_at = own.index("text")
+def score_column(text: Column, tagger: Tagger) -> Column:
+    """The score of each text; only the texts go to Python, and one number comes back."""
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         weights = Weights(tagger)
-        for b in batches:
-            keep = [score_text(tagger, x.as_py() or "", weights)[0] < threshold for x in b.column(text_at)]
-            yield b.filter(pa.array(keep, pa.bool_()))
+        for part in texts:
+            yield pa.array((score_text(tagger, x.as_py() or "", weights)[0] for x in part), pa.float64())
+
+    return F.arrow_udf(run, "double", ArrowUDFType.SCALAR_ITER)(text)
+
 
-    return docs.mapInArrow(run, schema)
+def without_toxic(docs: DataFrame, tagger: Tagger, threshold: float = THRESHOLD) -> DataFrame:
+    """Rows of ``docs`` that score below the threshold, with all their columns.
+
+    * rows are judged one by one, by their text alone: repeated rows stay or go together, whatever their ids;
+    * null and empty texts have the score of a text without toxic tokens;
+    * an empty table gives an empty result; columns may have any other names.
+    """
+    return docs.where(score_column(F.col("text"), tagger) < threshold)
 
 
 def op5_toxicity(spark, sf_dir):
@@ -349,7 +364,7 @@ def op5_toxicity(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     held_out = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(FOLDS)) == HELD_OUT, F.lit(False))
     return toxicity_scores(docs, train(docs, table(spark, sf_dir, "labels"))).select(
-        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), F.size("spans").alias("n_spans")
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "spans"
     )
 
 
