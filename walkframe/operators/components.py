@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 from walkframe.session import cut
 
 #: Edges that a task contracts at a time.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 
 def roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -30,7 +30,7 @@ def roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         label = new
 
 
-def contracted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def contracted(batches: Iterable[pa.RecordBatch], names: tuple[str, str] = ("u", "v")) -> Iterator[pa.RecordBatch]:
     """Of a task's edges, chunk by chunk: a star for each component, which connects the same nodes."""
 
     def stars(held: list[pa.RecordBatch]) -> pa.RecordBatch:
@@ -38,7 +38,7 @@ def contracted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, at = np.unique(np.concatenate([u, v]), return_inverse=True)
         root = roots(len(ids), at[: len(u)], at[len(u) :])
         leaf = np.flatnonzero(root != np.arange(len(ids)))
-        return pa.RecordBatch.from_arrays([pa.array(ids[leaf]), pa.array(ids[root[leaf]])], ["u", "v"])
+        return pa.RecordBatch.from_arrays([pa.array(ids[leaf]), pa.array(ids[root[leaf]])], list(names))
 
     held, n = [], 0
     for b in batches:
@@ -50,7 +50,7 @@ def contracted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield stars(held)
 
 
-def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
+def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", contract: bool = True) -> DataFrame:
     """Return ``(node, component)``; ``component`` is the smallest node reachable.
 
     Tasks first contract what they hold. Every round is then two aggregations and two joins over the edge list, whose size
@@ -59,7 +59,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     from a (map-side combined) aggregation and goes back to the edges by a join,
     which adaptive execution can split where a hub holds many of them.
     Null and self edges carry nothing and are dropped; nodes without any other
-    edge don't appear in the result.
+    edge don't appear in the result. ``contract=False`` leaves out the first contraction,
+    for edges whose tasks have done it.
     """
     e = (
         edges.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v"))
@@ -67,7 +68,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
         .select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v"))
     )
     # each task leaves stars of what it has, and again with neighbours of near ids in one task (a hub may be in several)
-    e = cut(e.mapInArrow(contracted, "u long, v long"))
+    e = cut(e.mapInArrow(contracted, "u long, v long") if contract else e)
     e = e.repartitionByRange("v", "u").mapInArrow(contracted, "u long, v long").distinct()
     e, before = cut(e), None
     while True:
