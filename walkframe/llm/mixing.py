@@ -18,8 +18,6 @@ from walkframe.session import cut
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 REPEATS = 2
-#: Draws are dealt to so many ranges, for prefix sums that no single task makes alone.
-RANGES = 256
 WORD, SPACE = r"[^\x20\x09-\x0D]+", r"[\x20\x09-\x0D]+"
 
 
@@ -67,33 +65,33 @@ def targets(sources: DataFrame, weights=WEIGHTS, share: float = SHARE, repeats:
     return level.select("source", "source_size", target.alias("target"))
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, repeats: int = REPEATS, seed: str = "mix") -> DataFrame:
-    """``(doc_id, source, size, source_size, target, taken)`` of every row of ``docs``.
+def digest_of(text: Column) -> Column:
+    return F.md5(F.coalesce(text, F.lit("")).cast("binary"))
 
-    ``taken`` counts the words that the mix takes of the row, repeats included.
 
-    * null and empty texts have size 0 and give nothing; a null source is a source, the last;
-    * ties of the draw go by ``doc_id`` and size; repeated rows each count and are taken in turn;
-    * an empty table gives an empty result; other columns are ignored, whatever their names;
-    * no row is gathered by source: prefix sums run over 256 ranges of draws for each source.
+def planned(docs: DataFrame, more: list[Column], weights=WEIGHTS, share: float = SHARE, repeats: int = REPEATS, seed: str = "mix") -> DataFrame:
+    """``(doc_id, source, size, source_size, target, taken)`` of every row, and ``more``.
+
+    Rows are dealt to ranges of (source, draw), whose bounds Spark samples so that ranges are
+    about even at any size and for any source; a range's own sums and the sums of the ranges before it are all prefix sums need.
     """
     q = quality_of(F.col("text"))
-    sized = cut(
-        docs.select("doc_id", "source", size_of(F.col("text")).alias("size"), draw(F.col("doc_id"), q, seed).alias("draw")).withColumn(
-            "part", F.least(F.floor(F.col("draw") * RANGES), F.lit(RANGES - 1)).cast("int")
-        )
-    )
-    parts = sized.groupBy("source", "part").agg(F.sum("size").alias("part_size"))
-    before = W.partitionBy("source").orderBy(F.col("part").desc()).rowsBetween(W.unboundedPreceding, -1)
+    sized = cut(docs.select("doc_id", "source", size_of(F.col("text")).alias("size"), draw(F.col("doc_id"), q, seed).alias("draw"), *more))
+    order = [F.col("source"), F.col("draw").desc(), F.col("doc_id"), F.col("size")]
+    ranged = cut(sized.repartitionByRange(*order).withColumn("part", F.spark_partition_id()))
+    parts = ranged.groupBy("source", "part").agg(F.sum("size").alias("part_size"))
+    # a row for each range and source: as many as there are partitions and sources
+    before = W.partitionBy("source").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     parts = parts.withColumn("part_before", F.coalesce(F.sum("part_size").over(before), F.lit(0)))
     goal = targets(parts.groupBy("source").agg(F.sum("part_size").alias("source_size")), weights, share, repeats)
     p, g = parts.alias("p"), goal.alias("g")
     known = p.join(g, F.col("p.source").eqNullSafe(F.col("g.source"))).select("p.source", "part", "part_before", "source_size", "target")
-    s, k = sized.alias("s"), known.alias("k")
+    s, k = ranged.alias("s"), known.alias("k")
     inside = W.partitionBy("s.source", "s.part").orderBy(F.col("draw").desc(), "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
     budget = F.floor(F.col("target") + 0.5).cast("long")
     epochs = F.when(F.col("source_size") > 0, F.expr("budget div source_size")).otherwise(0)
     rest = F.col("budget") - F.col("epochs") * F.col("source_size") - F.col("before")
+    extra = [c for c in sized.columns if c not in ("doc_id", "source", "size", "draw")]
     return (
         s.join(k, F.col("s.source").eqNullSafe(F.col("k.source")) & (F.col("s.part") == F.col("k.part")))
         .withColumn("before", F.col("part_before") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
@@ -101,33 +99,56 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, repeats: int = R
         .withColumn("epochs", epochs)
         .select(
             "doc_id", "s.source", "size", "source_size", "target",
-            (F.col("epochs") * F.col("size") + F.greatest(F.lit(0), F.least("size", rest))).cast("long").alias("taken"),
+            (F.col("epochs") * F.col("size") + F.greatest(F.lit(0), F.least("size", rest))).cast("long").alias("taken"), *extra,
         )
     )
 
 
+def mix(docs: DataFrame, **options) -> DataFrame:
+    """``(doc_id, source, size, source_size, target, taken)`` of every row of ``docs``.
+
+    ``taken`` counts the words that the mix takes of the row, repeats included.
+
+    * null and empty texts have size 0 and give nothing; a null source is a source, the last;
+    * ties of the draw go by ``doc_id`` and size; repeated rows each count and are taken in turn;
+    * an empty table gives an empty result; other columns are ignored, whatever their names;
+    * no row is gathered by source: prefix sums run over ranges of draws.
+    """
+    return planned(docs, [], **options)
+
+
+def first_words(text: Column, n: Column) -> Column:
+    """``text`` up to the end of its n-th word, as it is written."""
+    words, spaces = F.slice(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), 1, n), F.split(text, WORD)
+    return F.array_join(F.transform(words, lambda w, i: F.concat(F.get(spaces, i), w)), "")
+
+
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The rows that a mix of ``docs`` consists of, with the columns of ``docs``.
 
-    A row comes as often as the mix takes it; the last time its text may be cut to
-    the words that the budget still takes (``n_chars``, if there, follows the text).
+    A row comes as often as the mix takes it; the last time its text may be cut behind the last
+    word that the budget still takes (``n_chars``, if there, follows the text).
+
+    * rows without words aren't taken; a null source or ``doc_id`` is a value like any other;
+    * rows that share id, source and text are told apart by a hash of the row, and rows that are alike throughout are interchangeable;
+    * an empty table gives an empty result; columns may have any other names.
     """
-    twin = W.partitionBy("doc_id", "source", "size").orderBy(F.lit(0))
-    same = lambda a, b, names: reduce(lambda x, y: x & y, (F.col(f"{a}.{n}").eqNullSafe(F.col(f"{b}.{n}")) for n in names))
-    plan = mix(docs, **options).withColumn("twin", F.row_number().over(twin)).where("taken > 0").alias("m")
-    own = [f for f in docs.columns]
-    whole = (
-        docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("row"), "doc_id", "source", size_of(F.col("text")).alias("size"))
-        .withColumn("twin", F.row_number().over(twin))
-        .alias("d")
-    )
-    words = F.array_join(F.slice(F.split(F.regexp_replace("row.text", r"^[\x20\x09-\x0D]+", ""), SPACE), 1, F.col("part")), " ")
+    own = docs.columns
+    key = ["doc_id", "source", "digest"]
+    hashable = [f"`{f.name}`" for f in docs.schema.fields if f.name != "text" and "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    row_hash = F.xxhash64(*hashable).alias("row_hash")
+    # the same rows in the same order on both sides: repeated rows pair off one to one
+    twin = F.row_number().over(W.partitionBy(*key).orderBy("row_hash"))
+    plan = planned(docs, [digest_of(F.col("text")).alias("digest"), row_hash], **options).withColumn("twin", twin).where("taken > 0")
+    plan = plan.select(*[F.col(c).alias(f"plan_{c}") for c in (*key, "twin")], "size", "taken")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("row"), "doc_id", "source", digest_of(F.col("text")).alias("digest"), row_hash).withColumn("twin", twin)
+    same = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"plan_{c}")) for c in (*key, "twin")))
     out = (
-        whole.join(plan, same("d", "m", ("doc_id", "source", "size", "twin")))
-        .select("row", "d.size", "taken")
+        rows.join(plan, same)
+        .select("row", "size", "taken")
         .withColumn("nth", F.explode(F.expr("sequence(1, int(ceil(taken / size)))")))
         .withColumn("part", F.least("size", F.col("taken") - (F.col("nth") - 1) * F.col("size")).cast("int"))
-        .withColumn("text", F.when(F.col("part") < F.col("size"), words).otherwise(F.col("row.text")))
+        .withColumn("text", F.when(F.col("part") < F.col("size"), first_words(F.col("row.text"), F.col("part"))).otherwise(F.col("row.text")))
     )
     value = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
     return out.select(*[value.get(c, F.col(f"row.`{c}`")).alias(c) for c in own])

@@ -4,10 +4,12 @@ Links are found by a segment-popcount embedding. A fingerprint is mapped to the
 number of set bits in each of its 32 two-bit segments. Flipping a bit changes
 one count by one, so the Manhattan distance of two embeddings never exceeds the
 Hamming distance of the fingerprints: a lower bound that prunes. The range join
-under that bound runs on a grid: the segments form ``DISTANCE + 3`` groups, and
-two embeddings at Manhattan distance 3 or less agree wholly in at least three of
-them, so they share the unit cell of at least one of the 20 choices of three
-groups. Pairs that share a cell are compared by the bound and then exactly.
+under that bound runs on a grid: the segments form groups, six of them or more for
+more fingerprints, and two embeddings at Manhattan distance 3 or less agree wholly
+in all but three, so they share the unit cell of at least one choice of so many
+groups (20 choices of three of six). Pairs that share a cell are compared by the
+bound and then exactly. Cells with very many fingerprints aren't compared in pairs:
+there, fingerprints link through the values one and two bits away from them.
 """
 
 from __future__ import annotations
@@ -20,15 +22,18 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F, Window as W
 
-from walkframe.llm.common import whole_groups
-from walkframe.operators.components import connected_components
+from walkframe.llm.common import slices, whole_groups
+from walkframe.operators.components import connected_components, contracted
 from walkframe.session import cut
 
 SEED = 42
 DISTANCE = 3
-GROUPS = DISTANCE + 3
+#: Fingerprints to expect in a cell of the grid, at most, if they were random: more groups make finer cells.
+CELL = 16
 #: Over this many fingerprints a cell is dealt to several tasks, in pairs of blocks.
-BLOCK = 1024
+BLOCK = 4096
+#: Over this many, its fingerprints link through neighbouring values.
+DENSE = 1 << 19
 #: Up to this many, a cell's links are compared by shifting; above, as one matrix.
 SMALL = 64
 LOW = 0x5555555555555555
@@ -38,16 +43,15 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def group_masks() -> list[int]:
-    """The bits of each group of two-bit segments, the 32 segments dealt in turn."""
-    masks = [0] * GROUPS
-    for s in range(32):
-        masks[s % GROUPS] |= 3 << (2 * s)
-    return masks
+def groups_for(n: int) -> int:
+    """How many groups: a count of two random bits has 1.5 bits of information, so cells of g groups have 48 * (g - 3) / g."""
+    return next((g for g in range(DISTANCE + 3, 12) if n <= CELL * 2 ** (48 * (g - DISTANCE) / g)), 12)
 
 
-def cell_masks() -> list[int]:
-    return [a | b | c for a, b, c in combinations(group_masks(), GROUPS - DISTANCE)]
+def cell_masks(groups: int) -> list[int]:
+    """The bits of each choice of all groups but three, the 32 two-bit segments dealt to groups in turn."""
+    of_group = [sum(3 << (2 * s) for s in range(g, 32, groups)) for g in range(groups)]
+    return [sum(choice) for choice in combinations(of_group, groups - DISTANCE)]
 
 
 BITS_OF_BYTE = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
@@ -69,9 +73,10 @@ def fingerprints(docs: DataFrame, width: int = 3, digest: bool = False) -> DataF
     """``(doc_id, fp)``: one signed 64-bit fingerprint per row; null and wordless texts have 0. With the text's digest, if asked for."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            fp = np.array([fingerprint(x.as_py(), width) for x in b.column(1)], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp), *b.columns[2:]], ["doc_id", "fp", *b.schema.names[2:]])
+        for whole in batches:
+            for b in slices(whole, 1024):
+                fp = np.array([fingerprint(x.as_py(), width) for x in b.column(1)], dtype=np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp), *b.columns[2:]], ["doc_id", "fp", *b.schema.names[2:]])
 
     more = [digest_of(F.col("text")).alias("digest")] if digest else []
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), *more)
@@ -118,8 +123,8 @@ def spanning(fp: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(a or [rest]), np.concatenate(b or [rest])
 
 
-def links_of_cells(batches: Iterable[pa.RecordBatch], distance: int = DISTANCE) -> Iterator[pa.RecordBatch]:
-    masks = np.array(cell_masks(), dtype=np.uint64)
+def links_of_cells(batches: Iterable[pa.RecordBatch], groups: int, distance: int = DISTANCE) -> Iterator[pa.RecordBatch]:
+    masks = np.array(cell_masks(groups), dtype=np.uint64)
     for t, at in whole_groups(batches, ["k", "cell", "lo", "hi"]):
         fp, rep = t.column("fp").to_numpy().view(np.uint64), t.column("rep").to_numpy()
         k = t.column("k").to_numpy()
@@ -150,29 +155,64 @@ def links_of_cells(batches: Iterable[pa.RecordBatch], distance: int = DISTANCE)
         yield pa.RecordBatch.from_arrays([pa.array(rep[s]), pa.array(rep[d])], ["src", "dst"])
 
 
-def near_links(reps: DataFrame) -> DataFrame:
+def flips(bits: int) -> np.ndarray:
+    """The masks that flip so many bits at most."""
+    return np.array([sum(1 << b for b in c) for n in range(bits + 1) for c in combinations(range(64), n)], dtype=np.uint64)
+
+
+def around(bits: int):
+    """Of each (fp, rep): a row (value, rep) for each value so many bits away at most."""
+    masks = flips(bits)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in slices(whole, 1024):
+                values = b.column("fp").to_numpy().view(np.uint64)[:, None] ^ masks
+                yield pa.RecordBatch.from_arrays([pa.array(values.ravel().view(np.int64)), pa.array(np.repeat(b.column("rep").to_numpy(), len(masks)))], ["value", "rep"])
+
+    return run
+
+
+def links_of_neighbours(dense: DataFrame) -> DataFrame:
+    """Of ``(fp, rep)``: links ``(src, dst)`` that connect all that is 3 bits apart or less, in time linear in the rows.
+
+    Where a fingerprint is one bit away from a value at most, all that are two bits away at most link with it,
+    and any two that link share such a value. So each links with one fingerprint close to the value, not with each other.
+    """
+    rows = dense.select("fp", "rep")
+    centre = rows.mapInArrow(around(1), "value long, rep long").groupBy("value").agg(F.min("rep").alias("dst"))
+    return rows.mapInArrow(around(2), "value long, rep long").join(centre, "value").where("rep <> dst").select(F.col("rep").alias("src"), "dst").distinct()
+
+
+def near_links(reps: DataFrame, groups: int | None = None) -> DataFrame:
     """Of distinct ``(fp, rep)``: links ``(src, dst)`` between reps, enough to connect all that is near."""
+    groups = groups or groups_for(reps.count())
     fp = F.col("fp")
     low = F.lit(LOW)
     half = F.shiftrightunsigned(fp, 1)
     counts = F.shiftleft(fp.bitwiseAND(half).bitwiseAND(low), 1).bitwiseOR(fp.bitwiseXOR(half).bitwiseAND(low))  # no sum: it may overflow
-    cells = F.array(*[F.struct(F.lit(k).alias("k"), F.col("counts").bitwiseAND(F.lit(signed(m))).alias("cell")) for k, m in enumerate(cell_masks())])
+    cells = F.array(*[F.struct(F.lit(k).alias("k"), F.col("counts").bitwiseAND(F.lit(signed(m))).alias("cell")) for k, m in enumerate(cell_masks(groups))])
     rows = reps.withColumn("counts", counts).select("fp", "rep", F.explode(cells).alias("c")).select("fp", "rep", "c.k", "c.cell")
-    n = F.count("*").over(W.partitionBy("k", "cell"))
-    shared = rows.withColumn("n", n).where("n > 1")
+    # counted in the tasks first: no task gets all of a cell before it is dealt
+    shared = cut(rows.groupBy("k", "cell").agg(F.count("*").alias("n")).where("n > 1"))
     blocks = F.when(F.col("n") > BLOCK, F.ceil(F.col("n") * 2 / BLOCK)).otherwise(1).cast("int")
     own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
     dealt = (
-        shared.withColumn("blocks", blocks)
+        rows.join(shared.where(F.col("n") <= DENSE), ["k", "cell"])
+        .withColumn("blocks", blocks)
         .withColumn("own", own)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select("k", "cell", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "fp", "rep")
     )
-    return (
+    links = (
         dealt.repartition("k", "cell", "lo", "hi")
         .sortWithinPartitions("k", "cell", "lo", "hi", "fp")
-        .mapInArrow(links_of_cells, "src long, dst long")
+        .mapInArrow(lambda batches: contracted(links_of_cells(batches, groups), ("src", "dst")), "src long, dst long")
     )
+    if shared.where(F.col("n") > DENSE).isEmpty():
+        return links
+    dense = rows.join(shared.where(F.col("n") > DENSE), ["k", "cell"]).select("fp", "rep").distinct()
+    return links.union(links_of_neighbours(cut(dense)))
 
 
 def simhash_components(docs: DataFrame, width: int = 3) -> DataFrame:
@@ -188,11 +228,11 @@ def simhash_components(docs: DataFrame, width: int = 3) -> DataFrame:
 
     Equal fingerprints are one row before anything is compared, so copies cost
     nothing beyond counting; large cells are split in pairs of blocks and report
-    a spanning set of links, never all pairs.
+    a spanning set of links, never all pairs; beyond ``DENSE`` they aren't paired at all.
     """
     fps = cut(fingerprints(docs, width))
     reps = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    cc = connected_components(near_links(reps.where("rep is not null")))
+    cc = connected_components(near_links(reps.where("rep is not null")), contract=False)
     label = reps.join(cc, reps.rep == cc.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     return fps.join(label, "fp").select("doc_id", "fp", "component_id")
 
@@ -207,7 +247,7 @@ def near_deduplicate(docs: DataFrame) -> DataFrame:
     fps = cut(fingerprints(docs, digest=True).groupBy("fp", "doc_id", "digest").agg(F.count("*").alias("n")))
     best = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "digest", "n")).alias("best")
     of_fp = cut(fps.groupBy("fp").agg(best))
-    cc = connected_components(near_links(of_fp.select("fp", F.col("fp").alias("rep"))))
+    cc = connected_components(near_links(of_fp.select("fp", F.col("fp").alias("rep"))), contract=False)
     of_component = of_fp.join(cc, of_fp.fp == cc.node, "left").groupBy(F.coalesce("component", "fp").alias("c")).agg(F.min("best").alias("best"))
     keep = cut(of_component.select(F.col("best.doc_id").alias("keep_id"), F.col("best.digest").alias("keep_digest"), F.col("best.n").alias("n")))
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
