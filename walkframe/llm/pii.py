@@ -1,23 +1,32 @@
 """Personal data: detection, and keyed surrogates of the same type, with DataFrame functions only.
 
-Every distinct entity is reduced to atoms: the canonical form of an e-mail
-address or number, or each part of a person's name. An atom's surrogate is drawn
-from SHA-2 of a key, its kind, the atom and an attempt; so the same person or
-number gets the same surrogate wherever and however it is written. Where two
-atoms of a kind would get one surrogate, or an atom that occurs, all but the
-first draw again, until every surrogate is distinct. The surrogate is then laid
-out in the entity's own format: separators, letter case, country code, script,
-a card's check digit, and a given name's gender stay.
+Every distinct entity is reduced to atoms: the canonical form of a number or key,
+the mailbox and the host of an e-mail address, or each part of a person's name. An
+atom's surrogate is drawn from SHA-2 of a key, its kind, the atom and an attempt; so
+the same person, host or number gets the same surrogate wherever and however it is
+written. Where two atoms of a kind would get one surrogate, or an atom that occurs,
+all but the first draw again, until every surrogate is distinct; names, hosts and
+mailboxes get longer with each draw, numbers after sixteen, so that no format is used
+up. The surrogate is then laid out in the entity's own format: separators, letter
+case, country code, script, the prefix of a key, check digits of cards and IBANs, and
+a given name's gender stay.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F, Window as W
+import secrets
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, Window as W
 
 from walkframe.session import cut
 
-# Patterns, in the order in which they are tried at a position.
-EMAIL = r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]++@[\p{L}\p{N}\-]+(?:\.[\p{L}\p{N}\-]+)*\.\p{L}{2,}"
+#: Where the session has the key; without one, a session draws its own, and nobody can rebuild the mapping.
+KEY = "spark.walkframe.surrogates.key"
+
+# Patterns, in the order in which they are tried at a position. Repeated groups are bounded: the regular
+# expressions of the JVM recurse once for each repetition. A host has at most 127 labels (RFC 1035).
+EMAIL = r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]++@[\p{L}\p{N}\-]++(?:\.[\p{L}\p{N}\-]++){0,125}\.\p{L}{2,}+"
+PREFIX = "AKIA|(?:sk|pk|ghp|gho|xoxb)[-_]"
 CREDENTIAL = (
     r"(?<![\p{L}\p{N}_\-])"
     r"(?:[0-9a-f]{32,}+|[0-9A-F]{32,}+|AKIA[0-9A-Z]{16}|(?:sk|pk|ghp|gho|xoxb)[-_][0-9A-Za-z_\-]{16,}+)(?![\p{L}\p{N}_\-])"
@@ -78,8 +87,7 @@ def pick(choices: str, hexes: Column, i: Column) -> Column:
 
 
 def each_char(text: Column, f) -> Column:
-    at = F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)))
-    return F.array_join(F.transform(at, lambda i: f(F.substring(text, i, F.lit(1)), i)), "")
+    return F.array_join(F.transform(F.split(text, ""), lambda c, i: f(c, i + 1)), "")
 
 
 def letters_and_digits(text: Column, hexes: Column, hexadecimal: bool = False) -> Column:
@@ -117,8 +125,7 @@ def kind_of(entity: Column) -> Column:
 def canonical(kind: Column, entity: Column) -> Column:
     digits = F.regexp_replace(entity, "[^0-9]", "")
     return (
-        F.when(kind == "email", F.lower(entity))
-        .when(kind.isin("card", "ssn", "phone"), digits)
+        F.when(kind.isin("card", "ssn", "phone"), digits)
         .when(kind == "iban", F.regexp_replace(entity, " ", ""))
         .otherwise(entity)
     )
@@ -132,58 +139,74 @@ def atoms(entities: DataFrame) -> DataFrame:
     """``(entity, kind, n, atom_kind, atom, shown)``: what each distinct entity is made of.
 
     A person's last name is an atom of its own, so it stays the same with and
-    without a given name; given names are drawn within their gender.
+    without a given name; given names are drawn within their gender. So is the host of a mailbox.
     """
     kind = kind_of(F.col("entity"))
     names = F.split(F.regexp_replace("entity", r"^\S+ ", ""), r"[ \-]")
+    part = lambda atom_kind, atom, shown: F.struct(atom_kind.alias("atom_kind"), atom.alias("atom"), shown.alias("shown"))
     of_person = F.transform(
-        names,
-        lambda x, i: F.struct(
-            F.when(i == F.size(names) - 1, "surname").otherwise(F.concat(F.lit("given-"), gender(F.col("entity")))).alias("atom_kind"),
-            F.lower(x).alias("atom"),
-            x.alias("shown"),
-        ),
+        names, lambda x, i: part(F.when(i == F.size(names) - 1, "surname").otherwise(F.concat(F.lit("given-"), gender(F.col("entity")))), F.lower(x), x)
     )
+    at = F.split(F.lower("entity"), "@")
+    of_mail = F.array(part(F.lit("mailbox"), at[0], at[0]), part(F.lit("host"), at[1], at[1]))
     # digits behind a + begin with a country code, others don't: a kind each, as the code stays
     other_kind = F.when((F.col("kind") == "phone") & F.col("entity").startswith("+"), "phone+").otherwise(F.col("kind"))
-    other = F.array(F.struct(other_kind.alias("atom_kind"), canonical(F.col("kind"), F.col("entity")).alias("atom"), F.col("entity").alias("shown")))
+    other = F.array(part(other_kind, canonical(F.col("kind"), F.col("entity")), F.col("entity")))
     return (
         entities.withColumn("kind", kind)
-        .select("entity", "kind", F.posexplode(F.when(F.col("kind") == "person", of_person).otherwise(other)).alias("n", "a"))
+        .select("entity", "kind", F.posexplode(F.when(F.col("kind") == "person", of_person).when(F.col("kind") == "email", of_mail).otherwise(other)).alias("n", "a"))
         .select("entity", "kind", "n", "a.*")
     )
 
 
+def mod97(text: Column) -> Column:
+    """What is left of the number that letters (A = 10) and digits make, divided by 97."""
+    return F.aggregate(
+        F.split(text, ""), F.lit(0), lambda a, c: F.when(c == "", a).when(c.rlike("[0-9]"), (a * 10 + F.ascii(c) - 48) % 97).otherwise((a * 100 + F.ascii(c) - 55) % 97)
+    )
+
+
 def drawn() -> Column:
     """The surrogate of (atom_kind, atom, attempt), canonical, by the keyed digits ``h``."""
-    kind, atom, h = F.col("atom_kind"), F.col("atom"), F.col("h")
-    at = F.instr(atom, "@")
-    local = letters_and_digits(F.substring(atom, F.lit(1), at - 1), h)
-    host = F.concat(F.lit("mail"), nibble(h, F.lit(250)), F.lit(".example."), F.element_at(F.array(F.lit("com"), F.lit("net"), F.lit("org")), nibble(h, F.lit(251)) % 3 + 1))
+    kind, atom, h, attempt = F.col("atom_kind"), F.col("atom"), F.col("h"), F.col("attempt")
+    times = lambda n, f: F.array_join(F.transform(F.slice(F.sequence(F.lit(0), n), 2, 1000), f), "")  # f of 1 to n
     octet = lambda i: ((nibble(h, F.lit(2 * i)) * 16 + nibble(h, F.lit(2 * i + 1))) % 254 + 1).cast("string")
+    rest = lambda n: F.substring(atom, F.lit(n + 1) if isinstance(n, int) else n + 1, F.length(atom))
     plain = letters_and_digits(atom, h)
     country = F.regexp_extract(atom, COUNTRY, 0)
     body = F.substring(plain, F.lit(1), F.length(atom) - 1)
     check = ((10 - luhn_sum(body, True) % 10) % 10).cast("string")
-    card = F.when(luhn_sum(atom, False) % 10 == 0, F.concat(body, check)).otherwise(plain)
+    card = F.when((luhn_sum(atom, False) % 10 == 0) & (attempt < LONGER), F.concat(body, check)).otherwise(plain)
+    # a digit more for every so many draws of a number
+    longer = times(F.floor(attempt / LONGER).cast("int"), lambda i: pick("0123456789", h, i + 64))
+    account = letters_and_digits(rest(4), h)
+    valid = mod97(F.concat(rest(4), F.substring(atom, 1, 4))) == 1
+    of_account = F.lpad((98 - mod97(F.concat(account, F.substring(atom, 1, 2), F.lit("00")))).cast("string"), 2, "0")
+    iban = F.concat(F.substring(atom, 1, 2), F.when(valid, of_account).otherwise(letters_and_digits(F.substring(atom, 3, 2), h)), account)
+    prefix = F.regexp_extract(atom, f"^(?:{PREFIX})", 0)
+    secret = letters_and_digits(rest(F.length(prefix)), h)
+    credential = F.when(prefix != "", F.concat(prefix, secret)).otherwise(letters_and_digits(atom, h, hexadecimal=True))
 
     def name(syllables, endings):
         s = F.array(*map(F.lit, syllables))
         stem = F.concat(*[F.element_at(s, nibble(h, F.lit(i)) + 1) for i in range(3)])
         end = F.when(kind == "given-female", endings["female"]).when(kind == "given-male", endings["male"]).otherwise(F.element_at(s, nibble(h, F.lit(3)) + 1))
-        more = F.when(F.col("attempt") > 0, F.element_at(s, nibble(h, F.lit(5)) + 1)).otherwise("")
-        return F.concat(stem, more, end)
+        return F.concat(stem, times(attempt, lambda i: F.element_at(s, nibble(h, i + 4) + 1)), end)
 
+    latin = F.array(*map(F.lit, LATIN))
+    label = F.concat(*[F.element_at(latin, nibble(h, F.lit(200 + i)) + 1) for i in range(5)], times(attempt, lambda i: F.element_at(latin, nibble(h, i + 210) + 1)))
+    host = F.concat(label, F.lit(".example."), F.element_at(F.array(F.lit("com"), F.lit("net"), F.lit("org")), nibble(h, F.lit(251)) % 3 + 1))
     person = F.when(atom.rlike(r"\p{IsCyrillic}"), name(CYRILLIC, CYRILLIC_END)).otherwise(name(LATIN, LATIN_END))
     return (
-        F.when(kind == "email", F.concat(local, F.lit("@"), host))
+        F.when(kind == "mailbox", F.concat(plain, times(attempt, lambda i: pick("abcdefghijklmnopqrstuvwxyz", h, i + 64))))
+        .when(kind == "host", host)
         .when(kind == "ip", F.concat_ws(".", *[octet(i) for i in range(4)]))
-        .when(kind == "card", card)
-        .when(kind == "credential", letters_and_digits(atom, h, hexadecimal=True))
+        .when(kind == "card", F.concat(card, longer))
+        .when(kind == "credential", credential)
         .when((kind == "surname") | kind.startswith("given-"), person)
-        .when(kind == "iban", F.concat(F.substring(atom, 1, 2), letters_and_digits(F.expr("substring(atom, 3)"), h)))
-        .when(kind == "phone+", F.concat(country, letters_and_digits(F.substring(atom, F.length(country) + 1, F.length(atom)), h)))
-        .otherwise(plain)
+        .when(kind == "iban", iban)
+        .when(kind == "phone+", F.concat(country, letters_and_digits(rest(F.length(country)), h), longer))
+        .otherwise(F.concat(plain, longer))
     )
 
 
@@ -193,36 +216,36 @@ def draw(atoms_: DataFrame, key: str) -> DataFrame:
     return atoms_.withColumn("h", h).withColumn("surrogate", drawn()).drop("h")
 
 
+#: A number's surrogate gets a digit more after so many draws that collide.
+LONGER = 16
+#: Draws before it is an error; only IPv4 addresses, IBANs and keys can't get longer.
+MOST_DRAWS = 200
+
+
 def surrogates(found: DataFrame, key: str) -> DataFrame:
     """``(atom_kind, atom, surrogate)``: one row an atom, no surrogate twice in a kind, none an atom that occurs.
 
-    Colliding atoms draw again. A draw can only collide again in a kind whose
-    format has few members; after ``ATTEMPTS`` rounds the rest is numbered apart.
+    Colliding atoms draw again until none collides. A round settles the share of them for which their
+    format still has room, so rounds are few; only a format that can't grow and is all in use raises an error.
     """
     all_atoms = cut(found.select("atom_kind", "atom").distinct())
     taken = all_atoms.select("atom_kind", F.col("atom").alias("surrogate"), F.lit(-1).alias("attempt"))
     done = cut(draw(all_atoms.withColumn("attempt", F.lit(0)), key))
-    for attempt in range(1, ATTEMPTS + 1):
-        first = W.partitionBy("atom_kind", "surrogate").orderBy("attempt", "atom")
+    first = W.partitionBy("atom_kind", "surrogate").orderBy("attempt", "atom")
+    for attempt in range(1, MOST_DRAWS):
         marked = done.unionByName(taken, allowMissingColumns=True).withColumn("rank", F.row_number().over(first)).where("atom is not null")
         again = marked.where("rank > 1").select("atom_kind", "atom", F.lit(attempt).alias("attempt"))
         if again.isEmpty():
             return done.select("atom_kind", "atom", "surrogate")
         done = cut(marked.where("rank = 1").select("atom_kind", "atom", "attempt", "surrogate").unionByName(draw(again, key)))
-    first = W.partitionBy("atom_kind", "surrogate").orderBy("attempt", "atom")
-    rank = F.row_number().over(first)
-    return done.unionByName(taken, allowMissingColumns=True).withColumn("rank", rank).where("atom is not null").select(
-        "atom_kind", "atom", F.when(F.col("rank") > 1, F.concat_ws("-", "surrogate", F.col("rank").cast("string"))).otherwise(F.col("surrogate")).alias("surrogate")
-    )
-
-
-ATTEMPTS = 12
+    raise RuntimeError("a format has no distinct surrogates left: " + ", ".join(r.atom_kind for r in again.select("atom_kind").distinct().collect()))
 
 
 def laid_out(kind: Column, shown: Column, surrogate: Column) -> Column:
     """The canonical surrogate in the format of what is shown."""
     digits_before = lambda i: F.length(F.regexp_replace(F.substring(shown, F.lit(1), i), "[^0-9]", ""))
-    as_digits = each_char(shown, lambda c, i: F.when(c.rlike("[0-9]"), F.substring(surrogate, digits_before(i), F.lit(1))).otherwise(c))
+    more = F.substring(surrogate, digits_before(F.length(shown)) + 1, F.length(surrogate))  # where the number had to get longer
+    as_digits = F.concat(each_char(shown, lambda c, i: F.when(c.rlike("[0-9]"), F.substring(surrogate, digits_before(i), F.lit(1))).otherwise(c)), more)
     solid_before = lambda i: F.length(F.regexp_replace(F.substring(shown, F.lit(1), i), " ", ""))
     spaced = each_char(shown, lambda c, i: F.when(c == " ", c).otherwise(F.substring(surrogate, solid_before(i), F.lit(1))))
     as_name = F.when(shown.rlike(r"^\p{Lu}{2,}$"), F.upper(surrogate)).otherwise(F.initcap(surrogate))
@@ -245,12 +268,22 @@ def replacements(occurrences: DataFrame, key: str) -> DataFrame:
     seps = F.split(F.regexp_replace(F.regexp_replace("entity", r"^\S+ ", ""), r"[^ \-]+", "\u0001"), "\u0001")
     names = F.array_join(F.transform(shown, lambda x, i: F.concat(x, F.coalesce(F.get(seps, i + 1), F.lit("")))), "")
     person = F.concat(F.regexp_extract("entity", r"^\S+ ", 0), names)
-    return whole.select("entity", F.when(F.col("kind") == "person", person).otherwise(F.array_join(shown, "")).alias("replacement"))
+    return whole.select("entity", F.when(F.col("kind") == "person", person).otherwise(F.array_join(shown, "@")).alias("replacement"))
 
 
-def with_surrogates(docs: DataFrame, key: str = "surrogate-key") -> DataFrame:
+def key_of(spark: SparkSession) -> str:
+    """The key of the session's configuration; where there is none, a random one is put there."""
+    key = spark.conf.get(KEY, None)
+    if key is None:
+        spark.conf.set(KEY, key := secrets.token_hex(32))
+    return key
+
+
+def with_surrogates(docs: DataFrame, key: str | None = None) -> DataFrame:
     """``docs`` with every detected entity in ``text`` replaced, and ``n_entities`` behind its columns.
 
+    The same ``key`` gives the same surrogates; by default it is the session's (``KEY``).
+
     * a null text stays null, an empty one empty; ``n_entities`` is then 0;
     * texts are scanned and rewritten whole, at any length, and all between entities stays byte for byte;
     * repeated rows each come back, rewritten alike; a null ``doc_id`` is allowed;
@@ -261,6 +294,7 @@ def with_surrogates(docs: DataFrame, key: str = "surrogate-key") -> DataFrame:
     the exchange that brings surrogates back by text. A popular entity is one row of
     the mapping, and its occurrences are joined once for each text.
     """
+    key = key or key_of(docs.sparkSession)
     own = [c for c in docs.columns if c != "n_entities"]
     keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("row"), F.col("text"), F.md5(F.col("text").cast("binary")).alias("row_id"))
     may = keyed.where(suspect(F.col("text")))
@@ -273,7 +307,9 @@ def with_surrogates(docs: DataFrame, key: str = "surrogate-key") -> DataFrame:
         .agg(F.sort_array(F.collect_list(F.struct("n", "replacement"))).alias("new"))
     )
     between = F.split("text", ANY, -1)
-    text = F.concat(F.array_join(F.transform("new", lambda x, i: F.concat(F.get(between, i), x["replacement"])), ""), F.element_at(between, -1))
+    # zipped, so that the text is split once, however many entities it has
+    pairs = F.zip_with("new", between, lambda x, rest: F.concat(rest, F.coalesce(x["replacement"], F.lit(""))))
+    text = F.array_join(pairs, "")
     changed = F.col("new").isNotNull()
     out = (
         may.join(by_row, "row_id", "left")
