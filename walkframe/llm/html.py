@@ -10,6 +10,7 @@ with none of its host's paths keeps its own best.
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 from collections.abc import Iterable, Iterator
@@ -45,13 +46,16 @@ GOOD_WORDS = frozenset("article content post entry story main text body".split()
 STATES = frozenset("has with no is without".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
-#: A path has so many steps at most; containers deeper down share it.
-DEEPEST = 64
+#: Paths longer than so many characters are written as a digest of their beginning and their last step.
+LONG_PATH = 400
 
-TAG = re.compile(
-    r"""<(?:!--.*?(?:-->|\Z)|!\[CDATA\[.*?(?:\]\]>|\Z)|(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|/?[a-zA-Z][^>]*+>|[!?/][^>]*+>)""",
-    re.DOTALL,
-)
+#: A page is extracted on another path than its best only if that scores so large a share of the best.
+LEAST = 0.1
+
+#: Most tags: without < or > in quotes, so that no match goes on behind the next <.
+PLAIN = re.compile(r"""<(/?)([a-zA-Z][^\s/<>]*+)((?:[^<>"']++|"[^"<>]*+"|'[^'<>]*+')*+)>""")
+NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)")
+OUTSIDE_QUOTES = re.compile(r"""[^>"']*+""")
 ATTRIBUTE = re.compile(r"""([^\s=>/"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 WORDS = re.compile(r"[a-z]+")
 
@@ -60,97 +64,154 @@ def attributes(source: str) -> dict[str, str]:
     return {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(source)}
 
 
+class Tags:
+    """The tags of a page, one after the other, in time linear in the page.
+
+    A ``>`` in quotes doesn't end a tag, if the quotes are closed and another ``>`` follows; else the first ``>`` ends it.
+    Where a search for the end came to nothing, later searches that reach one of its places outside quotes end there at once.
+    """
+
+    def __init__(self, source: str) -> None:
+        self.source, self.last = source, source.rfind(">")
+        self.closing = {q: source.rfind(q) for q in "\"'"}
+        self.dead: set[int] = set()
+
+    def end(self, at: int) -> int:
+        """Where the tag ends whose attributes begin at ``at``: its ``>``, or -1."""
+        source, at_first, seen = self.source, at, []
+        while at not in self.dead:
+            seen.append(at)
+            at = OUTSIDE_QUOTES.match(source, at).end()
+            if at > self.last:
+                break
+            if source[at] == ">":
+                return at
+            if at in self.dead:
+                break
+            seen.append(at)
+            close = source.find(source[at], at + 1) if self.closing[source[at]] > at else -1
+            if close < 0:
+                break
+            at = close + 1
+        self.dead.update(seen)
+        return source.find(">", at_first) if at_first <= self.last else -1
+
+    def next(self, at: int) -> tuple[int, int, str, bool, str] | None:
+        """(start, end, name, whether it is an end tag, attributes) of the next tag; comments and the like have no name."""
+        source = self.source
+        while (start := source.find("<", at)) >= 0:
+            if m := PLAIN.match(source, start):
+                return start, m.end(), m[2].lower(), m[1] != "", m[3]
+            mark = source[start + 1 : start + 2]
+            for opening, closing in (("<!--", "-->"), ("<![CDATA[", "]]>")):
+                if source.startswith(opening, start):
+                    close = source.find(closing, start + len(opening))
+                    return start, close + len(closing) if close >= 0 else len(source), "", False, ""
+            if start > self.last:
+                # no tag can end any more; only a comment that is open to the end of the page may follow
+                rest = [x for x in (source.find("<!--", start), source.find("<![CDATA[", start)) if x >= 0]
+                if not rest:
+                    return None
+                at = min(rest)
+                continue
+            if m := NAME.match(source, start):
+                close = self.end(m.end())
+                if close >= 0:
+                    return start, close + 1, m[2].lower(), bool(m[1]), source[m.end() : close]
+            elif mark and mark in "!?/":
+                return start, source.find(">", start) + 1, "", False, ""
+            at = start + 1
+        return None
+
+
 class Page:
     """The elements of a page in document order, and its text as events.
 
-    ``parent``, ``tag``, ``path`` and ``role`` (0 article, 1 boilerplate, 2 a header,
-    whose headings count inside an article) describe element i; its events are
-    ``first[i]`` to ``last[i]``. An event is (element, text, in a link), or None at
-    the edge of a block.
+    ``parent``, ``tag``, ``path``, ``depth`` (containers around it) and ``role`` (0 article, 1 boilerplate,
+    2 a header, whose headings count inside an article) describe element i; its events are ``first[i]`` to
+    ``last[i]``, and the elements in it those up to ``beyond[i]``. An event is (element, text, in a link),
+    or None at the edge of a block. Places on the stack of open elements are kept by tag, so no tag looks through the stack.
     """
 
     def __init__(self, source: str) -> None:
-        self.tag, self.parent, self.path, self.role = ["html"], [-1], ["html"], [0]
-        self.first, self.last = [0], [0]
+        self.tag, self.parent, self.path, self.depth, self.role = ["html"], [-1], ["html"], [0], [0]
+        self.first, self.last, self.beyond = [0], [0], [0]
         self.events: list[tuple[int, str, bool] | None] = []
-        stack, inside_link, at, end = [0], 0, 0, len(source)
-        links: list[int] = []
+        self.stack, self.places, self.blocks_open, self.containers_open = [0], {}, [], [0]
+        tags, at, end = Tags(source), 0, len(source)
+        lower, links = None, self.places.setdefault("a", [])
 
         def text(piece: str) -> None:
             if piece:
-                self.events.append((stack[-1], piece, bool(links)))
-
-        def close(to: int) -> None:
-            """Close the stack down to position ``to``, which is closed as well."""
-            while len(stack) > to:
-                i = stack.pop()
-                self.last[i] = len(self.events)
-                if links and links[-1] == i:
-                    links.pop()
-
-        while at < end:
-            m = TAG.search(source, at)
-            if not m:
-                break
-            text(source[at : m.start()])
-            at = m.end()
-            name = m[2]
+                self.events.append((self.stack[-1], piece, bool(links)))
+
+        while at < end and (found := tags.next(at)):
+            start, after, name, closes, source_of = found
+            text(source[at:start])
+            at = after
             if not name:
                 continue
-            name = name.lower()
-            if m[1]:
+            if closes:
                 if name in BLOCK:
                     self.events.append(None)
-                for k in range(len(stack) - 1, 0, -1):
-                    t = self.tag[stack[k]]
-                    if t == name:
-                        close(k)
-                        break
-                    if name not in BLOCK and t in CONTAINERS:
-                        break  # an end tag of an inline element doesn't close containers
+                place = self.nearest((name,))
+                # an end tag of an inline element doesn't close containers
+                if place > 0 and (name in BLOCK or self.containers_open[-1] <= place):
+                    self.close(place)
                 continue
             if name in BLOCK:
                 self.events.append(None)
-            if name == "html":
-                continue
-            if name == "svg" and m[3].endswith("/"):
-                continue  # foreign: closed by its own tag, unlike <script/> and the like
+            if name == "html" or name == "svg" and source_of.endswith("/"):
+                continue  # foreign elements are closed by their own tag, unlike <script/> and the like
             if name in RAW:
-                found = re.compile(rf"</{name}[^>]*>", re.IGNORECASE).search(source, at)
                 if name != "head":
-                    at = found.end() if found else end
+                    lower = lower or source.lower()
+                    close = lower.find(f"</{name}", at) if len(lower) == end else -2
+                    if close == -2:  # lower case is longer
+                        m = re.compile(f"</{name}", re.IGNORECASE).search(source, at)
+                        close = m.start() if m else -1
+                    at = source.find(">", close) + 1 if 0 <= close <= tags.last else end
                 continue
             if name in VOID:
                 continue
             if name in ENDS_P:
-                for k in range(len(stack) - 1, 0, -1):
-                    t = self.tag[stack[k]]
+                if self.blocks_open:
+                    t = self.tag[self.stack[self.blocks_open[-1]]]
                     if t == "p" or (t in HEADINGS and name in HEADINGS):
-                        close(k)
-                        break
-                    if t in BLOCK:
-                        break
+                        self.close(self.blocks_open[-1])
             elif name in ENDS:
                 ended, scope = ENDS[name]
-                for k in range(len(stack) - 1, 0, -1):
-                    if self.tag[stack[k]] in scope:
+                while (place := self.nearest(ended)) > self.nearest(scope):
+                    self.close(place)
+                    if name != "tr":
                         break
-                    if self.tag[stack[k]] in ended:
-                        close(k)
-                        if name != "tr":
-                            break
-            self.open(name, m[3], stack)
-            if name == "a":
-                links.append(stack[-1])
+            self.open(name, source_of, self.stack)
         text(source[at:])
-        close(0)
+        self.close(0)
+
+    def nearest(self, names: Iterable[str]) -> int:
+        """The highest place on the stack of an open element of these names, or -1."""
+        return max((self.places[n][-1] for n in names if self.places.get(n)), default=-1)
+
+    def close(self, to: int) -> None:
+        """Close the stack down to place ``to``, which is closed as well."""
+        while len(self.stack) > to:
+            i = self.stack.pop()
+            self.last[i], self.beyond[i] = len(self.events), len(self.tag)
+            place, name = len(self.stack), self.tag[i]
+            if place:
+                self.places[name].pop()
+            if name in BLOCK and place:
+                self.blocks_open.pop()
+            if name in CONTAINERS:
+                self.containers_open.pop()
 
     def open(self, name: str, source: str, stack: list[int]) -> None:
         i, up = len(self.tag), stack[-1]
         has = attributes(source) if source and not source.isspace() else {}
         classes = (has.get("class", "") + " " + has.get("id", "")).lower().split()
         role = self.role[up]
-        if role == 2 and name in HEADINGS and any(self.tag[k] in ("article", "main") for k in stack):
+        if role == 2 and name in HEADINGS and self.nearest(("article", "main")) >= 0:
             role = 0
         elif role == 0:
             if name in NOT_ARTICLE or has.get("role", "").lower() in ROLES or "hidden" in has or has.get("aria-hidden") == "true" or "display:none" in has.get("style", "").replace(" ", ""):
@@ -169,10 +230,25 @@ class Page:
         general = ".".join([name, *sorted({re.sub(r"[0-9]+", "#", c) for c in has.get("class", "").lower().split()})])
         self.tag.append(name)
         self.parent.append(up)
-        self.path.append(f"{self.path[up]}>{general}" if name in CONTAINERS and self.path[up].count(">") < DEEPEST else self.path[up])
+        own = name in CONTAINERS
+        around = self.path[up]
+        if own and len(around) > LONG_PATH:
+            around = "#" + hashlib.blake2b(around.encode(errors="surrogatepass"), digest_size=16).hexdigest()
+        self.path.append(f"{around}>{general}" if own else around)
+        self.depth.append(self.depth[up] + own)
         self.role.append(role)
         self.first.append(len(self.events))
         self.last.append(len(self.events))
+        self.beyond.append(i + 1)
+        place = len(stack)
+        if name in self.places:
+            self.places[name].append(place)
+        else:
+            self.places[name] = [place]
+        if name in BLOCK:
+            self.blocks_open.append(place)
+        if own:
+            self.containers_open.append(place)
         stack.append(i)
 
     def blocks(self, i: int = 0) -> Iterator[tuple[int, str, int]]:
@@ -198,12 +274,15 @@ class Page:
         """Of each container with text: characters outside links, halved with each container in between."""
         found: dict[int, float] = {}
         for where, text, linked in self.blocks():
-            worth, i = float(max(0, len(text) - linked)), where
-            while i >= 0 and worth >= 0.001:
-                if self.tag[i] in CONTAINERS:
-                    found[i] = found.get(i, 0.0) + worth
-                    worth /= 2
-                i = self.parent[i]
+            while self.tag[where] not in CONTAINERS:
+                where = self.parent[where]
+            found[where] = found.get(where, 0.0) + max(0, len(text) - linked)
+        for i in range(len(self.tag) - 1, 0, -1):  # what is inside comes behind
+            if worth := found.get(i, 0.0):
+                up = self.parent[i]
+                while self.tag[up] not in CONTAINERS:
+                    up = self.parent[up]
+                found[up] = found.get(up, 0.0) + worth / 2
         for i in found:
             last = set(WORDS.findall(self.path[i].rpartition(">")[2]))
             found[i] *= 1.5 if self.tag[i] in ("article", "main") else 1.25 if last & GOOD_WORDS else 1.0
@@ -213,28 +292,25 @@ class Page:
         """The containers on a path, without those inside another of them."""
         found: list[int] = []
         for i, p in enumerate(self.path):
-            if p == path and self.tag[i] in CONTAINERS and not (found and self.inside(i, found[-1])):
+            if p == path and self.tag[i] in CONTAINERS and not (found and i < self.beyond[found[-1]]):
                 found.append(i)
         return found
 
-    def inside(self, i: int, top: int) -> bool:
-        while i > top:
-            i = self.parent[i]
-        return i == top
-
     def text(self, elements: list[int]) -> str:
         return "\n".join(t for i in elements for _, t, _ in self.blocks(i))
 
 
-def ranked_paths(page: Page) -> list[tuple[str, float]]:
-    """The paths of a page's containers and their scores, summed over the elements on a path, best first."""
+def ranked_paths(page: Page) -> list[tuple[str, float, bool]]:
+    """The paths of a page's containers, their scores, summed over the elements on a path, and whether they are the page or its body; best first."""
     by_path: dict[str, float] = {}
+    root: dict[str, bool] = {}
     for i, s in page.scores().items():
         by_path[page.path[i]] = by_path.get(page.path[i], 0.0) + s
-    return sorted(by_path.items(), key=lambda x: (-x[1], x[0]))
+        root[page.path[i]] = page.depth[i] < 2
+    return sorted(((p, s, root[p]) for p, s in by_path.items()), key=lambda x: (-x[1], x[0]))
 
 
-def eligible(scores: list[tuple[str, float]], least: float = 0.1) -> list[str]:
+def eligible(scores: list[tuple[str, float, bool]], least: float = LEAST) -> list[str]:
     """Of a page's ranked paths, those that it can be extracted on, its own best one first.
 
     A path with a small share (``least``) of what the best one scores isn't taken, nor is
@@ -243,12 +319,11 @@ def eligible(scores: list[tuple[str, float]], least: float = 0.1) -> list[str]:
     """
     if not scores:
         return []
-    own, top = scores[0]
-    root = lambda p: p.count(">") < 2
-    return [p for p, s in scores if s >= least * top and (not root(p) or root(own))]
+    _, top, whole = scores[0]
+    return [p for p, s, root in scores if s >= least * top and (not root or whole)]
 
 
-def extract(source: str | None, paths: list[str], least: float = 0.1) -> str:
+def extract(source: str | None, paths: list[str], least: float = LEAST) -> str:
     """Text of the elements on the first of ``paths`` that the page is eligible for; or of its own best container."""
     page = Page(source or "")
     mine = eligible(ranked_paths(page), least)
