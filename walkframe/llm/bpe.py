@@ -97,11 +97,17 @@ def overlap_boundaries(batches: Iterable[pa.RecordBatch], chunk: int, overlap: i
             yield pa.RecordBatch.from_arrays([b.column("key"), b.column("k"), pa.array(lefts, kind), pa.array(rights, kind)], ["key", "k", "lefts", "rights"])
 
 
+def id_type(enc: tiktoken.Encoding) -> str:
+    """What ids are exchanged as: two bytes each where the vocabulary allows it."""
+    return "<u2" if enc.max_token_value < 1 << 16 else "<u4"
+
+
 def encode_pieces(batches: Iterable[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     enc = encoder(path)
+    kind = id_type(enc)
     for whole in batches:
         for b in slices(whole, 256):
-            tokens = [np.array(enc.encode_ordinary(x.as_py()), dtype="<u4") for x in b.column("text")]
+            tokens = [np.array(enc.encode_ordinary(x.as_py()), dtype=kind) for x in b.column("text")]
             columns = [pa.array([len(t) for t in tokens], pa.int64()), pa.array([t.tobytes() for t in tokens], pa.binary())]
             names = ["key", "doc_id", "piece", "copies"]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), *columns], [*names, "n_tokens", "ids"])
@@ -131,7 +137,7 @@ def code_in_order(batches: Iterable[pa.RecordBatch], path: str, keep: bool) -> I
     Pieces of rows that are alike come side by side; one of each is hashed, and the copies of the first tell how many rows there are.
     """
     enc = encoder(path)
-    key, held = None, None
+    kind, key, held = id_type(enc), None, None
 
     def result() -> Iterator[pa.RecordBatch]:
         doc, copies, n, of_ids, of_bytes, parts, _ = held
@@ -150,7 +156,8 @@ def code_in_order(batches: Iterable[pa.RecordBatch], path: str, keep: bool) -> I
                     held[1] += copies
                 if piece == held[6]:
                     continue
-                decoded = enc.decode_bytes(np.frombuffer(ids, dtype="<u4").tolist())
+                ids = np.frombuffer(ids, dtype=kind).astype("<u4")
+                decoded, ids = enc.decode_bytes(ids.tolist()), ids.tobytes()
                 held[2] += n
                 held[3].update(ids)
                 held[4].update(decoded)
