@@ -14,7 +14,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from walkframe.operators.components import connected_components, roots
 from walkframe.session import cut
@@ -66,14 +66,16 @@ def in_blocks(vectors: DataFrame, by: list[Column], block: int) -> DataFrame:
     parts = max(1, -(-n // (4 * block)))
     ordered = cut(vectors.repartitionByRange(parts, *by).sortWithinPartitions(*by).withColumn("place", F.monotonically_increasing_id()))
     part = F.shiftright("place", 33)
-    # one row a partition: as many as the exchange has
-    sizes = sorted((r.part, r["count"]) for r in ordered.groupBy(part.alias("part")).count().collect())
-    starts, at = {}, 0
-    for p, size in sizes:
-        starts[p] = at
-        at += size
-    start = F.create_map(*[F.lit(x) for p, s in starts.items() for x in (p, s)])[part] if starts else F.lit(0)
-    return ordered.withColumn("block", F.floor((start + F.col("place").bitwiseAND((1 << 33) - 1)) / block)).drop("place")
+    # a row of two numbers for each partition, of which there is one for each 4 * block rows
+    sizes = ordered.groupBy(part.alias("part")).agg(F.count("*").alias("rows"))
+    before = F.coalesce(F.sum("rows").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("start")
+    starts = sizes.select("part", before)
+    return (
+        ordered.withColumn("part", part)
+        .join(F.broadcast(starts), "part")
+        .withColumn("block", F.floor((F.col("start") + F.col("place").bitwiseAND((1 << 33) - 1)) / block))
+        .drop("place", "part", "start")
+    )
 
 
 def candidates(a: np.ndarray, b: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -100,6 +102,8 @@ def candidates(a: np.ndarray, b: np.ndarray, least: np.ndarray) -> tuple[np.ndar
 
 THRESHOLD = 0.9
 BLOCK = 4096
+#: Leading directions in which the boxes of blocks are compared, and those whose cells order the rows.
+BOX, CELLS = 8, 4
 TILE = 256
 
 
@@ -162,10 +166,11 @@ def cosine_components(embeddings: DataFrame, threshold: float = THRESHOLD, block
     * equal vectors are one class: it is compared once, and its rows count each other;
     * repeated rows are rows; an empty table gives an empty result; other columns are ignored.
 
-    Classes are dealt into blocks along the first principal direction. Near vectors
-    differ there by ``sqrt(2 - 2 * threshold)`` at most, so blocks meet through the
-    cells of a grid of that width, each pair of blocks in one task. A task reports
-    counts and a spanning set of links, never pairs.
+    Classes are dealt into blocks in the order of their cells in the leading principal
+    directions. Near vectors are ``sqrt(2 - 2 * threshold)`` apart at most, so two blocks
+    are compared only if the boxes around them in those directions come so near; blocks that
+    may are found through the cells of the first direction. Each pair of blocks is one
+    task's work, which reports counts and a spanning set of links, never pairs.
     """
     usable = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").where(
         F.col("vec_id").isNotNull() & valid(F.col("embedding")) & F.exists("embedding", lambda v: v != 0)
@@ -186,20 +191,24 @@ def cosine_components(embeddings: DataFrame, threshold: float = THRESHOLD, block
 def class_labels(classes: DataFrame, threshold: float, block: int) -> DataFrame:
     """``(embedding, class_links, class_component)`` of classes ``(embedding, rep, n)`` of one size."""
     rotation = basis(classes.withColumnRenamed("rep", "vec_id"), unit)
-    first = rotation[:, 0]
+    leading = np.ascontiguousarray(rotation[:, :BOX])
+    width = float(np.sqrt(2 - 2 * threshold)) + 1e-6
 
     def along(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(unit(matrix(b.column("embedding"))) @ first)], [*b.schema.names, "x"])
-
-    schema = T.StructType([*classes.schema.fields, T.StructField("x", T.DoubleType())])
-    blocks = in_blocks(classes.mapInArrow(along, schema), [F.col("x"), F.col("rep")], block)
-    width = float(np.sqrt(2 - 2 * threshold)) + 1e-6
-    spans = cut(blocks.groupBy("block").agg(F.min("x").alias("lo"), F.max("x").alias("hi")))
-    cells = lambda more: F.explode(F.sequence(F.floor(F.col("lo") / width) - more, F.floor(F.col("hi") / width) + more))
-    i = spans.select(F.col("block").alias("i"), F.col("hi").alias("i_hi"), cells(0).alias("cell"))
-    j = spans.select(F.col("block").alias("j"), F.col("lo").alias("j_lo"), cells(1).alias("cell"))
-    meet = cut(i.join(j, "cell").where((F.col("i") <= F.col("j")) & (F.col("j_lo") - F.col("i_hi") <= width)).select("i", "j").distinct())
+            x = unit(matrix(b.column("embedding"))) @ leading
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(list(x), pa.list_(pa.float64()))], [*b.schema.names, "x"])
+
+    schema = T.StructType([*classes.schema.fields, T.StructField("x", T.ArrayType(T.DoubleType()))])
+    directions = range(leading.shape[1])
+    x = [F.col("x")[d] for d in directions]
+    blocks = in_blocks(classes.mapInArrow(along, schema), [*(F.floor(v / width) for v in x[:CELLS]), x[0], F.col("rep")], block)
+    spans = cut(blocks.groupBy("block").agg(*(f(v).alias(f"{name}{d}") for d, v in zip(directions, x) for name, f in (("lo", F.min), ("hi", F.max)))))
+    cells = lambda more: F.explode(F.sequence(F.floor(F.col("lo0") / width) - more, F.floor(F.col("hi0") / width) + more)).alias("cell")
+    side = lambda name, more: spans.select(F.col("block").alias(name), cells(more), *(F.col(f"{e}{d}").alias(f"{name}_{e}{d}") for d in directions for e in ("lo", "hi")))
+    gap = lambda d: F.greatest(F.lit(0.0), F.col(f"j_lo{d}") - F.col(f"i_hi{d}"), F.col(f"i_lo{d}") - F.col(f"j_hi{d}"))
+    apart = reduce(lambda a, b: a + b, (gap(d) * gap(d) for d in directions))
+    meet = cut(side("i", 0).join(side("j", 1), "cell").where((F.col("i") <= F.col("j")) & (apart <= width * width)).select("i", "j").distinct())
     rows = blocks.select("block", "rep", "n", "embedding")
     left = meet.join(rows.withColumnRenamed("block", "i"), "i")
     right = meet.join(rows.withColumnRenamed("block", "j"), "j")
@@ -229,8 +238,8 @@ def op7_embedding_near_dedup(spark, sf_dir):
 # ---------------------------------------------------------------- exact top-k
 
 TOP = 10
-QUERY_BLOCK = 512
-GROUP = 2048
+QUERY_BLOCK = 1 << 14
+GROUP = 1 << 13
 #: The longest vectors, compared first to give every query a score to beat.
 HEAD = 4096
 SCALE = 1024
@@ -240,6 +249,19 @@ def quantised(x: np.ndarray) -> np.ndarray:
     return np.floor(SCALE * x)
 
 
+def exact_scores(q: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Inner products of rows of whole numbers, as 64-bit integers; an error where one doesn't fit."""
+    product = np.einsum("ij,ij->i", q, c)
+    size = np.einsum("ij,ij->i", np.abs(q), np.abs(c))
+    out = np.where(size < 2.0**53, product, 0).astype(np.int64)
+    for i in np.flatnonzero(~(size < 2.0**53)):  # sums of doubles aren't exact there
+        score = sum(int(a) * int(b) for a, b in zip(q[i], c[i]))
+        if not -(1 << 63) <= score < 1 << 63:
+            raise OverflowError(f"the inner product {score} has more than 64 bits")
+        out[i] = score
+    return out
+
+
 def best_of(ids: np.ndarray, query: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
     """Of rows (query, id, score): those among the k best of their query, ties to the smaller id."""
     order = np.lexsort((ids, -score, query))
@@ -274,7 +296,7 @@ def top_of_group(rotation: np.ndarray, k: int):
                 i, j = go[i], j + to
                 other = qid[tile][i] != cid[j]
                 i, j = i[other], j[other]
-                score = np.einsum("ij,ij->i", q[tile][i], c[j]).astype(np.int64)
+                score = exact_scores(q[tile][i], c[j])
                 new = [i, cid[j], score]
                 held = new if held is None else [np.concatenate(x) for x in zip(held, new)]
                 keep = best_of(held[1], held[0], held[2], k)
@@ -296,7 +318,7 @@ def top_of_group(rotation: np.ndarray, k: int):
 def top_inner_products(embeddings: DataFrame, every: int = 100, k: int = TOP) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: the ``k`` best rows for every row whose ``vec_id`` divides by ``every``.
 
-    The score is the inner product of ``floor(1024 * x)``, exact below 2**53; ties
+    The score is the inner product of ``floor(1024 * x)``, exact; one beyond 64 bits raises an error. Ties
     go to the smaller ``vec_id``.
 
     * vectors that are null, empty, or hold null or non-finite components take no part,
@@ -304,9 +326,10 @@ def top_inner_products(embeddings: DataFrame, every: int = 100, k: int = TOP) ->
     * a row is compared with all others of its vector's size but those of its own ``vec_id``;
     * repeated rows are rows; an empty table gives an empty result; other columns are ignored.
 
-    Queries, in blocks, meet all rows, in groups of falling length. Each query starts
-    from the k-th best score among the longest vectors (a bounded head that every task
-    gets), so most groups end at a bound of lengths or of partial products.
+    Rows are dealt into groups of falling length. Each query starts from the k-th best score among
+    the longest vectors (a bounded head that every task gets); that score by the query's length is the least
+    length a row must have to better it. Queries are dealt into blocks by that least length, and a block meets
+    only groups that reach its smallest: others are never sent. What meets ends at a bound of lengths or of partial products.
     """
     usable = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").where(F.col("vec_id").isNotNull() & valid(F.col("embedding")))
     return by_size(cut(usable), lambda v: top_of_size(v, every, k))
@@ -323,25 +346,29 @@ def top_of_size(usable: DataFrame, every: int, k: int) -> DataFrame:
     def with_beat(batches):
         for b in batches:
             q, ids = quantised(matrix(b.column("embedding"))), b.column("vec_id").to_numpy()
-            beat = np.full(len(q), -(2.0**62))
+            length_of = np.linalg.norm(q, axis=1)
+            beat = np.full(len(q), -np.inf)
             for at in range(0, len(q), TILE):
                 score = q[at : at + TILE] @ head_rows.T
-                score[ids[at : at + TILE, None] == head_ids[None, :]] = -(2.0**62)
+                score[ids[at : at + TILE, None] == head_ids[None, :]] = -np.inf
                 if score.shape[1] >= k:
                     beat[at : at + TILE] = np.partition(score, -k, axis=1)[:, -k]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(beat)], [*b.schema.names, "beat"])
+            least = np.divide(beat, length_of, out=np.full(len(q), -np.inf), where=length_of > 0)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(beat), pa.array(np.maximum(least, 0.0))], [*b.schema.names, "beat", "least"])
 
     queries = usable.where(F.col("vec_id") % every == 0)
-    schema = T.StructType([*queries.schema.fields, T.StructField("beat", T.DoubleType())])
-    queries = in_blocks(queries.mapInArrow(with_beat, schema), [F.col("vec_id")], QUERY_BLOCK).withColumnRenamed("block", "q")
-    groups = in_blocks(sized, [F.col("length").desc(), F.col("vec_id")], GROUP).withColumnRenamed("block", "g").drop("length")
-    last = lambda df, c: (df.agg(F.max(c)).first()[0])
-    nq, ng = last(queries, "q"), last(groups, "g")
-    upto = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n if n is not None else 0)).cast("array<bigint>"))
-    left = queries.withColumn("g", upto(ng))
-    right = groups.withColumn("q", upto(nq))
-    found = left.groupBy("q", "g").cogroup(right.groupBy("q", "g")).applyInArrow(top_of_group(rotation, k), "query_id long, vec_id long, score long")
-    from pyspark.sql import Window as W
+    schema = T.StructType([*queries.schema.fields, T.StructField("beat", T.DoubleType()), T.StructField("least", T.DoubleType())])
+    queries = in_blocks(queries.mapInArrow(with_beat, schema), [F.col("least"), F.col("vec_id")], QUERY_BLOCK).withColumnRenamed("block", "q")
+    groups = in_blocks(sized, [F.col("length").desc(), F.col("vec_id")], GROUP).withColumnRenamed("block", "g")
+    # blocks and groups, a row each, meet through classes of length an eighth of a power of two wide
+    class_of = lambda x: F.floor(8 * F.log2(F.greatest(x, F.lit(1.0))))
+    need = queries.groupBy("q").agg(F.min("least").alias("least")).withColumn("class", class_of(F.col("least")))
+    have = groups.groupBy("g").agg(F.sqrt(F.max("length")).alias("longest"))
+    have = have.withColumn("class", F.explode(F.sequence(F.lit(0).cast("long"), class_of(F.col("longest")) + 1)))
+    meet = cut(need.join(have, "class").where(F.col("least") * (1 - 1e-9) <= F.col("longest")).select("q", "g"))
+    left = queries.drop("least").join(meet, "q")
+    right = groups.drop("length").join(meet.select(F.col("q").alias("to_q"), F.col("g").alias("to_g")), F.col("g") == F.col("to_g")).drop("g")
+    found = left.groupBy("q", "g").cogroup(right.groupBy("to_q", "to_g")).applyInArrow(top_of_group(rotation, k), "query_id long, vec_id long, score long")
 
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
