@@ -238,8 +238,8 @@ def op7_embedding_near_dedup(spark, sf_dir):
 # ---------------------------------------------------------------- exact top-k
 
 TOP = 10
-QUERY_BLOCK = 1 << 14
-GROUP = 1 << 13
+QUERY_BLOCK = 1 << 13
+GROUP = 1 << 11
 #: The longest vectors, compared first to give every query a score to beat.
 HEAD = 4096
 SCALE = 1024
