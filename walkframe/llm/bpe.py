@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from walkframe.llm.common import slices
 
 CHUNK = 1 << 12
-OVERLAP = 1 << 9
+OVERLAP = 1 << 7
 #: A match that ends so near the end of a chunk may go on behind it.
 MARGIN = 16
 
@@ -103,11 +103,13 @@ def id_type(enc: tiktoken.Encoding) -> str:
 
 
 def encode_pieces(batches: Iterable[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+    """Encode what lies between ``start`` and ``end`` of each row (null: the end of its text)."""
     enc = encoder(path)
     kind = id_type(enc)
     for whole in batches:
         for b in slices(whole, 256):
-            tokens = [np.array(enc.encode_ordinary(x.as_py()), dtype=kind) for x in b.column("text")]
+            of = zip(*(b.column(c).to_pylist() for c in ("text", "start", "end")))
+            tokens = [np.array(enc.encode_ordinary(x[s:e]), dtype=kind) for x, s, e in of]
             columns = [pa.array([len(t) for t in tokens], pa.int64()), pa.array([t.tobytes() for t in tokens], pa.binary())]
             names = ["key", "doc_id", "piece", "copies"]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), *columns], [*names, "n_tokens", "ids"])
@@ -171,8 +173,8 @@ def code_in_order(batches: Iterable[pa.RecordBatch], path: str, keep: bool) -> I
 # ---------------------------------------------------------------- the plan
 
 
-def pieces_of(chunks: DataFrame, chunk: int, overlap: int) -> DataFrame:
-    """``(key, doc_id, piece, copies, text)`` of the chunks of long texts: cut where they resynchronise, joined where they don't."""
+def pieces_of(chunks: DataFrame, chunk: int, overlap: int) -> tuple[DataFrame, DataFrame]:
+    """``(key, doc_id, piece, copies, text, start, end)`` of the chunks of long texts: pieces of one chunk, which end where it resynchronises, and joined ones."""
     seen = chunks.mapInArrow(lambda batches: overlap_boundaries(batches, chunk, overlap), BOUNDS).dropDuplicates(["key", "k"])
     order = W.partitionBy("key").orderBy("k")
     meets = F.when(F.col("k") == 0, F.lit(0)).otherwise(F.array_min(F.array_intersect("lefts", F.lag("rights").over(order))))
@@ -188,16 +190,18 @@ def pieces_of(chunks: DataFrame, chunk: int, overlap: int) -> DataFrame:
         )
         .withColumn("parts", F.count("*").over(W.partitionBy("key", "piece")))
     )
+    # both sides take all columns of the chunks, so that one exchange serves both
+    parts = chunks.join(spans, ["key", "k"])
+    alone = parts.where("parts = 1").withColumn("copies", F.lit(1).cast("long"))
     own = F.col("text").substr(F.col("start") + 1, F.coalesce("end", F.length("text")) - F.col("start"))
-    parts = chunks.join(spans, ["key", "k"]).select("key", "doc_id", "piece", "k", "parts", own.alias("text"))
-    alone = parts.where("parts = 1").select("key", "doc_id", "piece", F.lit(1).cast("long").alias("copies"), "text")
     joined = (
         parts.where("parts > 1")
-        .groupBy("key", "doc_id", "piece", "parts")
-        .agg(F.count("*").alias("rows"), F.sort_array(F.collect_set(F.struct("k", "text"))).alias("of"))
+        .groupBy("key", "doc_id", "n", "piece", "parts")
+        .agg(F.count("*").alias("rows"), F.sort_array(F.collect_set(F.struct("k", own.alias("text")))).alias("of"))
         .select("key", "doc_id", "piece", F.expr("rows div parts").alias("copies"), F.array_join(F.transform("of", lambda x: x["text"]), "").alias("text"))
+        .withColumns({"start": F.lit(0), "end": F.lit(None).cast("int")})
     )
-    return alone.union(joined)
+    return alone, joined
 
 
 def bpe_round_trip(docs: DataFrame, vocabulary: str | None = None, chunk: int = CHUNK, overlap: int = OVERLAP, keep: bool = False) -> DataFrame:
@@ -216,7 +220,8 @@ def bpe_round_trip(docs: DataFrame, vocabulary: str | None = None, chunk: int =
     out = ", ".join(f"{name} {'long' if kind == pa.int64() else 'string' if kind == pa.string() else 'binary'}" for name, kind in (CODED if keep else CODED[:4]))
     short = rows.where(F.length("text") <= chunk).mapInArrow(lambda batches: code_whole(batches, path, keep), out)
     chunks = rows.where(F.length("text") > chunk).mapInArrow(lambda batches: in_chunks(batches, chunk, overlap), CHUNKS).repartition("key", "k")
-    encoded = pieces_of(chunks, chunk, overlap).mapInArrow(lambda batches: encode_pieces(batches, path), ENCODED)
+    alone, joined = (x.mapInArrow(lambda batches: encode_pieces(batches, path), ENCODED) for x in pieces_of(chunks, chunk, overlap))
+    encoded = alone.union(joined)
     long = encoded.repartition("key").sortWithinPartitions("key", "piece").mapInArrow(lambda batches: code_in_order(batches, path, keep), out)
     return short.union(long)
 
