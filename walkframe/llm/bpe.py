@@ -219,7 +219,9 @@ def bpe_round_trip(docs: DataFrame, vocabulary: str | None = None, chunk: int =
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     out = ", ".join(f"{name} {'long' if kind == pa.int64() else 'string' if kind == pa.string() else 'binary'}" for name, kind in (CODED if keep else CODED[:4]))
     short = rows.where(F.length("text") <= chunk).mapInArrow(lambda batches: code_whole(batches, path, keep), out)
-    chunks = rows.where(F.length("text") > chunk).mapInArrow(lambda batches: in_chunks(batches, chunk, overlap), CHUNKS).repartition("key", "k")
+    chunks = rows.where(F.length("text") > chunk).mapInArrow(lambda batches: in_chunks(batches, chunk, overlap), CHUNKS)
+    # the join with the cuts asks for these; asked here, both uses of the exchange are alike, and it is made once
+    chunks = chunks.where("key is not null and k is not null").repartition("key", "k")
     alone, joined = (x.mapInArrow(lambda batches: encode_pieces(batches, path), ENCODED) for x in pieces_of(chunks, chunk, overlap))
     encoded = alone.union(joined)
     long = encoded.repartition("key").sortWithinPartitions("key", "piece").mapInArrow(lambda batches: code_in_order(batches, path, keep), out)
