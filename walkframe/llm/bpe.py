@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import zlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -110,7 +111,7 @@ def encode_pieces(batches: Iterable[pa.RecordBatch], path: str) -> Iterator[pa.R
         for b in slices(whole, 256):
             of = zip(*(b.column(c).to_pylist() for c in ("text", "start", "end")))
             tokens = [np.array(enc.encode_ordinary(x[s:e]), dtype=kind) for x, s, e in of]
-            columns = [pa.array([len(t) for t in tokens], pa.int64()), pa.array([t.tobytes() for t in tokens], pa.binary())]
+            columns = [pa.array([len(t) for t in tokens], pa.int64()), pa.array([zlib.compress(t.tobytes(), 1) for t in tokens], pa.binary())]
             names = ["key", "doc_id", "piece", "copies"]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), *columns], [*names, "n_tokens", "ids"])
 
@@ -158,7 +159,7 @@ def code_in_order(batches: Iterable[pa.RecordBatch], path: str, keep: bool) -> I
                     held[1] += copies
                 if piece == held[6]:
                     continue
-                ids = np.frombuffer(ids, dtype=kind).astype("<u4")
+                ids = np.frombuffer(zlib.decompress(ids), dtype=kind).astype("<u4")
                 decoded, ids = enc.decode_bytes(ids.tolist()), ids.tobytes()
                 held[2] += n
                 held[3].update(ids)
