@@ -4,7 +4,7 @@ import random
 import struct
 
 import pytest
-from graphs import BUBBLES, CHOPPED, WALKS
+from graphs import BUBBLES, CHOPPED, WALKS, handles_of
 from pyspark.sql import functions as F
 
 from walkframe.functions import dna, handles, names
@@ -19,50 +19,56 @@ def rows(df, *cols):
 @pytest.fixture(scope="module")
 def bubbles(spark, tmp_path_factory):
     f = tmp_path_factory.mktemp("g") / "bubbles.gfa"
-    f.write_text(BUBBLES)
+    f.write_text(BUBBLES.text())
     return gfa.read_gfa(spark, str(f))
 
 
 @pytest.fixture(scope="module")
 def chopped(spark, tmp_path_factory):
     f = tmp_path_factory.mktemp("g") / "chopped.gfa"
-    f.write_text(CHOPPED)
+    f.write_text(CHOPPED.text())
     return gfa.read_gfa(spark, str(f), node_bp=2)
 
 
+def walks_of(graph):
+    """Forward walks of handles, where names are node ids."""
+    return [[2 * int(graph.segments[i][0]) + r for i, r in steps] for _, steps in graph.walks]
+
+
 def test_statistics(bubbles):
-    s = navigation.statistics(bubbles.visit).first()
-    assert (s["size"], s.sequences, s.alphabet_size, s.alphabet_offset) == (68, 12, 52, 21)
-    assert (s.nodes, s.min_node, s.max_node) == (12, 11, 25)
+    s, walks = navigation.statistics(bubbles.visit).first(), walks_of(BUBBLES)
+    nodes = {g // 2 for w in walks for g in w}
+    assert (s["size"], s.sequences) == (2 * sum(map(len, walks)) + 2 * len(walks), 2 * len(walks))
+    assert (s.alphabet_size, s.alphabet_offset) == (2 * max(nodes) + 2, 2 * min(nodes) - 1)
+    assert (s.nodes, s.min_node, s.max_node) == (len(nodes), min(nodes), max(nodes))
 
 
 def test_statistics_with_an_empty_walk(spark, tmp_path):
     (tmp_path / "walks.txt").write_text(WALKS)
     walks = gfa.read_walks(spark, str(tmp_path / "walks.txt"))
-    assert walks.count() == 7
-    visit = gfa.visits_of_walks(walks)
-    assert visit.count() == 28 and 2 * 28 + 2 * walks.count() == 70
+    assert walks.count() == 6
+    assert rows(gfa.visits_of_walks(walks)) == [(k, i, int(g)) for k, w in enumerate(WALKS.splitlines()) for i, g in enumerate(w.split(",") if w else [])]
 
 
 def test_edges(bubbles):
-    succ = rows(navigation.successors(bubbles.visit).where("g = 48"), "successor")
-    assert succ == [(47,), (50,)]
-    assert rows(navigation.predecessors(bubbles.visit).where("g = 29"), "predecessor") == [(31,), (33,)]
-    assert navigation.canonical_edges(bubbles.visit).count() == 13
+    edges = {e for w in handles_of(walks_of(BUBBLES)) for e in zip(w, w[1:])}
+    assert rows(navigation.successors(bubbles.visit), "g", "successor") == sorted(edges)
+    assert rows(navigation.predecessors(bubbles.visit), "predecessor", "g") == sorted(edges)
+    assert navigation.canonical_edges(bubbles.visit).count() == len({min((a, b), (b ^ 1, a ^ 1)) for a, b in edges})
 
 
 def test_search(spark, bubbles):
     o = order.visit_order(navigation.bidirectional(bubbles.visit))
-    assert rows(search.find(o).where("g = 28"), "hi") == [(3,)]
-    q = spark.createDataFrame([("a", [24, 28, 30]), ("b", [30, 28, 24]), ("c", [31, 29, 25])], "query_id string, pattern array<bigint>")
-    assert rows(search.count_occurrences(bubbles.visit, q, [3])) == [("a", 2), ("b", 0), ("c", 2)]
-    around = search.states(o, 3).where("element_at(pattern, 2) = 28")
-    assert sorted((r.pattern, r.n) for r in around.collect()) == [([24, 28, 30], 2), ([26, 28, 32], 1)]
+    walks = handles_of(walks_of(BUBBLES))
+    times = lambda p: sum(w[i : i + len(p)] == list(p) for w in walks for i in range(len(w)))
+    assert rows(search.find(o), "g", "lo", "hi") == sorted((g, 0, times([g])) for g in {g for w in walks for g in w})
+    asked = {"a": walks[2][:3], "b": walks[2][2::-1], "c": walks[-2][1:4]}
+    q = spark.createDataFrame(list(asked.items()), "query_id string, pattern array<bigint>")
+    assert rows(search.count_occurrences(bubbles.visit, q, [3])) == [(k, times(p)) for k, p in asked.items()]
+    grams = {tuple(w[i : i + 3]) for w in walks for i in range(len(w) - 2)}
+    assert {tuple(r.pattern): r.n for r in search.states(o, 3).collect()} == {g: times(g) for g in grams}
     every = {tuple(r.pattern): r.n for r in search.all_subpaths(bubbles.visit, 4).collect()}
-    walks = [r.handles for r in navigation.path_arrays(bubbles.visit).collect()]
-    walks += [[g ^ 1 for g in reversed(w)] for w in walks]
-    for p, n in every.items():
-        assert n == sum(w[i : i + len(p)] == list(p) for w in walks for i in range(len(w)))
+    assert every == {p: times(p) for p in {tuple(w[i : i + k]) for w in walks for k in range(1, 5) for i in range(len(w) - k + 1)}}
 
 
 def test_states_are_ranges_and_mirror(bubbles):
@@ -72,43 +78,63 @@ def test_states_are_ranges_and_mirror(bubbles):
             assert r.hi - r.lo == r.n
     b = search.bidirectional_states(o, 2)
     assert b.where("fwd_hi - fwd_lo <> rev_hi - rev_lo").count() == 0
-    assert rows(search.state_ends(b).select("from.id", "to.id", "n").where("n = 0")) == []
+    edges = {e for w in handles_of(walks_of(BUBBLES)) for e in zip(w, w[1:])}
+    assert rows(search.state_ends(b), "from.id", "from.is_rev", "to.id", "to.is_rev") == sorted((a // 2, bool(a % 2), z // 2, bool(z % 2)) for a, z in edges)
 
 
 def test_names(bubbles):
     n = {r.path_id: (r.name, r.pansn) for r in metadata.path_names(bubbles).collect()}
-    assert n[3] == ("sample#2#A@0", "sample#2#A") and n[0][0] == "A"
-    assert rows(bubbles.path.join(bubbles.contig.where("name = 'B'"), "contig_id"), "path_id") == [(1,), (4,), (5,)]
-    assert rows(bubbles.sample) == [(0, names.GENERIC_SAMPLE), (1, "sample")]
+    for k, ((sample, phase, contig), _) in enumerate(BUBBLES.walks):
+        if sample:
+            assert n[k] == (f"{sample}#{phase}#{contig}@0", f"{sample}#{phase}#{contig}")
+        else:
+            assert n[k][0] == contig
+    assert rows(bubbles.path.join(bubbles.contig.where("name = 'Y'"), "contig_id"), "path_id") == [(k,) for k, ((_, _, c), _) in enumerate(BUBBLES.walks) if c == "Y"]
+    assert rows(bubbles.sample) == [(0, names.GENERIC_SAMPLE), (1, "donor")]
 
 
 def test_components(bubbles):
     c = contigs.node_components(bubbles.visit)
-    assert rows(contigs.component_sizes(c)) == [(11, 7, 17), (21, 5, 25)]
-    assert rows(contigs.paths_of_contig(bubbles.visit, bubbles.path, 1, c)) == [(1,), (4,), (5,)]
+    of = {contig: {g // 2 for w, ((_, _, x), _) in zip(walks_of(BUBBLES), BUBBLES.walks) if x == contig for g in w} for contig in "XY"}
+    assert rows(contigs.component_sizes(c)) == sorted((min(x), len(x), max(x)) for x in of.values())
+    assert rows(contigs.paths_of_contig(bubbles.visit, bubbles.path, 1, c)) == [(k,) for k, ((_, _, x), _) in enumerate(BUBBLES.walks) if x == "Y"]
 
 
 def test_chopped_segments(chopped):
-    got = rows(chopped.segment, "seg_id", "name", "node_lo", "node_hi")
-    assert got == [(0, "s11", 1, 3), (1, "s12", 3, 4), (2, "s13", 4, 5), (3, "s14", 5, 7), (4, "unused", 7, 9), (5, "s15", 9, 10), (6, "s16", 10, 11), (7, "s17", 11, 12)]
-    assert rows(chopped.node)[0] == (1, "GA") and chopped.node.count() == 9
+    ranges = CHOPPED.ranges(2)
+    used = sorted({i for _, steps in CHOPPED.walks for i, _ in steps})
+    assert rows(chopped.segment, "seg_id", "name", "node_lo", "node_hi") == [(i, n, *ranges[i]) for i, (n, _) in enumerate(CHOPPED.segments)]
+    assert len(used) < len(CHOPPED.segments)
+    assert rows(chopped.node) == [(lo + k, CHOPPED.segments[i][1][2 * k : 2 * k + 2]) for i in used for lo, hi in [ranges[i]] for k in range(hi - lo)]
     links = segments.segment_links(chopped.segment, chopped.node, chopped.visit).where("not is_rev")
-    assert rows(links, "seg_id", "next_seg") == [(0, 1), (0, 2), (1, 3), (2, 3), (3, 5), (3, 6), (5, 7), (6, 7)]
-    walks = {r.path_id: r.handles for r in navigation.path_arrays(chopped.visit).collect()}
-    assert [g // 2 for g in walks[2]] == [1, 2, 4, 5, 6, 10, 11]
-    assert rows(segments.used_segments(chopped.segment, chopped.node), "seg_id") == [(i,) for i in (0, 1, 2, 3, 5, 6, 7)]
+    assert rows(links, "seg_id", "next_seg") == sorted({(a, b) for _, steps in CHOPPED.walks for (a, _), (b, _) in zip(steps, steps[1:])})
+    walks = {r.path_id: [g // 2 for g in r.handles] for r in navigation.path_arrays(chopped.visit).collect()}
+    assert walks == {k: [x for i, _ in steps for x in range(*ranges[i])] for k, (_, steps) in enumerate(CHOPPED.walks)}
+    assert rows(segments.used_segments(chopped.segment, chopped.node), "seg_id") == [(i,) for i in used]
 
 
 def test_subsequence_of_chopped_walks(spark, chopped):
     arrays = navigation.path_arrays(chopped.visit)
-    pairs = spark.createDataFrame([(1, 2)], "a_id long, b_id long")
-    found = lcs.weighted_lcs(lcs.path_pairs(arrays, pairs, lcs.node_weights(chopped.node))).first()
-    assert found.weight == 8 and [(p.i, p.j) for p in found.pairs] == [(0, 0), (1, 1), (3, 3), (4, 4), (6, 6)]
+    pairs = spark.createDataFrame([(2, 3), (0, 3), (2, 5)], "a_id long, b_id long")
+    walks = {r.path_id: r.handles for r in arrays.collect()}
+    bp = {2 * r.node_id: len(r.seq) for r in chopped.node.collect()}
+    for r in lcs.weighted_lcs(lcs.path_pairs(arrays, pairs, lcs.node_weights(chopped.node))).collect():
+        a, b = (walks[int(x)] for x in r.pair_id.split("-"))
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + bp[x] * (x == y))
+        assert r.weight == best[-1][-1] == sum(bp[a[p.i]] for p in r.pairs) and all(a[p.i] == b[p.j] for p in r.pairs)
 
 
 def test_broken_segment_walks_stop(spark, chopped):
-    # enters s11 in the middle, then breaks s14
-    visit = spark.createDataFrame([(0, 0, 2), (0, 1, 4), (0, 2, 6), (1, 0, 10), (1, 1, 18), (2, 0, 2)], "path_id long, pos long, g long")
+    # all of the first segment and what follows; the first node of the third and then of the fourth; a walk of one node
+    ranges = CHOPPED.ranges(2)
+    whole = [2 * x for x in range(*ranges[0])] + [2 * ranges[1][0]]
+    broken = [2 * ranges[3][0], 2 * ranges[4][0]]
+    assert ranges[0][1] - ranges[0][0] > 1 < ranges[3][1] - ranges[3][0] and ranges[1][1] - ranges[1][0] == 1
+    data = [(p, i, g) for p, w in enumerate((whole, broken, whole[:1])) for i, g in enumerate(w)]
+    visit = spark.createDataFrame(data, "path_id long, pos long, g long")
     got = rows(segments.segment_paths_exact(visit, chopped.segment), "path_id", "seg_no", "seg_id")
     assert got == [(0, 0, 0), (0, 1, 1), (1, 0, 3), (2, 0, 0)]
     assert rows(segments.segment_paths(visit, chopped.segment), "path_id", "seg_no", "seg_id") == got
@@ -122,9 +148,11 @@ def test_gfa_round_trip(spark, tmp_path, request, which):
     for part in ("default", "pan-sn", "ref-only"):
         assert rows(sinks.gfa(graph, part), "line") == rows(sinks.gfa(again, part), "line")
     lines = {r.line for r in sinks.gfa(graph).collect()}
-    source = BUBBLES if which == "bubbles" else CHOPPED
+    graph_of = BUBBLES if which == "bubbles" else CHOPPED
+    source = graph_of.text()
+    idle = {n for i, (n, _) in enumerate(graph_of.segments) if all(i != j for _, steps in graph_of.walks for j, _ in steps)}
     assert {x for x in source.splitlines() if x[0] in "PW"} <= lines
-    assert {x for x in source.splitlines() if x[0] == "S" and "unused" not in x} == {x for x in lines if x[0] == "S"}
+    assert {x for x in source.splitlines() if x[0] == "S" and x.split("\t")[1] not in idle} == {x for x in lines if x[0] == "S"}
 
 
 def test_write_and_read_tables(spark, tmp_path, chopped):
@@ -228,7 +256,7 @@ def test_tag_array_files(spark, tmp_path, chopped):
     starts = positions.text_offsets(positions.path_lengths(chopped.visit, chopped.node).select("path_id", "bp"))
     text = tags.tags_of_text(chopped.visit, chopped.node, starts)
     n = text.count()
-    assert n == 33
+    assert n == sum(len(CHOPPED.segments[i][1]) for _, steps in CHOPPED.walks for i, _ in steps) + len(CHOPPED.walks)
     order_ = list(range(n))
     random.Random(2).shuffle(order_)
     (tmp_path / "x.sa").write_bytes(struct.pack(f"<{n + 1}q", n, *order_))
@@ -243,11 +271,11 @@ def test_tag_array_files(spark, tmp_path, chopped):
 
 
 def test_tags_and_reference_samples(spark, chopped):
-    t = spark.createDataFrame([("index", "Source", "x"), ("index", "reference_samples", "sample nobody")], "scope string, key string, value string")
+    t = spark.createDataFrame([("index", "Source", "x"), ("index", "reference_samples", "donor nobody")], "scope string, key string, value string")
     new = spark.createDataFrame([("index", "SOURCE", "y")], "scope string, key string, value string")
-    assert rows(metadata.set_tags(t, new)) == [("index", "reference_samples", "sample nobody"), ("index", "source", "y")]
+    assert rows(metadata.set_tags(t, new)) == [("index", "reference_samples", "donor nobody"), ("index", "source", "y")]
     assert metadata.remove_tags(t, "source").count() == 1
-    assert rows(metadata.reference_samples(chopped, True), "name") == [(names.GENERIC_SAMPLE,), ("sample",)]
+    assert rows(metadata.reference_samples(chopped, True), "name") == [(names.GENERIC_SAMPLE,), ("donor",)]
     nobody = spark.createDataFrame([("nobody",), (names.GENERIC_SAMPLE,)], "name string")
     assert metadata.set_reference_samples(chopped, nobody).count() == 0
 
