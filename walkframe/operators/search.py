@@ -64,6 +64,17 @@ def bidirectional_states(order: DataFrame, k: int) -> DataFrame:
     return s.select("pattern", F.col("g").alias("fwd_g"), F.col("lo").alias("fwd_lo"), F.col("hi").alias("fwd_hi")).join(mirrored, "pattern")
 
 
+def extend_state(order: DataFrame, state: DataFrame, k: int) -> DataFrame:
+    """All extensions to the right, by one handle, of bidirectional states of ``k`` handles."""
+    longer = bidirectional_states(order, k + 1).withColumn("start", F.slice("pattern", 1, k))
+    return longer.join(state.select(F.col("pattern").alias("start")), "start", "left_semi").drop("start")
+
+
+def extend_state_left(order: DataFrame, state: DataFrame, k: int) -> DataFrame:
+    """All extensions to the left: read from the other end, extended to the right, and read from the first end again."""
+    return flip_state(extend_state(order, flip_state(state), k))
+
+
 def flip_state(state: DataFrame) -> DataFrame:
     """The same occurrences read from the other end."""
     swap = {"fwd": "rev", "rev": "fwd"}

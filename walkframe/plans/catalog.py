@@ -109,6 +109,19 @@ def successors(g):
     return navigation.successors(g.visit)
 
 
+@over(order_graph, "SELECT g, row_number() OVER (PARTITION BY g ORDER BY next_g) AS rank, next_g AS successor FROM edges", EDGES)
+def successors_in_order(g):
+    w = W.partitionBy("g").orderBy("successor")
+    return navigation.successors(g.visit).select("g", F.row_number().over(w).cast("long").alias("rank"), "successor")
+
+
+@over(order_graph, "SELECT next_g AS g, row_number() OVER (PARTITION BY next_g ORDER BY g // 2, g % 2 DESC) AS rank, g AS predecessor FROM edges", EDGES)
+def predecessors_in_order(g):
+    # of one node, its reverse before its forward orientation
+    w = W.partitionBy("g").orderBy(handles.id_of("predecessor"), handles.is_reverse("predecessor").desc())
+    return navigation.predecessors(g.visit).select("g", F.row_number().over(w).cast("long").alias("rank"), "predecessor")
+
+
 @over(order_graph, "SELECT next_g AS g, g AS predecessor FROM edges", EDGES)
 def predecessors(g):
     return navigation.predecessors(g.visit)
@@ -247,11 +260,37 @@ def bd_extend(g):
 
 
 @over(event_graph, """
-SELECT a.pattern, a.g1 AS fwd_g, b.g1 AS rev_g, a.n FROM state2 a JOIN state2 b ON b.g0 = xor(a.g1, 1) AND b.g1 = xor(a.g0, 1)""", ORDER, gram_sql(2))
+SELECT a.pattern, a.g2 AS fwd_g, a.lo AS fwd_lo, b.g2 AS rev_g, b.lo AS rev_lo, a.n
+FROM state3 a JOIN state3 b ON b.g0 = xor(a.g2, 1) AND b.g1 = xor(a.g1, 1) AND b.g2 = xor(a.g0, 1)""", ORDER, gram_sql(3))
 def extend_backward(g):
-    # to the left: flip, extend to the right, flip again
-    s = search.flip_state(search.flip_state(search.bidirectional_states(cut(ordered(g)), 2)))
-    return s.select(text("pattern").alias("pattern"), "fwd_g", "rev_g", (F.col("fwd_hi") - F.col("fwd_lo")).alias("n"))
+    o = cut(ordered(g))
+    s = search.extend_state_left(o, search.bidirectional_states(o, 2), 2)
+    return s.select(text("pattern").alias("pattern"), "fwd_g", "fwd_lo", "rev_g", "rev_lo", (F.col("fwd_hi") - F.col("fwd_lo")).alias("n"))
+
+
+@over(event_graph, """
+, one AS (SELECT g, 0::BIGINT AS lo, count(*) AS hi FROM ord GROUP BY g)
+SELECT a.g::VARCHAR AS pattern, a.g AS fwd_g, a.lo AS fwd_lo, a.hi AS fwd_hi, b.g AS rev_g, b.lo AS rev_lo, b.hi AS rev_hi FROM one a JOIN one b ON b.g = xor(a.g, 1)""", ORDER)
+def bd_find(g):
+    s = search.bidirectional_states(cut(ordered(g)), 1)
+    return s.withColumn("pattern", text("pattern"))
+
+
+@over(event_graph, """
+SELECT a.pattern, a.g0 // 2 AS from_id, a.g0 % 2 = 1 AS from_rev, a.g1 // 2 AS to_id, a.g1 % 2 = 1 AS to_rev, a.n FROM state2 a JOIN state2 b ON b.g0 = xor(a.g1, 1) AND b.g1 = xor(a.g0, 1)""", ORDER, gram_sql(2))
+def state_ends(g):
+    s = search.state_ends(search.bidirectional_states(cut(ordered(g)), 2))
+    return s.select(text("pattern").alias("pattern"), F.col("from.id").alias("from_id"), F.col("from.is_rev").alias("from_rev"), F.col("to.id").alias("to_id"), F.col("to.is_rev").alias("to_rev"), "n")
+
+
+@over(event_graph, """
+, asked AS (SELECT DISTINCT pattern FROM gram3 WHERE substr(md5((seq_id // 2) || ':' || pos), 1, 1) = '0' AND seq_id % 2 = 0)
+SELECT pattern AS query_id, g2 AS g, lo, hi FROM state3 JOIN asked USING (pattern)""", ORDER, gram_sql(3),
+      ", gram3 AS (SELECT seq_id, pos, concat_ws(' ', g, lead(g, 1) OVER w, lead(g, 2) OVER w) AS pattern FROM evisit WINDOW w AS (PARTITION BY seq_id ORDER BY pos) QUALIFY lead(g, 2) OVER w IS NOT NULL)")
+def extend_queries(g):
+    # a batch of given patterns: sampling them is the feature
+    asked = search.sample_patterns(g.visit, 3, digits=1).select("pattern").distinct()
+    return search.extend(ordered(g), asked.withColumn("query_id", text("pattern")), 3)
 
 
 @over(event_graph, "SELECT concat_ws(' ', g0, g1) AS pattern, g2 AS next_g, n, lo, hi FROM state3", ORDER, gram_sql(3))
@@ -354,6 +393,14 @@ def used_segments(g):
     return segments.used_segments(g.segment, g.node).select("seg_id", "name", "seq", "node_lo", "node_hi")
 
 
+@over(order_graph, "SELECT seg_id, seq FROM segment WHERE node_lo IN (SELECT node_id FROM node)")
+def segment_sequences(g):
+    # put together from the nodes
+    at = segments.node_to_segment(g.segment).join(g.node, "node_id")
+    parts = at.groupBy("seg_id").agg(F.sort_array(F.collect_list(F.struct("node_id", "seq"))).alias("parts"))
+    return parts.select("seg_id", F.array_join(F.transform("parts", lambda x: x["seq"]), "").alias("seq"))
+
+
 @over(order_graph, "SELECT seg_id, name, length(seq)::INTEGER AS bp, node_hi - node_lo AS nodes, node_lo - 1 AS first_index FROM segment")
 def segment_len(g):
     return g.segment.select("seg_id", "name", F.length("seq").alias("bp"), (F.col("node_hi") - F.col("node_lo")).alias("nodes"), (F.col("node_lo") - 1).alias("first_index"))
@@ -657,3 +704,16 @@ SELECT o_orderkey, round(CASE WHEN n >= 1099511627776 THEN n / 1099511627776.0::
 FROM (SELECT o_orderkey, (o_orderkey * o_orderkey * 1000)::DOUBLE AS n FROM orders)""",
     "top_subpaths": BASE + f", grams AS ({lead_gram(3, 'visit', 'seq_id')}) SELECT pattern, count(*)::BIGINT AS n FROM grams GROUP BY pattern ORDER BY n DESC, pattern LIMIT 100",
 }
+
+
+def gfa_mode(name: str, mode: str, parts: list[str]) -> None:
+    """Register the lines of a whole file in one of its modes, with their part and their place in it."""
+    QUERIES[name] = lambda spark, sf_dir: sinks.gfa(order_graph(spark, sf_dir), mode)
+    place = {"gfa_header": "0::BIGINT AS a, 0::BIGINT AS b", "gfa_segments": "ordinal AS a, 0::BIGINT AS b", "gfa_links": "g AS a, next_g AS b"}
+    number = {"gfa_header": 0, "gfa_segments": 1, "gfa_links": 2, "gfa_walks": 4}
+    ORACLE_SQL[name] = " UNION ALL ".join(f"SELECT {number.get(p, 3)} AS part, {place.get(p, 'path_id AS a, 0::BIGINT AS b')}, line FROM ({ORACLE_SQL[p]})" for p in parts)
+
+
+gfa_mode("gfa_default", "default", ["gfa_header", "gfa_segments", "gfa_links", "gfa_paths", "gfa_walks"])
+gfa_mode("gfa_all_pansn", "pan-sn", ["gfa_header", "gfa_segments", "gfa_links", "gfa_pansn"])
+gfa_mode("gfa_references", "ref-only", ["gfa_header", "gfa_segments", "gfa_links", "gfa_paths"])
