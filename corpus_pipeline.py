@@ -1,7 +1,10 @@
 """The corpus pipeline: five stages over ``documents``, each written and read again.
 
 Every stage applies one operator of ``walkframe.llm`` to all that the stage before
-kept; all but the last return the columns of ``documents``.
+kept; all but the last return the columns of ``documents``. Stages treat rows as
+their operators do: null and empty texts stay until the mix, which takes no row
+without words; of rows with equal ids and texts near-deduplication keeps one; an
+empty table passes through; further columns may have any names.
 """
 
 from __future__ import annotations
@@ -52,12 +55,21 @@ STAGES = [
 ORACLE_SQL = None
 
 
+def delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply all stages to ``documents``; what each returns is written to the checkpoint folder and read again."""
     ensure_checkpoint_dir(spark)
     base = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for k, (name, stage) in enumerate(STAGES[:-1]):
-        stage(spark, docs, sf_dir).write.parquet(f"{base}/{k}-{name}")
-        docs = spark.read.parquet(f"{base}/{k}-{name}")
+        stage(spark, docs, sf_dir).write.parquet(here := f"{base}/{k}-{name}")
+        docs = spark.read.parquet(here)
+        if before:
+            delete(spark, before)  # nothing reads it any more: what came of it is written
+        before = here
     return STAGES[-1][1](spark, docs, sf_dir)
