@@ -119,8 +119,9 @@ def mix(docs: DataFrame, **options) -> DataFrame:
 
 def first_words(text: Column, n: Column) -> Column:
     """``text`` up to the end of its n-th word, as it is written."""
-    words, spaces = F.slice(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), 1, n), F.split(text, WORD)
-    return F.array_join(F.transform(words, lambda w, i: F.concat(F.get(spaces, i), w)), "")
+    # zipped, so that the text is searched once, however many words it has
+    words, spaces = F.slice(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), 1, n), F.slice(F.split(text, WORD), 1, n)
+    return F.array_join(F.zip_with(spaces, words, lambda space, word: F.concat(space, F.coalesce(word, F.lit("")))), "")
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
