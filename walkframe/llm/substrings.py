@@ -1,21 +1,21 @@
 """Suffix-array deduplication: bytes covered by 50-byte strings that an earlier document has as well.
 
-Fingerprints of anchors, in place of distributed prefix doubling. A suffix array would sort
-every position; here only *anchors* are compared, one at least in every 50-byte window:
-the position whose 24-byte prefix has the smallest hash in the window, which
-depends on the window's bytes alone, so equal windows have equal anchors. Ranks are
-64-bit fingerprints of the bytes, and each round compares longer ones, leaving out
-what is unique or decided:
-
-1. the 24 bytes at an anchor. An anchor whose prefix is in one text only is unique;
-   so are all windows that it stands for.
-2. the pair (prefix, all that the anchor's windows cover, 50 bytes or more). Where an
-   earlier document has the same pair, all these windows are repeats.
-3. the pair (prefix, one 50-byte window), for windows of what round 2 left open.
-
-Equal texts are one class from the start: its first document is compared, and the
-others are removed whole. Texts are dealt to groups once a query, and rounds send
-only ranks.
+Prefix doubling: Spark sorts pairs of ranks of positions at growing offsets, names each pair
+by the smallest position that has it, and drops what is unique.
+
+1. *Filter of positions.* Lengths below 24 bytes are not sorted: of each 50-byte window only the
+   position whose 24-byte prefix has the smallest hash is looked at (its anchor, which depends on the window's
+   bytes alone), and anchors whose prefix is in one text only are dropped, with all windows they stand for.
+   Equal hashes keep too much at most, never too little. What is left are *contexts*: runs of windows of one anchor.
+2. *Offset 16.* Pairs of the 16 bytes at a position and the 16 bytes after them, compared as they are,
+   give ranks of 32 bytes. Unique ones, and the contexts that hold them, are dropped.
+3. *Offsets 18 to 44.* Pairs of ranks of 32 bytes, at a context's start and at its end (and one between where it is longer
+   than 64), give ranks of whole contexts, 50 to 76 bytes. Where an earlier document has the same, all its windows are repeats.
+4. Contexts that differ, but share their anchor's prefix with an earlier document, are taken apart: rounds 2 and 3 again
+   (offsets 16 and 18) for each of their windows.
+
+Ranks stand for bytes that were compared whole, so equality is exact. Equal texts are one class from the start: its first
+document is compared, and the others are removed whole (by SHA-256).
 """
 
 from __future__ import annotations
@@ -26,12 +26,15 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, Window as W
+from pyspark.sql import DataFrame, functions as F
 
 from walkframe.session import cut, release, stored
 
 LENGTH = 50
 PREFIX = 24
+#: Bytes that a rank of the first sort stands for.
+RANKED = 32
+KEY = ["k0", "k1", "k2", "k3"]
 #: Bytes of text in a group (a task's unit of work), and whose prefixes share a bucket of round 1.
 GROUP_BYTES = 8 << 20
 BUCKET_BYTES = 32 << 20
@@ -160,10 +163,10 @@ def empty(schema: pa.Schema) -> pa.Table:
 BLOBS = "bucket int, grp int, ranks binary, several binary"
 REPLY = "grp int, bucket int, shared binary"
 REPLY_PA = pa.schema([("grp", pa.int32()), ("bucket", pa.int32()), ("shared", pa.binary())])
-PAIRS = "rank long, wide long, local boolean, doc_id long, at long, n int"
-PAIRS_PA = pa.schema([("rank", pa.int64()), ("wide", pa.int64()), ("local", pa.bool_()), ("doc_id", pa.int64()), ("at", pa.int64()), ("n", pa.int32())])
-WINDOWS = "rank long, more int, doc_id long, at long"
-WINDOWS_PA = pa.schema([("rank", pa.int64()), ("more", pa.int32()), ("doc_id", pa.int64()), ("at", pa.int64())])
+CONTEXTS = "id long, rank long, doc_id long, at long, size int"
+CONTEXTS_PA = pa.schema([("id", pa.int64()), ("rank", pa.int64()), ("doc_id", pa.int64()), ("at", pa.int64()), ("size", pa.int32())])
+PIECES = "place long, k0 long, k1 long, k2 long, k3 long"
+PIECES_PA = pa.schema([(c, pa.int64()) for c in ("place", *KEY)])
 RESULT = "doc_id long, key string, n_removed long, n_spans long, kept_sha256 string"
 RESULT_PA = pa.schema([("doc_id", pa.int64()), ("key", pa.string()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
 
@@ -197,30 +200,11 @@ def shared_ranks(t: pa.Table) -> pa.Table:
     return pa.table({"grp": t.column("grp"), "bucket": t.column("bucket"), "shared": pa.array(own, pa.binary())})
 
 
-INVERSE = np.uint64(pow(int(A), -1, 1 << 64))
-
-
-@lru_cache(maxsize=2)
-def powers(base: int, n: int) -> np.ndarray:
-    return np.concatenate([[np.uint64(1)], np.cumprod(np.full(n, np.uint64(base), dtype=np.uint64))])
-
-
-def wide_ranks(x: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-    """Polynomial fingerprints of bytes lo..hi, the same wherever in ``x`` they are."""
-    up, down = (powers(int(p), STEP + 2 * LENGTH) for p in (A, INVERSE))
-    sums = np.concatenate([[np.uint64(0)], np.cumsum(byte_values(2)[x] * up[: len(x)])])
-    return mix((sums[hi] - sums[lo]) * down[lo])
-
-
-def send_pairs(buckets: int):
+def open_contexts(buckets: int):
     def run(t: pa.Table, replies: pa.Table) -> pa.Table:
-        """Round 2, from a group: (prefix rank, rank of all its windows) of each anchor that isn't unique.
-
-        Where the group itself has the pair in an earlier text, that is settled here;
-        the row is sent on as ``local``, under a rank that spreads it.
-        """
+        """From a group: the contexts of all anchors that aren't unique, numbered."""
         if not len(t) or not len(replies):
-            return empty(PAIRS_PA)
+            return empty(CONTEXTS_PA)
         group = Group(t)
         shared = np.sort(
             np.concatenate(
@@ -231,55 +215,59 @@ def send_pairs(buckets: int):
             )
         )
         if not len(shared):
-            return empty(PAIRS_PA)
-        out: list[list[np.ndarray]] = [[] for _ in range(5)]
-        for which, rank, anchor, first, last in group.anchors():
+            return empty(CONTEXTS_PA)
+        out: list[list[np.ndarray]] = [[] for _ in range(4)]
+        for which, rank, _, first, last in group.anchors():
             key = bucket_keys(rank, buckets)
             keep = shared[np.minimum(np.searchsorted(shared, key), len(shared) - 1)] == key
-            if not keep.any():
-                continue
-            which, rank, anchor, first, last = (x[keep] for x in (which, rank, anchor, first, last))
-            lo, hi = int(first[0]), int(last[-1]) + LENGTH
-            wide = wide_ranks(group.bytes[lo:hi], first - lo, last + LENGTH - lo)
-            wide ^= mix(((last - first) << 8 | (anchor - first)).astype(np.uint64) * A)
+            which, rank, first, last = (x[keep] for x in (which, rank, first, last))
             at = group.at(which, first - group.starts[which])
-            for o, v in zip(out, (rank, wide, which, at, (last - first).astype(np.int32))):
+            for o, v in zip(out, (rank.view(np.int64), group.docs[which], at, (last - first + LENGTH).astype(np.int32))):
                 o.append(v)
         if not out[0]:
-            return empty(PAIRS_PA)
-        rank, wide, which, at, n = (np.concatenate(o) for o in out)
-        doc = group.docs[which]
-        order = np.lexsort((np.arange(len(rank)), mix(rank * C) ^ wide))
-        same = np.concatenate([[False], (rank[order][1:] == rank[order][:-1]) & (wide[order][1:] == wide[order][:-1])])
-        start = np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))
-        local = np.zeros(len(order), dtype=bool)
-        local[order] = doc[order] > doc[order][start]
-        rank = np.where(local, mix((doc ^ at).astype(np.uint64) * A), rank)
-        return pa.table([rank.view(np.int64), wide.view(np.int64), local, doc, at, n], schema=PAIRS_PA)
+            return empty(CONTEXTS_PA)
+        columns = [np.concatenate(o) for o in out]
+        number = (t.column("grp")[0].as_py() << 28) + np.arange(len(columns[0]))
+        return pa.table([number, *columns], schema=CONTEXTS_PA)
 
     return run
 
 
-def send_windows(t: pa.Table, asked: pa.Table) -> pa.Table:
-    """Round 3, from a group: (prefix rank, window rank) of each window that round 2 left open, in 96 bits."""
-    if not len(t) or not len(asked):
-        return empty(WINDOWS_PA)
+def send_pieces(t: pa.Table, strings: pa.Table) -> pa.Table:
+    """From a group: the 32 bytes at the start and at the end of each string (and after the first 32 of those over 64), as four numbers."""
+    if not len(t) or not len(strings):
+        return empty(PIECES_PA)
     group = Group(t)
-    doc, at, n = (asked.column(c).to_numpy() for c in ("doc_id", "at", "n"))
-    n = n.astype(np.int64) + 1
-    each = np.repeat(np.arange(len(n)), n)
-    shift = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    place = group.find(doc, at)[1][each] + shift
-    order = np.argsort(place, kind="stable")
-    rank = np.empty(len(place), dtype=np.uint64)
-    edges = np.searchsorted(place[order], np.arange(0, len(group.bytes) + STEP, STEP))
-    for s, (lo, hi) in enumerate(zip(edges[:-1], edges[1:])):  # a chunk of positions at a time
-        if hi > lo:
-            rows = order[lo:hi]
-            rank[rows] = prefix_ranks(group.bytes[s * STEP : (s + 1) * STEP + LENGTH - 1], LENGTH, 3)[place[rows] - s * STEP]
-    prefix = asked.column("rank").to_numpy().view(np.uint64)[each]
-    more = (mix(prefix * C) >> np.uint64(32)).astype(np.uint32).view(np.int32)
-    return pa.table([(rank ^ prefix).view(np.int64), more, doc[each], at[each] + shift], schema=WINDOWS_PA)
+    number, doc, at, size = (strings.column(c).to_numpy() for c in ("id", "doc_id", "at", "size"))
+    start = group.find(doc, at)[1]
+    over = size > 2 * RANKED
+    place = np.concatenate([number * 4, number * 4 + 1, number[over] * 4 + 2])
+    where = np.concatenate([start, start + size - RANKED, start[over] + RANKED])
+    keys = np.empty((len(KEY), len(where)), dtype=np.int64)
+    for lo in range(0, len(where), STEP):
+        part = group.bytes[where[lo : lo + STEP, None] + np.arange(RANKED)]
+        keys[:, lo : lo + STEP] = part.view("<i8").T
+    return pa.table([place, *keys], schema=PIECES_PA)
+
+
+def earlier(by_group, strings: DataFrame) -> DataFrame:
+    """``(id, first)`` of the strings that occur again: the smallest doc_id that has the same bytes.
+
+    ``strings`` has ``id, doc_id, at, size`` (50 to 76 bytes) and ``grp``. Counts and smallest positions are
+    aggregated in the tasks first, so that a popular string is one row of each; it is a hot key of
+    joins only, which adaptive execution splits.
+    """
+    pieces = by_group.cogroup(strings.groupBy("grp")).applyInArrow(send_pieces, PIECES)
+    ranks = pieces.groupBy(*KEY).agg(F.min("place").alias("rank"), F.count("*").alias("n")).where("n > 1").drop("n")
+    ranked = pieces.join(ranks.hint("merge"), KEY).select(F.shiftright("place", 2).alias("id"), F.col("place").bitwiseAND(3).alias("slot"), "rank")
+    of_slot = [F.max(F.when(F.col("slot") == k, F.col("rank"))).alias(f"rank{k}") for k in range(3)]
+    pairs = ranked.groupBy("id").agg(*of_slot)
+    whole = F.col("rank0").isNotNull() & F.col("rank1").isNotNull() & (F.col("rank2").isNotNull() | (F.col("size") <= 2 * RANKED))
+    open_ = stored(pairs.join(strings.select("id", "doc_id", "size"), "id").where(whole).withColumn("rank2", F.coalesce("rank2", F.lit(-1))))
+    release(open_.sparkSession)
+    name = ["size", "rank0", "rank1", "rank2"]
+    first = open_.groupBy(*name).agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    return open_.join(first, name).select("id", "first")
 
 
 def remove(t: pa.Table, repeats: pa.Table) -> pa.Table:
@@ -289,7 +277,7 @@ def remove(t: pa.Table, repeats: pa.Table) -> pa.Table:
     if len(repeats):
         _, place = group.find(repeats.column("doc_id").to_numpy(), repeats.column("at").to_numpy())
         np.add.at(covered, place, 1)
-        np.add.at(covered, place + repeats.column("n").to_numpy() + LENGTH, -1)
+        np.add.at(covered, place + repeats.column("size").to_numpy(), -1)
     gone = np.cumsum(covered, out=covered)[:-1] > 0
     rows = []
     for doc, key, s, e in zip(group.docs.tolist(), group.keys, group.starts[:-1], group.starts[1:]):
@@ -338,29 +326,26 @@ def repeated_bytes_removed(docs: DataFrame) -> DataFrame:
         .repartition(groups, "grp")
     )
     by_group = texts.groupBy("grp")
-    # round 1
+    # the filter of positions
     ranks = by_group.applyInArrow(send_ranks(buckets), BLOBS)
     replies = ranks.groupBy("bucket").applyInArrow(shared_ranks, REPLY)
-    # round 2: a rank has a row for each group and context at most
-    pairs = by_group.cogroup(replies.groupBy("grp")).applyInArrow(send_pairs(buckets), PAIRS).repartition("rank")
-    judged = (
-        pairs.withColumn("first", F.min("doc_id").over(W.partitionBy("rank", "wide")))
-        .withColumn("a", F.min("first").over(W.partitionBy("rank")))
-        .withColumn("b", F.max("first").over(W.partitionBy("rank")))
-    )
-    repeat = F.col("local") | (F.col("doc_id") > F.col("first"))
-    # all places of a context in its first document: each may hold windows of a smaller doc_id
-    asked = ~repeat & (F.col("a") < F.col("b"))
-    judged = stored(judged.where(repeat | asked).select(repeat.alias("repeat"), F.when(~repeat, F.col("rank")).alias("rank"), "doc_id", "at", "n"))
+    contexts = stored(by_group.cogroup(replies.groupBy("grp")).applyInArrow(open_contexts(buckets), CONTEXTS))
+    release(spark)
+    # ranks of contexts
+    found = earlier(by_group, contexts.withColumn("grp", group_of))
+    judged = stored(contexts.join(found, "id", "left").withColumn("first", F.coalesce("first", "doc_id")))
     release(spark)
-    # round 3
-    asked = judged.where(~F.col("repeat")).select("rank", "doc_id", "at", "n", group_of)
-    windows = by_group.cogroup(asked.groupBy("grp")).applyInArrow(send_windows, WINDOWS)
-    first = F.min("doc_id").over(W.partitionBy("rank", "more"))
-    open_repeats = windows.withColumn("first", first).where("doc_id > first").select("doc_id", "at", F.lit(0).alias("n"))
+    # contexts of one prefix that differ: each place in a context's first document may hold windows of a smaller doc_id
+    differ = judged.groupBy("rank").agg(F.min("first").alias("a"), F.max("first").alias("b")).where("a < b")
+    asked = judged.where("doc_id = first").join(differ, "rank", "left_semi")
+    one = F.explode(F.sequence(F.lit(0), F.col("size") - LENGTH)).alias("k")
+    windows = asked.select("id", "doc_id", "at", "size", one)
+    windows = windows.select((F.col("id") * 32 + F.col("k")).alias("id"), "doc_id", (F.col("at") + F.col("k")).alias("at"), F.lit(LENGTH).alias("size"))
+    windows = stored(windows).withColumn("grp", group_of)
+    open_repeats = windows.join(earlier(by_group, windows), "id").where("doc_id > first").select("doc_id", "at", "size", "grp")
     open_repeats = stored(open_repeats)
     release(spark)
-    repeats = judged.where("repeat").select("doc_id", "at", "n").union(open_repeats).select("doc_id", "at", "n", group_of)
+    repeats = judged.where("doc_id > first").select("doc_id", "at", "size", group_of).union(open_repeats)
     kept = by_group.cogroup(repeats.groupBy("grp")).applyInArrow(remove, RESULT)
     # copies of a text go whole, but for the first
     of_text = ids.groupBy("key").agg(F.min("doc_id").alias("rep"))
