@@ -15,7 +15,7 @@ by the smallest position that has it, and drops what is unique.
    (offsets 16 and 18) for each of their windows.
 
 Ranks stand for bytes that were compared whole, so equality is exact. Equal texts are one class from the start: its first
-document is compared, and the others are removed whole (by SHA-256).
+document is compared, and the others are removed whole (by SHA-256). Equal contexts of a group of texts are sent once.
 """
 
 from __future__ import annotations
@@ -163,18 +163,25 @@ def empty(schema: pa.Schema) -> pa.Table:
 BLOBS = "bucket int, grp int, ranks binary, several binary"
 REPLY = "grp int, bucket int, shared binary"
 REPLY_PA = pa.schema([("grp", pa.int32()), ("bucket", pa.int32()), ("shared", pa.binary())])
-CONTEXTS = "id long, rank long, doc_id long, at long, size int"
-CONTEXTS_PA = pa.schema([("id", pa.int64()), ("rank", pa.int64()), ("doc_id", pa.int64()), ("at", pa.int64()), ("size", pa.int32())])
+CONTEXTS = "id long, same long, first long, rank long, doc_id long, at long, size int"
+CONTEXTS_PA = pa.schema([*((c, pa.int64()) for c in ("id", "same", "first", "rank", "doc_id", "at")), ("size", pa.int32())])
 PIECES = "place long, k0 long, k1 long, k2 long, k3 long"
 PIECES_PA = pa.schema([(c, pa.int64()) for c in ("place", *KEY)])
 RESULT = "doc_id long, key string, n_removed long, n_spans long, kept_sha256 string"
 RESULT_PA = pa.schema([("doc_id", pa.int64()), ("key", pa.string()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
 
 
+def without_copies(t: pa.Table, names: list[bytes]) -> pa.Table:
+    """``t`` without the texts that a smaller doc_id has as a whole."""
+    known = set(names)
+    own = [f"{d}:{k}".encode() not in known for d, k in zip(t.column("doc_id").to_pylist(), t.column("key").to_pylist())]
+    return t.filter(pa.array(own, pa.bool_()))
+
+
 def send_ranks(buckets: int):
-    def run(t: pa.Table) -> pa.Table:
-        """Round 1, from a group: the distinct prefix ranks of its texts, by bucket."""
-        of = distinct_ranks(Group(t), buckets)
+    def run(t: pa.Table, copies: pa.Table) -> pa.Table:
+        """The filter, from a group: the distinct prefix ranks of its texts, by bucket."""
+        of = distinct_ranks(Group(without_copies(t, copies.column("name").to_pylist())), buckets)
         grp = t.column("grp")[0].as_py() if len(t) else 0
         return pa.table(
             {
@@ -189,7 +196,7 @@ def send_ranks(buckets: int):
 
 
 def shared_ranks(t: pa.Table) -> pa.Table:
-    """Round 1, in a bucket: tell each group which of its ranks two or more texts have."""
+    """The filter, in a bucket: tell each group which of its ranks two or more texts have."""
     ranks = [np.frombuffer(x, dtype=np.uint32) for x in t.column("ranks").to_pylist()]
     several = [np.unpackbits(np.frombuffer(x, dtype=np.uint8), count=len(r)).astype(bool) for x, r in zip(t.column("several").to_pylist(), ranks)]
     if not ranks:
@@ -200,12 +207,32 @@ def shared_ranks(t: pa.Table) -> pa.Table:
     return pa.table({"grp": t.column("grp"), "bucket": t.column("bucket"), "shared": pa.array(own, pa.binary())})
 
 
+def first_equal(group: Group, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """For each string of a group, which one is the first with the same bytes."""
+    widest = int(size.max())
+    rows = np.zeros((len(start), widest), dtype=np.uint8)
+    column = np.arange(widest)
+    for lo in range(0, len(start), STEP):
+        s, n = start[lo : lo + STEP, None], size[lo : lo + STEP, None]
+        place = np.minimum(s + column, len(group.bytes) - 1)
+        rows[lo : lo + STEP] = np.where(column < n, group.bytes[place], 0)
+    # strings of two sizes differ, also where the longer one goes on with zeros
+    rows = np.concatenate([rows, size.astype(np.uint8)[:, None]], axis=1)
+    _, at, of = np.unique(rows.view(np.dtype((np.void, widest + 1))).ravel(), return_index=True, return_inverse=True)
+    return at[of.ravel()]
+
+
 def open_contexts(buckets: int):
     def run(t: pa.Table, replies: pa.Table) -> pa.Table:
-        """From a group: the contexts of all anchors that aren't unique, numbered."""
+        """From a group: the contexts of all anchors that aren't unique, numbered; ``same`` and ``first`` are the number
+        and the doc_id of the first context in the group that has the same bytes."""
         if not len(t) or not len(replies):
             return empty(CONTEXTS_PA)
-        group = Group(t)
+        copy = replies.column("bucket").to_numpy() < 0
+        group = Group(without_copies(t, replies.filter(pa.array(copy)).column("shared").to_pylist()))
+        replies = replies.filter(pa.array(~copy))
+        if not len(replies):
+            return empty(CONTEXTS_PA)
         shared = np.sort(
             np.concatenate(
                 [
@@ -226,9 +253,12 @@ def open_contexts(buckets: int):
                 o.append(v)
         if not out[0]:
             return empty(CONTEXTS_PA)
-        columns = [np.concatenate(o) for o in out]
-        number = (t.column("grp")[0].as_py() << 28) + np.arange(len(columns[0]))
-        return pa.table([number, *columns], schema=CONTEXTS_PA)
+        rank, doc, at, size = (np.concatenate(o) for o in out)
+        if not len(rank):
+            return empty(CONTEXTS_PA)
+        same = first_equal(group, group.find(doc, at)[1], size)
+        base = t.column("grp")[0].as_py() << 28
+        return pa.table([base + np.arange(len(rank)), base + same, doc[same], rank, doc, at, size], schema=CONTEXTS_PA)
 
     return run
 
@@ -250,14 +280,17 @@ def send_pieces(t: pa.Table, strings: pa.Table) -> pa.Table:
     return pa.table([place, *keys], schema=PIECES_PA)
 
 
-def earlier(by_group, strings: DataFrame) -> DataFrame:
+def earlier(by_group, strings: DataFrame, distinct: bool = False) -> DataFrame:
     """``(id, first)`` of the strings that occur again: the smallest doc_id that has the same bytes.
 
     ``strings`` has ``id, doc_id, at, size`` (50 to 76 bytes) and ``grp``. Counts and smallest positions are
     aggregated in the tasks first, so that a popular string is one row of each; it is a hot key of
-    joins only, which adaptive execution splits.
+    joins only, which adaptive execution splits. Where no group has equal strings (``distinct``), that is
+    done already, and one exchange serves the counts and the join.
     """
     pieces = by_group.cogroup(strings.groupBy("grp")).applyInArrow(send_pieces, PIECES)
+    if distinct:
+        pieces = pieces.repartition(*KEY)
     ranks = pieces.groupBy(*KEY).agg(F.min("place").alias("rank"), F.count("*").alias("n")).where("n > 1").drop("n")
     ranked = pieces.join(ranks.hint("merge"), KEY).select(F.shiftright("place", 2).alias("id"), F.col("place").bitwiseAND(3).alias("slot"), "rank")
     of_slot = [F.max(F.when(F.col("slot") == k, F.col("rank"))).alias(f"rank{k}") for k in range(3)]
@@ -327,13 +360,18 @@ def repeated_bytes_removed(docs: DataFrame) -> DataFrame:
     )
     by_group = texts.groupBy("grp")
     # the filter of positions
-    ranks = by_group.applyInArrow(send_ranks(buckets), BLOBS)
+    of_text = ids.groupBy("key").agg(F.min("doc_id").alias("rep"))
+    named = ids.join(of_text, "key")
+    copies = named.where("doc_id > rep").select(group_of, F.concat_ws(":", F.col("doc_id").cast("string"), "key").cast("binary").alias("name")).distinct()
+    ranks = by_group.cogroup(copies.groupBy("grp")).applyInArrow(send_ranks(buckets), BLOBS)
     replies = ranks.groupBy("bucket").applyInArrow(shared_ranks, REPLY)
+    replies = replies.union(copies.select("grp", F.lit(-1).alias("bucket"), "name"))
     contexts = stored(by_group.cogroup(replies.groupBy("grp")).applyInArrow(open_contexts(buckets), CONTEXTS))
     release(spark)
     # ranks of contexts
-    found = earlier(by_group, contexts.withColumn("grp", group_of))
-    judged = stored(contexts.join(found, "id", "left").withColumn("first", F.coalesce("first", "doc_id")))
+    found = earlier(by_group, contexts.where("id = same").withColumn("grp", group_of), distinct=True)
+    judged = contexts.join(found.select(F.col("id").alias("same"), F.col("first").alias("before")), "same", "left")
+    judged = stored(judged.select("id", "rank", "doc_id", "at", "size", F.coalesce("before", "first").alias("first")))
     release(spark)
     # contexts of one prefix that differ: each place in a context's first document may hold windows of a smaller doc_id
     differ = judged.groupBy("rank").agg(F.min("first").alias("a"), F.max("first").alias("b")).where("a < b")
@@ -348,8 +386,6 @@ def repeated_bytes_removed(docs: DataFrame) -> DataFrame:
     repeats = judged.where("doc_id > first").select("doc_id", "at", "size", group_of).union(open_repeats)
     kept = by_group.cogroup(repeats.groupBy("grp")).applyInArrow(remove, RESULT)
     # copies of a text go whole, but for the first
-    of_text = ids.groupBy("key").agg(F.min("doc_id").alias("rep"))
-    named = ids.join(of_text, "key")
     whole = F.coalesce((F.col("doc_id") > F.col("rep")) & (F.col("n_bytes") >= LENGTH), F.lit(False))
     cut_up = F.col("n_removed").isNotNull()
     return named.join(kept, ["doc_id", "key"], "left").select(
