@@ -11,8 +11,9 @@ by the smallest position that has it, and drops what is unique.
    give ranks of 32 bytes. Unique ones, and the contexts that hold them, are dropped.
 3. *Offsets 18 to 44.* Pairs of ranks of 32 bytes, at a context's start and at its end (and one between where it is longer
    than 64), give ranks of whole contexts, 50 to 76 bytes. Where an earlier document has the same, all its windows are repeats.
-4. Contexts that differ, but share their anchor's prefix with an earlier document, are taken apart: rounds 2 and 3 again
-   (offsets 16 and 18) for each of their windows.
+4. Contexts that differ, but share their anchor's prefix, are taken apart. A window has 26 bytes beside the prefix, so 13 at least
+   on one side: the prefix with 13 bytes to its left and with 13 to its right (37 bytes) are ranked as in 2 and 3, and windows of
+   unique ones dropped. What is left is ranked window by window (offsets 16 and 18).
 
 Ranks stand for bytes that were compared whole, so equality is exact. Equal texts are one class from the start: its first
 document is compared, and the others are removed whole (by SHA-256). Equal contexts of a group of texts are sent once.
@@ -34,6 +35,8 @@ LENGTH = 50
 PREFIX = 24
 #: Bytes that a rank of the first sort stands for.
 RANKED = 32
+#: A window has so many bytes at least on one side of its anchor's prefix.
+SIDE = (LENGTH - PREFIX) // 2
 KEY = ["k0", "k1", "k2", "k3"]
 #: Bytes of text in a group (a task's unit of work), and whose prefixes share a bucket of round 1.
 GROUP_BYTES = 8 << 20
@@ -163,8 +166,8 @@ def empty(schema: pa.Schema) -> pa.Table:
 BLOBS = "bucket int, grp int, ranks binary, several binary"
 REPLY = "grp int, bucket int, shared binary"
 REPLY_PA = pa.schema([("grp", pa.int32()), ("bucket", pa.int32()), ("shared", pa.binary())])
-CONTEXTS = "id long, same long, first long, rank long, doc_id long, at long, size int"
-CONTEXTS_PA = pa.schema([*((c, pa.int64()) for c in ("id", "same", "first", "rank", "doc_id", "at")), ("size", pa.int32())])
+CONTEXTS = "id long, same long, first long, rank long, doc_id long, at long, size int, anchor int"
+CONTEXTS_PA = pa.schema([*((c, pa.int64()) for c in ("id", "same", "first", "rank", "doc_id", "at")), ("size", pa.int32()), ("anchor", pa.int32())])
 PIECES = "place long, k0 long, k1 long, k2 long, k3 long"
 PIECES_PA = pa.schema([(c, pa.int64()) for c in ("place", *KEY)])
 RESULT = "doc_id long, key string, n_removed long, n_spans long, kept_sha256 string"
@@ -243,22 +246,22 @@ def open_contexts(buckets: int):
         )
         if not len(shared):
             return empty(CONTEXTS_PA)
-        out: list[list[np.ndarray]] = [[] for _ in range(4)]
-        for which, rank, _, first, last in group.anchors():
+        out: list[list[np.ndarray]] = [[] for _ in range(5)]
+        for which, rank, anchor, first, last in group.anchors():
             key = bucket_keys(rank, buckets)
             keep = shared[np.minimum(np.searchsorted(shared, key), len(shared) - 1)] == key
-            which, rank, first, last = (x[keep] for x in (which, rank, first, last))
+            which, rank, anchor, first, last = (x[keep] for x in (which, rank, anchor, first, last))
             at = group.at(which, first - group.starts[which])
-            for o, v in zip(out, (rank.view(np.int64), group.docs[which], at, (last - first + LENGTH).astype(np.int32))):
+            for o, v in zip(out, (rank.view(np.int64), group.docs[which], at, (last - first + LENGTH).astype(np.int32), (anchor - first).astype(np.int32))):
                 o.append(v)
         if not out[0]:
             return empty(CONTEXTS_PA)
-        rank, doc, at, size = (np.concatenate(o) for o in out)
+        rank, doc, at, size, anchor = (np.concatenate(o) for o in out)
         if not len(rank):
             return empty(CONTEXTS_PA)
         same = first_equal(group, group.find(doc, at)[1], size)
         base = t.column("grp")[0].as_py() << 28
-        return pa.table([base + np.arange(len(rank)), base + same, doc[same], rank, doc, at, size], schema=CONTEXTS_PA)
+        return pa.table([base + np.arange(len(rank)), base + same, doc[same], rank, doc, at, size, anchor], schema=CONTEXTS_PA)
 
     return run
 
@@ -283,7 +286,7 @@ def send_pieces(t: pa.Table, strings: pa.Table) -> pa.Table:
 def earlier(by_group, strings: DataFrame, distinct: bool = False) -> DataFrame:
     """``(id, first)`` of the strings that occur again: the smallest doc_id that has the same bytes.
 
-    ``strings`` has ``id, doc_id, at, size`` (50 to 76 bytes) and ``grp``. Counts and smallest positions are
+    ``strings`` has ``id, doc_id, at, size`` (32 to 76 bytes) and ``grp``. Counts and smallest positions are
     aggregated in the tasks first, so that a popular string is one row of each; it is a hot key of
     joins only, which adaptive execution splits. Where no group has equal strings (``distinct``), that is
     done already, and one exchange serves the counts and the join.
@@ -371,14 +374,23 @@ def repeated_bytes_removed(docs: DataFrame) -> DataFrame:
     # ranks of contexts
     found = earlier(by_group, contexts.where("id = same").withColumn("grp", group_of), distinct=True)
     judged = contexts.join(found.select(F.col("id").alias("same"), F.col("first").alias("before")), "same", "left")
-    judged = stored(judged.select("id", "rank", "doc_id", "at", "size", F.coalesce("before", "first").alias("first")))
+    judged = stored(judged.select("id", "rank", "doc_id", "at", "size", "anchor", F.coalesce("before", "first").alias("first")))
     release(spark)
     # contexts of one prefix that differ: each place in a context's first document may hold windows of a smaller doc_id
     differ = judged.groupBy("rank").agg(F.min("first").alias("a"), F.max("first").alias("b")).where("a < b")
     asked = judged.where("doc_id = first").join(differ, "rank", "left_semi")
-    one = F.explode(F.sequence(F.lit(0), F.col("size") - LENGTH)).alias("k")
-    windows = asked.select("id", "doc_id", "at", "size", one)
-    windows = windows.select((F.col("id") * 32 + F.col("k")).alias("id"), "doc_id", (F.col("at") + F.col("k")).alias("at"), F.lit(LENGTH).alias("size"))
+    # starts of windows (from the context's) that have 13 bytes or more to the left of the prefix, and of the others
+    last = F.col("size") - LENGTH
+    left = F.struct((F.col("id") * 2).alias("id"), (F.col("at") + F.col("anchor") - SIDE).alias("at"), F.lit(0).alias("lo"), F.least(F.col("anchor") - SIDE, last).alias("hi"))
+    lo = F.greatest(F.lit(0), F.col("anchor") - SIDE + 1)
+    right = F.struct((F.col("id") * 2 + 1).alias("id"), (F.col("at") + F.col("anchor")).alias("at"), lo.alias("lo"), last.alias("hi"))
+    sides = asked.select("doc_id", F.col("at").alias("start"), F.explode(F.array(left, right)).alias("side"))
+    sides = sides.select("doc_id", "start", "side.*", F.lit(PREFIX + SIDE).alias("size"), group_of).where("lo <= hi")
+    sides = stored(sides)
+    shared_sides = stored(sides.join(earlier(by_group, sides), "id", "left_semi"))
+    release(spark)
+    windows = shared_sides.select("id", "doc_id", "start", F.explode(F.sequence("lo", "hi")).alias("k"))
+    windows = windows.select((F.col("id") * 32 + F.col("k")).alias("id"), "doc_id", (F.col("start") + F.col("k")).alias("at"), F.lit(LENGTH).alias("size"))
     windows = stored(windows).withColumn("grp", group_of)
     open_repeats = windows.join(earlier(by_group, windows), "id").where("doc_id > first").select("doc_id", "at", "size", "grp")
     open_repeats = stored(open_repeats)
