@@ -48,3 +48,20 @@ def whole_groups(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator
     if held:
         t = pa.Table.from_batches(held)
         yield t, starts(t)
+
+
+def term_bytes(digits: bool) -> bytes:
+    """For ``bytes.translate``: A to Z in lower case, letters (and digits) and all of non-ASCII characters as they are, spaces for the rest."""
+    letters = range(97, 123)
+    keep = {*letters, *range(128, 256), *(range(48, 58) if digits else ())}
+    return bytes(b + 32 if b + 32 in letters else b if b in keep else 32 for b in range(256))
+
+
+def terms_of(text: bytes, table: bytes, size: int = 1 << 20) -> Iterator[list[bytes]]:
+    """The terms of a text in UTF-8, those of about ``size`` bytes at a time."""
+    text, at = text.translate(table), 0
+    while at < len(text):
+        end = text.find(b" ", at + size)
+        end = len(text) if end < 0 else end
+        yield text[at:end].split()
+        at = end
