@@ -161,7 +161,7 @@ def test_exact_deduplicate(docs, texts):
 def test_merge_holds_one_entry():
     entry = lambda d, i, n=1: {"range": 0, "run": 0, "digest": d, "n_bytes": 1, "check": 1, "doc_id": i, "at": i, "n": n}
     rows = [entry(b"a", 1), entry(b"a", 4, 3), entry(b"a", 9), entry(b"b", 2), entry(b"c", 3), entry(b"c", 5)]
-    schema = pa.schema([("range", pa.int32()), ("run", pa.int64()), ("digest", pa.binary()), *[(c, pa.int64()) for c in ("n_bytes", "check", "doc_id", "at", "n")]])
+    schema = pa.schema([("range", pa.int32()), ("run", pa.int64()), ("digest", pa.binary()), *[(c, pa.int64()) for c in ("n_bytes", "check", "doc_id", "at")], pa.field("n", pa.int64(), False)])
     for cut in range(1, 6):
         parts = [pa.RecordBatch.from_pylist(x, schema) for x in (rows[:cut], [], rows[cut:])]
         got = [(r["digest"], r["doc_id"], r["n"]) for b in exact.merged(parts) for r in b.to_pylist()]

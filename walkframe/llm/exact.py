@@ -40,6 +40,7 @@ def merged(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         if not b.num_rows:
             continue
+        b = pa.RecordBatch.from_arrays(b.columns, b.schema.names)  # whether a column may be null doesn't matter
         if held is not None:
             b = pa.Table.from_batches([held, b]).combine_chunks().to_batches()[0]
         new = np.zeros(b.num_rows, dtype=bool)
