@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, Window as W
 
 from walkframe.functions import dna, handles, names
 from walkframe.model import PathGraph, names_of_paths
-from walkframe.operators import contigs, lcs, metadata, navigation, order, positions, search, segments, tags
+from walkframe.operators import contigs, lcs, metadata, navigation, order, positions, ranks, search, segments, tags
 from walkframe.plans.base_sql import BASE, EDGES, ORDER
 from walkframe.session import cut
 from walkframe.sources import sinks
@@ -30,7 +30,7 @@ def over(graph: Callable[[SparkSession, str], PathGraph], sql: str, *tables: str
     return register
 
 
-def text(array: str):
+def text(array):
     return F.array_join(F.transform(array, lambda x: x.cast("string")), " ")
 
 
@@ -293,6 +293,54 @@ def extend_queries(g):
     return search.extend(ordered(g), asked.withColumn("query_id", text("pattern")), 3)
 
 
+def rank_tables(g: PathGraph) -> ranks.RankIndex:
+    return ranks.rank_index(order.with_next(ordered(g)))
+
+
+@over(event_graph, """
+, flagged AS (SELECT g, off, next_g, CASE WHEN lag(next_g) OVER (PARTITION BY g ORDER BY off) = next_g THEN 0 ELSE 1 END AS new FROM erec),
+numbered AS (SELECT *, sum(new) OVER (PARTITION BY g ORDER BY off) AS run FROM flagged),
+runs AS (SELECT g, next_g, min(off) AS start, count(*) AS len FROM numbered GROUP BY g, next_g, run)
+SELECT g, next_g, start, len, coalesce(sum(len) OVER (PARTITION BY g, next_g ORDER BY start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM runs""", ORDER)
+def rank_runs(g):
+    # of these tables no handle fills a block
+    return rank_tables(g).pieces.select("g", "next_g", "start", "len", F.col("inside").alias("before"))
+
+
+@over(event_graph, """
+, asked AS (SELECT DISTINCT pattern FROM gram5 WHERE substr(md5((seq_id // 2) || ':' || pos), 1, 1) = '0' AND seq_id % 2 = 0)
+SELECT pattern AS query_id, g4 AS g, lo, hi FROM state5 JOIN asked USING (pattern)""", ORDER, gram_sql(5),
+      ", gram5 AS (SELECT seq_id, pos, concat_ws(' ', g, lead(g, 1) OVER w, lead(g, 2) OVER w, lead(g, 3) OVER w, lead(g, 4) OVER w) AS pattern FROM evisit WINDOW w AS (PARTITION BY seq_id ORDER BY pos) QUALIFY lead(g, 4) OVER w IS NOT NULL)")
+def search_ranges(g):
+    # a batch of given patterns: sampling them is the feature
+    asked = search.sample_patterns(g.visit, 5, digits=1).select("pattern").distinct()
+    return ranks.search_ranges(rank_tables(g), cut(asked.withColumn("query_id", text("pattern"))))
+
+
+@over(event_graph, "SELECT concat_ws(' ', g0, g1) AS pattern, g2 AS g, lo, hi FROM state3", ORDER, gram_sql(3))
+def extend_ranges(g):
+    # every range of two handles, extended by every handle that follows
+    index = rank_tables(g)
+    two = cut(ranks.follow_states(index, ranks.find(index, index.edges.select("g").distinct()).withColumn("first", F.col("g"))))
+    three = ranks.follow_states(index, two.select(text(F.array("first", "g")).alias("pattern"), "g", "lo", "hi"))
+    return three.select("pattern", "g", "lo", "hi")
+
+
+BOTH_WAYS = """
+SELECT a.pattern, a.g2 AS fwd_g, a.lo AS fwd_lo, a.hi AS fwd_hi, b.g2 AS rev_g, b.lo AS rev_lo, b.hi AS rev_hi
+FROM state3 a JOIN state3 b ON b.g0 = xor(a.g2, 1) AND b.g1 = xor(a.g1, 1) AND b.g2 = xor(a.g0, 1)"""
+
+
+@over(event_graph, BOTH_WAYS, ORDER, gram_sql(3))
+def extend_ranges_both(g):
+    # one handle to the right and then one to the left
+    index = rank_tables(g)
+    one = ranks.find_both(index, index.edges.select("g").distinct()).withColumn("pattern", F.array("fwd_g"))
+    two = cut(ranks.extend_both(index, one).select(F.concat("pattern", F.array("next_g")).alias("pattern"), *ranks.BOTH))
+    three = ranks.extend_both_left(index, two)
+    return three.select(text(F.concat(F.array("next_g"), "pattern")).alias("pattern"), *ranks.BOTH)
+
+
 @over(event_graph, "SELECT concat_ws(' ', g0, g1) AS pattern, g2 AS next_g, n, lo, hi FROM state3", ORDER, gram_sql(3))
 def follow_forward(g):
     return search.follow_forward(ordered(g), 2).withColumn("pattern", text("pattern"))
