@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, functions as F, Window as W
 
 from walkframe.functions.dna import oriented
 from walkframe.functions.handles import id_of
+from walkframe.operators.chains import BLOCK, chain
+from walkframe.session import stored
 
 
 def with_lengths(visit: DataFrame, node: DataFrame) -> DataFrame:
@@ -38,19 +40,27 @@ def text_offsets(lengths: DataFrame) -> DataFrame:
     return running_sum(lengths.withColumn("_unit", F.col("bp") + 1), "path_id", "_unit", "offset").select("path_id", "bp", "offset")
 
 
-def reference_positions(offsets: DataFrame, interval: int) -> DataFrame:
+def reference_positions(offsets: DataFrame, interval: int, width: int = 1 << 16, block: int = BLOCK) -> DataFrame:
     """``(path_id, pos, offset)``: of each walk, greedily, the first node start at ``interval`` or more after the one before.
 
     ``offsets`` are those of the paths to index (reference and generic samples);
-    interval 0 takes every node start.
+    interval 0 takes every node start. Each visit points to the first that is far enough behind it, and the chain of these pointers is
+    what is taken. That visit is looked up in ranges of ``width`` bases.
     """
-    start = F.struct(F.lit(0).cast("long").alias("next"), F.array().cast("array<struct<pos:bigint,offset:bigint>>").alias("taken"))
-
-    def step(state, x):
-        take = x["offset"] >= state["next"]
-        taken = F.concat(state["taken"], F.array(x))
-        return F.when(take, F.struct((x["offset"] + interval).alias("next"), taken.alias("taken"))).otherwise(state)
-
-    walk = F.sort_array(F.collect_list(F.struct("pos", "offset")))
-    taken = offsets.groupBy("path_id").agg(F.aggregate(walk, start, step)["taken"].alias("taken"))
-    return taken.select("path_id", F.explode("taken").alias("t")).select("path_id", "t.pos", "t.offset")
+    if interval == 0:
+        return offsets.select("path_id", "pos", "offset")
+    width = max(width, interval)
+    rows = stored(offsets.select("path_id", "pos", "offset"))
+    part = F.call_function("div", F.col("x"), F.lit(width)).alias("part")
+    none = F.lit(None).cast("struct<offset:bigint,pos:bigint>")
+    marks = rows.select("path_id", "pos", F.col("offset").alias("x"), F.lit(1).alias("kind"), F.struct("offset", "pos").alias("start"))
+    marks = marks.union(rows.select("path_id", "pos", F.col("offset") + interval, F.lit(0), none)).withColumn("part", part)
+    # from the end backwards, so that the last seen is the next one
+    falling = W.partitionBy("path_id", "part").orderBy(F.desc("x"), F.desc("kind"), F.desc("pos"))
+    here = F.last("start", ignorenulls=True).over(falling.rowsBetween(W.unboundedPreceding, W.currentRow))
+    later = F.last("start", ignorenulls=True).over(W.partitionBy("path_id").orderBy(F.desc("part")).rowsBetween(W.unboundedPreceding, -1))
+    parts = marks.groupBy("path_id", "part").agg(F.min("start").alias("start")).select("path_id", "part", later.alias("later"))
+    found = marks.withColumn("here", here).where("kind = 0").join(parts, ["path_id", "part"])
+    pointers = found.select(F.col("path_id").alias("walk"), "pos", F.coalesce("here", "later")["pos"].alias("next"))
+    on = chain(pointers, block).select(F.col("walk").alias("path_id"), "pos")
+    return rows.join(on, ["path_id", "pos"]).select("path_id", "pos", "offset")

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F, Window as W
 
 from walkframe.functions.handles import encode, flip, id_of, is_reverse
+from walkframe.operators.chains import BLOCK, chain
 from walkframe.operators.navigation import edges
+from walkframe.session import stored
 
 
 def node_to_segment(segment: DataFrame) -> DataFrame:
@@ -68,30 +70,44 @@ def segment_paths(visit: DataFrame, segment: DataFrame) -> DataFrame:
     return rows.select("path_id", no.cast("long").alias("seg_no"), "seg_id", "is_rev")
 
 
-def segment_paths_exact(visit: DataFrame, segment: DataFrame) -> DataFrame:
-    """The same by a state machine over each walk: also right where a walk enters a segment in its middle.
+def segment_of_nodes(segment: DataFrame, node: DataFrame, width: int = 1 << 16) -> DataFrame:
+    """``(node_id, seg_id, node_lo, node_hi)`` of the nodes that a segment has: a sweep over starts of segments and nodes together.
+
+    Ids are cut in ranges that are swept apart; the segment that is open at the end of a range is handed on, so
+    a segment is one row, however many nodes it has.
+    """
+    part = F.call_function("div", F.col("node_id"), F.lit(width)).alias("part")
+    starts = segment.select(F.col("node_lo").alias("node_id"), F.lit(0).alias("kind"), F.struct("node_lo", "node_hi", "seg_id").alias("seg"))
+    none = F.lit(None).cast("struct<node_lo:bigint,node_hi:bigint,seg_id:bigint>")
+    points = node.select("node_id").distinct().select("node_id", F.lit(1).alias("kind"), none.alias("seg"))
+    both = starts.union(points).withColumn("part", part)
+    # a row for each range of ids
+    ends = both.groupBy("part").agg(F.max("seg").alias("seg"))
+    handed = F.last("seg", ignorenulls=True).over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1))
+    ends = ends.select("part", handed.alias("handed"))
+    here = F.last("seg", ignorenulls=True).over(W.partitionBy("part").orderBy("node_id", "kind").rowsBetween(W.unboundedPreceding, W.currentRow))
+    found = both.withColumn("here", here).where("kind = 1").join(ends, "part").select("node_id", F.coalesce("here", "handed").alias("s"))
+    return found.where("node_id < s.node_hi").select("node_id", "s.seg_id", "s.node_lo", "s.node_hi")
+
+
+def segment_paths_exact(visit: DataFrame, segment: DataFrame, block: int = BLOCK) -> DataFrame:
+    """The same as a chain of entries: also right where a walk enters a segment in its middle.
 
     After an entry the expected node is the second of the segment (from its end in
-    reverse), wherever the entry was.
+    reverse), wherever the entry was. So a visit at index i of its segment follows an entry i visits before it, and an entry
+    goes on to the visit behind the segment if all of its other nodes follow it.
     """
-    lookup = node_to_segment(segment).join(segment.select("seg_id", "node_lo", "node_hi"), "seg_id")
+    lookup = segment_of_nodes(segment, visit.select(id_of("g").alias("node_id")))
+    rev = is_reverse("g").alias("is_rev")
+    index = F.when(rev, F.col("node_hi") - 1 - F.col("node_id")).otherwise(F.col("node_id") - F.col("node_lo")).alias("index")
     at = visit.withColumn("node_id", id_of("g")).join(lookup, "node_id", "left")
-    walk = F.sort_array(F.collect_list(F.struct("pos", "g", "seg_id", "node_lo", "node_hi")))
-    out = "array<struct<seg_id:bigint,is_rev:boolean>>"
-    start = F.struct(F.lit(0).cast("long").alias("want"), F.lit(0).cast("long").alias("left"), F.lit(False).alias("fail"), F.array().cast(out).alias("out"))
-
-    def step(s, x):
-        rev = x["g"].bitwiseAND(1) == 1
-        n = x["node_hi"] - x["node_lo"] - 1
-        second = F.when(rev, encode(x["node_hi"] - 2, F.lit(True))).otherwise(encode(x["node_lo"] + 1, F.lit(False)))
-        entered = F.struct(second.alias("want"), n.alias("left"), F.lit(False).alias("fail"), F.concat(s["out"], F.array(F.struct(x["seg_id"].alias("seg_id"), rev.alias("is_rev")))).alias("out"))
-        following = F.when(rev, s["want"] - 2).otherwise(s["want"] + 2)
-        advanced = F.struct(following.alias("want"), (s["left"] - 1).alias("left"), F.lit(False).alias("fail"), s["out"].alias("out"))
-        failed = F.struct(s["want"].alias("want"), s["left"].alias("left"), F.lit(True).alias("fail"), s["out"].alias("out"))
-        return F.when(s["fail"], s).when((s["left"] > 0) & (x["g"] == s["want"]), advanced).when((s["left"] > 0) | x["seg_id"].isNull(), failed).otherwise(entered)
-
-    found = at.groupBy("path_id").agg(F.aggregate(walk, start, step)["out"].alias("out"))
-    return found.select("path_id", F.posexplode("out").alias("seg_no", "s")).select("path_id", F.col("seg_no").cast("long").alias("seg_no"), "s.seg_id", "s.is_rev")
+    at = stored(at.select("path_id", "pos", "seg_id", rev, (F.col("node_hi") - F.col("node_lo")).alias("n"), index))
+    key = ["path_id", "seg_id", "is_rev", "pos"]
+    following = at.where("index > 0").groupBy("path_id", "seg_id", "is_rev", (F.col("pos") - F.col("index")).alias("pos")).agg(F.count("*").alias("found"))
+    go_on = F.when(F.coalesce("found", F.lit(0)) == F.col("n") - 1, F.col("pos") + F.col("n"))
+    pointers = at.join(following, key, "left").select(F.col("path_id").alias("walk"), "pos", go_on.alias("next"))
+    on = chain(pointers, block).select(F.col("walk").alias("path_id"), "pos", F.col("nth").alias("seg_no"))
+    return on.join(at.where("seg_id is not null"), ["path_id", "pos"]).select("path_id", "seg_no", "seg_id", "is_rev")
 
 
 def mirrored(links: DataFrame) -> DataFrame:

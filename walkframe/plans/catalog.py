@@ -456,7 +456,7 @@ def segment_len(g):
 
 @over(order_graph, "SELECT n.node_id, s.seg_id FROM node n JOIN segment s ON n.node_id >= s.node_lo AND n.node_id < s.node_hi")
 def node_to_segment(g):
-    return segments.node_to_segment(g.segment).join(g.node, "node_id", "left_semi")
+    return segments.segment_of_nodes(g.segment, g.node).select("node_id", "seg_id")
 
 
 LINKS = """, ends AS (

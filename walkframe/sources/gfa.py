@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, Window as W
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from walkframe.functions.handles import encode
 from walkframe.functions.names import GENERIC_SAMPLE
@@ -56,8 +56,7 @@ def read_gfa(spark: SparkSession, path: str, node_bp: int = 1024) -> PathGraph:
     )
     order = (F.col("kind").cast("long") * (1 << 62) + F.col("line_no")).alias("place")
     paths = dense(p.union(w).select(order, "sample", "contig", "phase", "fragment", "walk"), "place", "path_id").drop("place")
-    first = W.orderBy("at")
-    names = lambda c: paths.groupBy(c).agg(F.min("path_id").alias("at")).select(F.col(c).alias("name"), (F.row_number().over(first) - 1).cast("long").alias(f"{c}_id"))
+    names = lambda c: dense(paths.groupBy(c).agg(F.min("path_id").alias("at")).select(F.col(c).alias("name"), "at"), "at", f"{c}_id").drop("at")
     sample, contig = names("sample"), names("contig")
     path_table = (
         paths.join(sample.withColumnRenamed("name", "sample"), "sample")
@@ -69,7 +68,7 @@ def read_gfa(spark: SparkSession, path: str, node_bp: int = 1024) -> PathGraph:
 
     visit = order_visits(steps.join(seg.select("name", "seg_id"), "name").select("path_id", "sv", "seg_id", "is_rev"), seg)
     used = visit.select(F.shiftright("g", 1).alias("node_id")).distinct()
-    header = lines.where(F.col("value").startswith("H\t")).select(F.explode(F.slice(part, 2, 1000)).alias("f"))
+    header = lines.where(F.col("value").startswith("H\t")).select(F.explode(F.slice(part, F.lit(2), F.size(part))).alias("f"))
     refs = header.where(F.col("f").startswith("RS:Z:")).select(F.lit("index").alias("scope"), F.lit("reference_samples").alias("key"), F.expr("substring(f, 6)").alias("value"))
     return PathGraph(
         visit, node.join(used, "node_id", "left_semi"), None if by_number else seg, path_table,

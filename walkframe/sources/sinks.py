@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from walkframe.functions.dna import step_prefix, step_suffix
 from walkframe.functions.handles import edge_is_canonical, id_of, is_reverse
@@ -14,6 +14,7 @@ from walkframe.operators.metadata import reference_samples
 from walkframe.operators.navigation import canonical_edges
 from walkframe.operators.positions import path_dna, path_lengths
 from walkframe.operators.segments import mirrored, segment_links, segment_paths_exact, used_segments
+from walkframe.session import stored
 
 TAB = "\t"
 
@@ -52,38 +53,47 @@ def gfa_links(graph: PathGraph) -> DataFrame:
     return e.select("g", "next_g", F.concat_ws(TAB, F.lit("L"), a, sign("g"), b, sign("next_g"), F.lit("*")).alias("line"))
 
 
-def walk_steps(graph: PathGraph) -> DataFrame:
-    """``(path_id, n, name, is_rev)``: walks over segments, or over nodes where there are no segments."""
+def walk_steps(graph: PathGraph, paths: DataFrame | None = None) -> DataFrame:
+    """``(path_id, n, name, is_rev)``: walks (of ``paths`` only, if given) over segments, or over nodes where there are no segments."""
+    visit = graph.visit if paths is None else graph.visit.join(paths, "path_id", "left_semi")
     if graph.segment is None:
-        return graph.visit.select("path_id", F.col("pos").alias("n"), id_of("g").cast("string").alias("name"), is_reverse("g").alias("is_rev"))
-    walks = segment_paths_exact(graph.visit, graph.segment)
+        return visit.select("path_id", F.col("pos").alias("n"), id_of("g").cast("string").alias("name"), is_reverse("g").alias("is_rev"))
+    walks = segment_paths_exact(visit, graph.segment)
     return walks.join(graph.segment.select("seg_id", "name"), "seg_id").select("path_id", F.col("seg_no").alias("n"), "name", "is_rev")
 
 
-def rendered(steps: DataFrame, render, separator: str) -> DataFrame:
-    walk = F.sort_array(F.collect_list(F.struct("n", render("name", "is_rev").alias("step"))))
-    return steps.groupBy("path_id").agg(F.array_join(F.transform(walk, lambda x: x["step"]), separator).alias("walk"))
+def rendered(steps: DataFrame, render, separator: str, block: int = 1 << 12) -> DataFrame:
+    """``(path_id, walk)``: text of blocks of steps first; only these meet in the line."""
+
+    def joined(rows: DataFrame, order: str, text: Column, *keys: str) -> DataFrame:
+        parts = F.sort_array(F.collect_list(F.struct(order, text.alias("text"))))
+        return rows.groupBy(*keys).agg(F.array_join(F.transform(parts, lambda x: x["text"]), separator).alias("walk"))
+
+    placed = steps.withColumn("block", F.call_function("div", F.col("n"), F.lit(block)))
+    blocks = joined(placed, "n", render("name", "is_rev"), "path_id", "block")
+    return joined(blocks, "block", F.col("walk"), "path_id")
 
 
-def p_lines(names: DataFrame, graph: PathGraph) -> DataFrame:
-    walks = rendered(walk_steps(graph), step_suffix, ",")
+def p_lines(names: DataFrame, steps: DataFrame) -> DataFrame:
+    walks = rendered(steps, step_suffix, ",")
     rows = names.join(walks, "path_id", "left")
     return rows.select("path_id", F.concat_ws(TAB, F.lit("P"), "path_name", F.coalesce("walk", F.lit("")), F.lit("*")).alias("line"))
 
 
-def gfa_paths(graph: PathGraph) -> DataFrame:
-    """P lines of plainly named paths."""
-    return p_lines(names_of_paths(graph).where(F.col("sample") == GENERIC_SAMPLE).select("path_id", F.col("contig").alias("path_name")), graph)
+def gfa_paths(graph: PathGraph, steps: DataFrame | None = None) -> DataFrame:
+    """P lines of plainly named paths; ``steps`` of all walks are used if they are there."""
+    names = names_of_paths(graph).where(F.col("sample") == GENERIC_SAMPLE).select("path_id", F.col("contig").alias("path_name"))
+    return p_lines(names, walk_steps(graph, names.select("path_id")) if steps is None else steps)
 
 
 def gfa_pansn(graph: PathGraph) -> DataFrame:
     """P lines of all paths, by sample, haplotype and contig; fragments of one haplotype share a name."""
-    return p_lines(names_of_paths(graph).select("path_id", pansn_name("sample", "phase", "contig").alias("path_name")), graph)
+    return p_lines(names_of_paths(graph).select("path_id", pansn_name("sample", "phase", "contig").alias("path_name")), walk_steps(graph))
 
 
-def gfa_walks(graph: PathGraph) -> DataFrame:
-    """W lines of all but plainly named paths."""
-    steps = walk_steps(graph)
+def gfa_walks(graph: PathGraph, steps: DataFrame | None = None) -> DataFrame:
+    """W lines of all but plainly named paths; ``steps`` of all walks are used if they are there."""
+    steps = stored(walk_steps(graph)) if steps is None else steps  # read twice
     walks = rendered(steps, step_prefix, "")
     if graph.segment is None:
         bp = path_lengths(graph.visit, graph.node).select("path_id", "bp")
@@ -107,9 +117,10 @@ def gfa(graph: PathGraph, mode: str = "default") -> DataFrame:
     if mode == "pan-sn":
         parts += [gfa_pansn(graph).select(F.lit(3), "path_id", zero, "line")]
     else:
-        parts += [gfa_paths(graph).select(F.lit(3), "path_id", zero, "line")]
+        steps = None if mode == "ref-only" else stored(walk_steps(graph))
+        parts += [gfa_paths(graph, steps).select(F.lit(3), "path_id", zero, "line")]
         if mode != "ref-only":
-            parts += [gfa_walks(graph).select(F.lit(4), "path_id", zero, "line")]
+            parts += [gfa_walks(graph, steps).select(F.lit(4), "path_id", zero, "line")]
     return reduce(DataFrame.union, parts)
 
 
