@@ -30,6 +30,17 @@ def display_name(sample, haplotype, contig, fragment) -> Column:
     return F.when(col(sample) == GENERIC_SAMPLE, col(contig)).when(plain, F.concat_ws("#", col(sample), col(contig))).otherwise(full)
 
 
+def path_name(sample, contig, haplotype=0, fragment=0) -> Column:
+    """A full path name as a struct; a reference path has haplotype and fragment 0."""
+    whole = lambda c: (F.lit(c) if isinstance(c, int) else col(c)).cast("long")
+    return F.struct(col(sample).alias("sample"), col(contig).alias("contig"), whole(haplotype).alias("haplotype"), whole(fragment).alias("fragment"))
+
+
+def generic_name(contig) -> Column:
+    """The full name of a plainly named path."""
+    return path_name(F.lit(GENERIC_SAMPLE), contig)
+
+
 def is_predecessor(fragment, other_fragment, *same: tuple) -> Column:
     """Whether a fragment is at or before another of the same haplotype."""
     ok = col(fragment) <= col(other_fragment)

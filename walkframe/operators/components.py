@@ -86,3 +86,18 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", c
         e = cut(small.union(least.select("u", F.col("m").alias("v"))).distinct())
     roots = e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
+
+
+def join_components(labels: DataFrame, edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
+    """``(node, component)`` after new edges, from the ``labels`` before them; edges that made those aren't read again.
+
+    New edges become edges between labels, whose components say which labels change; a node without a label is its own.
+    """
+    ends = edges.select(F.explode(F.array(*[F.col(c).cast("long") for c in (src, dst)])).alias("node")).where("node is not null").distinct()
+    new = ends.join(labels.select("node"), "node", "left_anti").select("node", F.col("node").alias("component"))
+    known = labels.select("node", "component").union(new)
+    side = lambda c: known.select(F.col("node").alias(c), F.col("component").alias(f"{c}_label"))
+    links = edges.select(F.col(src).cast("long").alias("a"), F.col(dst).cast("long").alias("b")).join(side("a"), "a").join(side("b"), "b")
+    change = connected_components(links.select("a_label", "b_label"), "a_label", "b_label")
+    change = change.select(F.col("node").alias("component"), F.col("component").alias("lower")).where("component <> lower")
+    return known.join(change, "component", "left").select("node", F.coalesce("lower", "component").alias("component"))

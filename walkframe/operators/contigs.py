@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, functions as F
 from walkframe.functions.handles import id_of
 from walkframe.operators.components import connected_components
 from walkframe.operators.navigation import steps
+from walkframe.operators.prefix import running_sum
+from walkframe.session import stored
 
 
 def node_components(visit: DataFrame) -> DataFrame:
@@ -17,6 +19,18 @@ def node_components(visit: DataFrame) -> DataFrame:
     return nodes.join(label, nodes.node_id == label.node, "left").select("node_id", F.coalesce("component", "node_id").alias("component"))
 
 
+def numbered_components(components: DataFrame) -> DataFrame:
+    """``(component_no, member_no, node_id)``: components by their smallest node and members by id, both numbered from 0.
+
+    Members are numbered in ranges of the whole order, so a component that has most nodes isn't one task's work.
+    """
+    rows = components.select("component", "node_id").repartitionByRange("component", "node_id").sortWithinPartitions("component", "node_id")
+    rows = running_sum(stored(rows.withColumn("at", F.monotonically_increasing_id()).withColumn("one", F.lit(1))), "at", "one", "place", 1 << 33)
+    first = rows.groupBy("component").agg(F.min("place").alias("first"))
+    no = running_sum(first.withColumn("one", F.lit(1)), "component", "one", "component_no").select("component", "component_no", "first")
+    return rows.join(no, "component").select("component_no", (F.col("place") - F.col("first")).alias("member_no"), "node_id")
+
+
 def component_sizes(components: DataFrame) -> DataFrame:
     return components.groupBy("component").agg(F.count("*").alias("nodes"), F.max("node_id").alias("last_node"))
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F, Window as W
 
 from walkframe.functions.handles import edge_is_canonical, flip, id_of, is_reverse, path_is_canonical
+from walkframe.operators.prefix import running_sum
 
 
 def bidirectional(visit: DataFrame) -> DataFrame:
@@ -85,6 +86,34 @@ def nodes_of_paths(visit: DataFrame, reverse: bool = False) -> DataFrame:
     return visit.select("path_id", "pos", id_of("g").alias("node_id"), is_reverse("g").alias("is_rev"))
 
 
+def nth_visits(visit: DataFrame, asked: DataFrame) -> DataFrame:
+    """Of ``(path_id, k)``, counted from 0: ``(path_id, k, node_id, is_rev)``, null behind the end of a walk."""
+    at = visit.select("path_id", F.col("pos").alias("k"), id_of("g").alias("node_id"), is_reverse("g").alias("is_rev"))
+    return asked.join(at, ["path_id", "k"], "left").select("path_id", "k", "node_id", "is_rev")
+
+
+def node_order(node: DataFrame) -> DataFrame:
+    """``(node_id, place, place_from_end)``: nodes in ascending order, numbered from either end."""
+    rows = running_sum(node.select("node_id").withColumn("one", F.lit(1)), "node_id", "one", "place")
+    n = node.agg(F.count("*").alias("n"))  # one row
+    return rows.join(F.broadcast(n)).select("node_id", "place", (F.col("n") - 1 - F.col("place")).alias("place_from_end"))
+
+
+def edge_order(visit: DataFrame) -> DataFrame:
+    """``(g, successor, place, place_from_end)``: the successors of each handle in ascending order, numbered from either end."""
+    up, down = (W.partitionBy("g").orderBy(c) for c in (F.asc("successor"), F.desc("successor")))
+    place = lambda w: (F.row_number().over(w) - 1).cast("long")
+    return successors(visit).select("g", "successor", place(up).alias("place"), place(down).alias("place_from_end"))
+
+
+def index_numbers(node: DataFrame) -> DataFrame:
+    """``(g, record, sequence, handle_of_record, node_of_sequence)``: the number of each handle's record and of each node's sequence, and back."""
+    offset = node.agg(F.min("node_id").alias("first"))  # one row
+    rows = node.select(F.explode(F.array(F.shiftleft("node_id", 1), F.shiftleft("node_id", 1) + 1)).alias("g")).join(F.broadcast(offset))
+    record, sequence = F.col("g") - (2 * F.col("first") - 1), id_of("g") - F.col("first")
+    return rows.select("g", record.alias("record"), sequence.alias("sequence"), (record + 2 * F.col("first") - 1).alias("handle_of_record"), (sequence + F.col("first")).alias("node_of_sequence"))
+
+
 def statistics(visit: DataFrame) -> DataFrame:
     """One row: size with an end for every sequence, sequences, alphabet, node range and counts."""
     n = visit.agg(

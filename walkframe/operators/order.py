@@ -34,20 +34,28 @@ def by_doubling(seqs: DataFrame) -> DataFrame:
     numbering: counts of distinct keys are summed in key order over range
     partitions, and a hot handle's visits are spread as soon as their prefixes differ.
     """
+    real = doubling_rounds(seqs)[-1].where("pos >= 0")
+    low = real.groupBy("g").agg(F.min("rank").alias("low"))
+    # ranks of one handle are consecutive
+    return real.join(low, "g").select("g", (F.col("rank") - F.col("low")).alias("off"), "seq_id", "pos")
+
+
+def doubling_rounds(seqs: DataFrame) -> list[DataFrame]:
+    """Of each round r: ``(seq_id, pos, g, rank)``, where visits that agree over 2^r handles backwards rank alike; in the last all differ.
+
+    A row at position -1 stands for the end before each sequence.
+    """
     # before the first visit of a sequence stands an end that is unlike any other, in the order of sequences
     ends = seqs.select("seq_id").distinct().select("seq_id", F.lit(-1).cast("long").alias("pos"), F.lit(0).cast("long").alias("g"))
     everything = ends.union(seqs.select("seq_id", "pos", "g"))
     key = F.struct("g", F.when(F.col("pos") < 0, F.col("seq_id")).otherwise(F.lit(-1)).alias("tie"))
-    ranks = cut(ranked(everything.withColumn("key", key)))
-    step, total = 1, ranks.count()
-    while ranks.select("rank").distinct().count() < total:
+    rounds = [cut(ranked(everything.withColumn("key", key)))]
+    step, total = 1, rounds[0].count()
+    while rounds[-1].select("rank").distinct().count() < total:
         back = F.lag("rank", step).over(W.partitionBy("seq_id").orderBy("pos"))
         key = F.struct("rank", F.coalesce(back, F.lit(-1)).alias("before"))
-        ranks, step = cut(ranked(ranks.withColumn("key", key))), step * 2
-    real = ranks.where("pos >= 0")
-    low = real.groupBy("g").agg(F.min("rank").alias("low"))
-    # ranks of one handle are consecutive
-    return real.join(low, "g").select("g", (F.col("rank") - F.col("low")).alias("off"), "seq_id", "pos")
+        rounds, step = [*rounds, cut(ranked(rounds[-1].withColumn("key", key)))], step * 2
+    return rounds
 
 
 def ranked(rows: DataFrame) -> DataFrame:

@@ -116,3 +116,19 @@ def sample_patterns(visit: DataFrame, k: int, digits: int = 3) -> DataFrame:
     key = F.concat(F.col("path_id").cast("string"), F.lit(":"), F.col("pos").cast("string"))
     drawn = kgrams(visit, k).where(F.substring(F.md5(key), 1, digits) == "0" * digits)
     return drawn.select(key.alias("query_id"), F.col("gram").alias("pattern"))
+
+
+def sample_by_node(visit: DataFrame, k: int, digits: int = 1) -> DataFrame:
+    """``(query_id, pattern)``: about one in ``16 ** digits`` visited handles, each as likely as any other, and a visit of each drawn by a keyed hash.
+
+    A handle's least hash is found in the tasks, so a popular handle is drawn no more often and is no task's work. Visits are drawn
+    over both orientations; where the walk is too short from there on, the handle gives none, as a random visit would.
+    """
+    from walkframe.operators.navigation import bidirectional
+
+    seqs = bidirectional(visit)
+    asked = seqs.where(F.substring(F.md5(F.concat(F.lit("node:"), F.col("g").cast("string"))), 1, digits) == "0" * digits)
+    key = F.concat(F.col("seq_id").cast("string"), F.lit(":"), F.col("pos").cast("string"))
+    drawn = asked.groupBy("g").agg(F.min(F.struct(F.md5(key).alias("hash"), "seq_id", "pos")).alias("v")).select("v.seq_id", "v.pos")
+    grams = kgrams(seqs.join(drawn.select("seq_id").distinct(), "seq_id", "left_semi"), k, "seq_id")
+    return grams.join(drawn, ["seq_id", "pos"]).select(key.alias("query_id"), F.col("gram").alias("pattern"))

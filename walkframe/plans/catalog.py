@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, Window as W
 
 from walkframe.functions import dna, handles, names
 from walkframe.model import PathGraph, names_of_paths
-from walkframe.operators import contigs, lcs, metadata, navigation, order, positions, ranks, search, segments, tags
+from walkframe.operators import contigs, lcs, metadata, navigation, order, positions, ranks, search, segments, subpaths, tags
+from walkframe.operators.components import connected_components, join_components
 from walkframe.plans.base_sql import BASE, EDGES, ORDER
 from walkframe.session import cut
 from walkframe.sources import sinks
@@ -374,6 +375,22 @@ def all_subpaths_k(g):
     return search.all_subpaths(g.visit, 3).withColumn("pattern", text("pattern"))
 
 
+@over(event_graph, """
+, whole AS (SELECT list_concat([g], coalesce(pre, [])) AS w FROM prefixed)
+SELECT k::BIGINT AS k, count(DISTINCT w[1:k])::BIGINT AS n FROM (SELECT w, unnest(range(1, len(w) + 1)) AS k FROM whole) GROUP BY k""", ORDER)
+def distinct_subpaths(g):
+    return subpaths.distinct_subpaths(navigation.bidirectional(g.visit))
+
+
+@over(event_graph, f"""
+, grams AS ({lead_gram(10, "evisit", "seq_id")}),
+drawn AS (SELECT g, arg_min(seq_id || ':' || pos, md5(seq_id || ':' || pos)) AS query_id FROM evisit WHERE substr(md5('node:' || g), 1, 1) = '0' GROUP BY g)
+SELECT query_id, pattern FROM drawn JOIN grams ON seq_id || ':' || pos = query_id""")
+def sample_by_node(g):
+    # drawing handles is the feature
+    return search.sample_by_node(g.visit, 10, 1).withColumn("pattern", text("pattern"))
+
+
 # ---------------------------------------------------------------- base pairs
 
 
@@ -552,6 +569,31 @@ def duplicate_names(g):
 TAGS = "(VALUES ('index', 'reference_samples', 'c3 c7 c3 nobody c11 c20'), ('graph', 'source', 'projection'))"
 
 
+def more_tags(g: PathGraph) -> DataFrame:
+    """A tag for each contig, and one that is there already, in other letters."""
+    graph = F.lit("graph").alias("scope")
+    new = g.contig.select(graph, F.col("name").alias("key"), F.col("contig_id").cast("string").alias("value"))
+    return new.union(g.contig.agg(F.count("*").cast("string").alias("value")).select(graph, F.lit("SOURCE"), "value"))
+
+
+MORE_TAGS = f""", edited AS (
+  SELECT scope, key, value FROM {TAGS} t(scope, key, value) WHERE key <> 'source'
+  UNION ALL SELECT 'graph', lower(name), contig_id::VARCHAR FROM contig
+  UNION ALL SELECT 'graph', 'source', count(*)::VARCHAR FROM contig
+)
+"""
+
+
+@over(order_graph, "SELECT scope, key, value, (row_number() OVER (PARTITION BY scope ORDER BY key))::INTEGER AS place FROM edited", MORE_TAGS)
+def tags_insert(g):
+    return metadata.set_tags(g.tag, more_tags(g)).withColumn("place", F.row_number().over(W.partitionBy("scope").orderBy("key")))
+
+
+@over(order_graph, "SELECT scope, key, value FROM edited WHERE key NOT IN ('source', 'asia')", MORE_TAGS)
+def tags_remove(g):
+    return metadata.remove_tags(metadata.set_tags(g.tag, more_tags(g)), "Source", "Asia")
+
+
 @over(order_graph, f"SELECT * FROM {TAGS} t(scope, key, value)")
 def tags_normalise(g):
     return metadata.normalised_tags(g.tag)
@@ -590,6 +632,24 @@ def components(g):
     return contigs.node_components(g.visit)
 
 
+@over(order_graph, "SELECT node_id, component FROM cc", EDGES, COMPONENTS)
+def components_in_batches(g):
+    # edges arrive in three batches; each is joined to the labels of those before it
+    links = cut(navigation.steps(g.visit).where("next_g <> 0").select(handles.id_of("g").alias("src"), handles.id_of("next_g").alias("dst")))
+    batch = F.pmod(F.xxhash64("src", "dst"), F.lit(3))
+    labels = connected_components(links.where(batch == 0))
+    for i in (1, 2):
+        labels = cut(join_components(labels, links.where(batch == i)))
+    alone = g.node.select("node_id")
+    return alone.join(labels.withColumnRenamed("node", "node_id"), "node_id", "left").select("node_id", F.coalesce("component", "node_id").alias("component"))
+
+
+@over(order_graph, """
+SELECT dense_rank() OVER (ORDER BY component) - 1 AS component_no, row_number() OVER (PARTITION BY component ORDER BY node_id) - 1 AS member_no, node_id FROM cc""", EDGES, COMPONENTS)
+def numbered_components(g):
+    return contigs.numbered_components(cut(contigs.node_components(g.visit)))
+
+
 @over(order_graph, """
 , starts AS (SELECT path_id, component FROM fvisit JOIN cc ON node_id = g // 2 WHERE pos = 0)
 SELECT path_id FROM starts WHERE component IN (SELECT component FROM starts JOIN path USING (path_id) WHERE contig_id = 2)""", EDGES, COMPONENTS)
@@ -634,6 +694,48 @@ def lcs_table(g):
     return rows.select("pair_id", lcs.weight_by_table(F.col("a"), F.col("b"), F.col("weight")).alias("weight"))
 
 
+# ---------------------------------------------------------------- orders, numbers, edits
+
+
+@over(order_graph, "SELECT node_id, row_number() OVER (ORDER BY node_id) - 1 AS place, row_number() OVER (ORDER BY node_id DESC) - 1 AS place_from_end FROM node")
+def node_order(g):
+    return navigation.node_order(g.node)
+
+
+@over(order_graph, """
+SELECT g, next_g AS successor, row_number() OVER (PARTITION BY g ORDER BY next_g) - 1 AS place,
+  row_number() OVER (PARTITION BY g ORDER BY next_g DESC) - 1 AS place_from_end FROM edges""", EDGES)
+def edge_order(g):
+    return navigation.edge_order(g.visit)
+
+
+@over(order_graph, """
+, f AS (SELECT min(node_id) AS first FROM node), h AS (SELECT 2 * node_id AS g FROM node UNION ALL SELECT 2 * node_id + 1 FROM node)
+SELECT g, g - 2 * first + 1 AS record, (g - 2 * first) // 2 AS sequence, g AS handle_of_record, g // 2 AS node_of_sequence FROM h, f""")
+def index_numbers(g):
+    return navigation.index_numbers(g.node)
+
+
+@over(order_graph, "SELECT a.path_id, a.path_id % 20 AS k, v.g // 2 AS node_id, v.g % 2 = 1 AS is_rev FROM path a LEFT JOIN fvisit v ON v.path_id = a.path_id AND v.pos = a.path_id % 20")
+def nth_visits(g):
+    return navigation.nth_visits(g.visit, g.path.select("path_id", (F.col("path_id") % 20).alias("k")))
+
+
+@over(order_graph, "SELECT contig_id, coalesce(c.name, contig_id::VARCHAR) AS name FROM (SELECT DISTINCT contig_id FROM path) LEFT JOIN contig c USING (contig_id)")
+def contig_names(g):
+    return g.path.select("contig_id").distinct().join(g.contig, "contig_id", "left").select("contig_id", names.name_or_id("name", "contig_id").alias("name"))
+
+
+@over(order_graph, f"""
+SELECT path_id, CASE WHEN sample = '{names.GENERIC_SAMPLE}' THEN '{names.GENERIC_SAMPLE}' ELSE sample END AS sample, contig,
+  CASE WHEN sample = '{names.GENERIC_SAMPLE}' OR (phase = 0 AND fragment = 0) THEN 0 ELSE phase END::BIGINT AS haplotype,
+  CASE WHEN sample = '{names.GENERIC_SAMPLE}' OR (phase = 0 AND fragment = 0) THEN 0 ELSE fragment END::BIGINT AS fragment FROM named""")
+def made_names(g):
+    made = F.when(F.col("sample") == names.GENERIC_SAMPLE, names.generic_name("contig"))
+    made = made.when((F.col("phase") == 0) & (F.col("fragment") == 0), names.path_name("sample", "contig")).otherwise(names.path_name("sample", "contig", "phase", "fragment"))
+    return names_of_paths(g).select("path_id", made.alias("n")).select("path_id", "n.*")
+
+
 # ---------------------------------------------------------------- text output
 
 
