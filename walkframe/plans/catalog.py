@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, Window as W
 
 from walkframe.functions import dna, handles, names
 from walkframe.model import PathGraph, names_of_paths
-from walkframe.operators import contigs, lcs, metadata, navigation, order, positions, ranks, search, segments, subpaths, tags
+from walkframe.operators import contigs, lcs, lcs_tiles, metadata, navigation, order, positions, ranks, search, segments, subpaths, tags
 from walkframe.operators.components import connected_components, join_components
 from walkframe.plans.base_sql import BASE, EDGES, ORDER
 from walkframe.session import cut
@@ -657,9 +657,19 @@ def contig_paths(g):
     return contigs.paths_of_contig(g.visit, g.path, 2, contigs.node_components(g.visit))
 
 
-def lcs_sql(weight: str) -> str:
+NEIGHBOURS = "SELECT a.path_id || '-' || b.path_id AS pair_id, a.w AS a, a.wt AS wt, b.w AS b FROM walks a JOIN walks b ON b.path_id = a.path_id + 1"
+#: All pairs whose handles, in any order, weigh enough.
+REACHING = """SELECT a.path_id || '-' || b.path_id AS pair_id, a.w AS a, a.wt AS wt, b.w AS b FROM walks a JOIN walks b ON a.path_id < b.path_id JOIN (
+  SELECT a_id, b_id FROM (SELECT a.path_id AS a_id, b.path_id AS b_id, least(a.c, b.c) * length(seq) AS shared
+    FROM (SELECT path_id, g, count(*) AS c FROM efvisit GROUP BY path_id, g) a JOIN (SELECT path_id, g, count(*) AS c FROM efvisit GROUP BY path_id, g) b ON a.g = b.g AND a.path_id < b.path_id JOIN enode ON node_id = a.g // 2)
+  GROUP BY a_id, b_id HAVING sum(shared) >= {least}) ON a_id = a.path_id AND b_id = b.path_id"""
+#: Of walks of some sixty visits of four bases on average, about as alike as any two.
+ALIKE = 75
+
+
+def lcs_sql(weight: str, pairs: str = NEIGHBOURS, what: str = "pair_id, arg_max(r[len(r)], i) AS weight", having: str = "") -> str:
     return f""", walks AS (SELECT path_id, list(g ORDER BY pos) AS w, list({weight} ORDER BY pos) AS wt FROM efvisit JOIN enode ON node_id = g // 2 GROUP BY path_id),
-pairs AS (SELECT a.path_id || '-' || b.path_id AS pair_id, a.w AS a, a.wt AS wt, b.w AS b FROM walks a JOIN walks b ON b.path_id = a.path_id + 1),
+pairs AS ({pairs}),
 dp(pair_id, i, r) AS (
   SELECT pair_id, 0, list_transform(b, lambda x: 0::BIGINT) FROM pairs
   UNION ALL
@@ -668,7 +678,7 @@ dp(pair_id, i, r) AS (
       list_transform(range(1, len(p.b) + 1), lambda j: greatest(d.r[j], CASE WHEN p.b[j] = p.a[d.i + 1] THEN coalesce(d.r[j - 1], 0) + p.wt[d.i + 1] ELSE 0 END)) AS c
     FROM dp d JOIN pairs p USING (pair_id) WHERE d.i < len(p.a))
 )
-SELECT pair_id, arg_max(r[len(r)], i) AS weight FROM dp GROUP BY pair_id"""
+SELECT {what} FROM dp GROUP BY pair_id{having}"""
 
 
 def neighbours(g: PathGraph, weights: DataFrame | None) -> DataFrame:
@@ -688,6 +698,28 @@ def lcs_weighted(g):
     return lcs.weighted_lcs(neighbours(g, lcs.node_weights(g.node))).select("pair_id", "weight")
 
 
+@over(event_graph, lcs_sql("length(seq)::BIGINT", what="pair_id, arg_max(r[len(r)], i) AS weight, 0::BIGINT AS wrong"))
+def lcs_pairs(g):
+    # each user and the next; of the pairs of positions found: what they weigh, and how many aren't alike or don't go on in both walks
+    visit = cut(g.visit)
+    ids = visit.select("path_id").distinct()
+    pairs = ids.select(F.col("path_id").alias("a_id"), (F.col("path_id") + 1).alias("b_id")).join(ids.withColumnRenamed("path_id", "b_id"), "b_id", "left_semi")
+    pairs = cut(pairs.select("a_id", "b_id", F.concat_ws("-", "a_id", "b_id").alias("pair_id")))
+    found = cut(lcs_tiles.subsequences(visit, pairs, lcs.node_weights(g.node))).join(pairs, "pair_id")
+    side = lambda p: visit.select(F.col("path_id").alias(f"{p}_id"), F.col("pos").alias(f"{p}_pos"), F.col("g").alias(f"{p}_g"))
+    found = found.join(side("a"), ["a_id", "a_pos"]).join(side("b"), ["b_id", "b_pos"])
+    w = W.partitionBy("pair_id").orderBy("a_pos")
+    right = (F.col("a_g") == F.col("b_g")) & (F.coalesce(F.lag("b_pos").over(w), F.lit(-1)) < F.col("b_pos")) & (F.coalesce(F.lag("a_pos").over(w), F.lit(-1)) < F.col("a_pos"))
+    weight = found.withColumn("wrong", (~right).cast("long")).groupBy("pair_id").agg(F.sum("w").alias("weight"), F.sum("wrong").alias("wrong"))
+    return pairs.select("pair_id").join(weight, "pair_id", "left").select("pair_id", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("weight", "wrong")])
+
+
+@over(event_graph, lcs_sql("length(seq)::BIGINT", REACHING.format(least=ALIKE), having=f" HAVING arg_max(r[len(r)], i) >= {ALIKE}"))
+def lcs_all_pairs(g):
+    found = lcs_tiles.alike(cut(g.visit), lcs.node_weights(g.node), ALIKE)
+    return found.select(F.concat_ws("-", "a_id", "b_id").alias("pair_id"), "weight")
+
+
 @over(event_graph, lcs_sql("length(seq)::BIGINT"))
 def lcs_table(g):
     rows = neighbours(g, lcs.node_weights(g.node))
