@@ -1,8 +1,9 @@
 """Main text of web pages, by consensus paths of each host.
 
 Every page scores its containers: a block of text counts for the container it
-stands in, and half as much for each container around that. The best one votes,
-with its score, for its generalised path (tags and classes from the root,
+stands in, and half as much for each container around that. From the best one the way goes outwards, to the article
+that it is the larger part of; that one votes,
+with the best one's score, for its generalised path (tags and classes from the root,
 without numbers). Votes are summed by host and path in Spark, and every page is
 extracted again from the elements on the best-voted path that it has. A page
 with none of its host's paths keeps its own best.
@@ -42,6 +43,13 @@ BAD_WORDS = frozenset(
     " signup login share sharing social related recommended recommendations breadcrumb breadcrumbs pagination pager widget widgets toolbar masthead topbar skip"
     " hidden copyright form search".split()
 )
+#: Words that may stand beside those in a class name; beside any other word, as in long-form, they say nothing.
+BESIDE = frozenset(
+    "area articles bar block bottom box button buttons col column container content entries fixed footer form global group header icons inner items left link links list main"
+    " messages outer page panel post posts primary right row secondary section site slot sticky stories top unit wrap wrapper user thread".split()
+)
+#: Readers' words: hidden however many there are.
+READERS = frozenset("comment comments commentlist reply replies respond disqus".split())
 GOOD_WORDS = frozenset("article content post entry story main text body".split())
 STATES = frozenset("has with no is without".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -49,6 +57,11 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Paths longer than so many characters are written as a digest of their beginning and their last step.
 LONG_PATH = 400
 
+#: Containers that are parts of an article rather than of a page's layout.
+PARTS = frozenset("section blockquote table td center".split())
+#: Of what a container adds to those in it, so much may be in links.
+LINKED = 0.3
+
 #: A page is extracted on another path than its best only if that scores so large a share of the best.
 LEAST = 0.1
 
@@ -129,11 +142,13 @@ class Page:
 
     ``parent``, ``tag``, ``path``, ``depth`` (containers around it) and ``role`` (0 article, 1 boilerplate,
     2 a header, whose headings count inside an article) describe element i; its events are ``first[i]`` to
-    ``last[i]``, and the elements in it those up to ``beyond[i]``. An event is (element, text, in a link),
+    ``last[i]``, and the elements in it those up to ``beyond[i]``. ``mine`` is the role without those around it, 3 where only a
+    class name or a form says boilerplate; elements ``kept`` have none of their own. An event is (element, text, in a link),
     or None at the edge of a block. Places on the stack of open elements are kept by tag, so no tag looks through the stack.
     """
 
-    def __init__(self, source: str) -> None:
+    def __init__(self, source: str, kept: frozenset[int] = frozenset()) -> None:
+        self.kept, self.mine = kept, [0]
         self.tag, self.parent, self.path, self.depth, self.role = ["html"], [-1], ["html"], [0], [0]
         self.first, self.last, self.beyond = [0], [0], [0]
         self.events: list[tuple[int, str, bool] | None] = []
@@ -210,23 +225,28 @@ class Page:
         i, up = len(self.tag), stack[-1]
         has = attributes(source) if source and not source.isspace() else {}
         classes = (has.get("class", "") + " " + has.get("id", "")).lower().split()
+        mine = 0
+        if name in NOT_ARTICLE or has.get("role", "").lower() in ROLES or "hidden" in has or has.get("aria-hidden") == "true" or "display:none" in has.get("style", "").replace(" ", ""):
+            mine = 3 if name == "form" else 1
+        elif name == "header":
+            mine = 2
+        elif name not in ("body", "article", "main"):
+            for c in classes:
+                w = WORDS.findall(c)
+                if w and w[0] not in STATES:
+                    if not BAD_WORDS.isdisjoint(w) and BAD_WORDS.union(BESIDE).issuperset(w):
+                        mine = 3 if READERS.isdisjoint(w) else 1
+                        break
+                    if "header" in w:
+                        mine = 2
+        if i in self.kept:
+            mine = 0
+        self.mine.append(mine)
         role = self.role[up]
         if role == 2 and name in HEADINGS and self.nearest(("article", "main")) >= 0:
             role = 0
         elif role == 0:
-            if name in NOT_ARTICLE or has.get("role", "").lower() in ROLES or "hidden" in has or has.get("aria-hidden") == "true" or "display:none" in has.get("style", "").replace(" ", ""):
-                role = 1
-            elif name == "header":
-                role = 2
-            elif name not in ("body", "article", "main"):
-                for c in classes:
-                    w = WORDS.findall(c)
-                    if w and w[0] not in STATES:
-                        if not BAD_WORDS.isdisjoint(w):
-                            role = 1
-                            break
-                        if "header" in w:
-                            role = 2
+            role = 1 if mine == 3 else mine
         general = ".".join([name, *sorted({re.sub(r"[0-9]+", "#", c) for c in has.get("class", "").lower().split()})])
         self.tag.append(name)
         self.parent.append(up)
@@ -251,6 +271,37 @@ class Page:
             self.containers_open.append(place)
         stack.append(i)
 
+    def wrongly_hidden(self) -> frozenset[int]:
+        """Elements that only a class name (or being a form) hides, though next to nothing is left without them: the largest, and those around or in it that hold half as much."""
+        if 3 not in self.mine:
+            return frozenset()
+        shown, inside, strong = 0, [0] * len(self.tag), [m == 1 for m in self.mine]
+        for i in range(1, len(self.tag)):
+            strong[i] |= strong[self.parent[i]]
+        for e in self.events:
+            if e is not None and not e[2]:
+                n = len(e[1].strip())
+                if self.role[e[0]] == 0:
+                    shown += n
+                if not strong[e[0]]:
+                    inside[e[0]] += n
+        for i in range(len(self.tag) - 1, 0, -1):
+            inside[self.parent[i]] += inside[i]
+        weak = [i for i, m in enumerate(self.mine) if m == 3 and not strong[i]]
+        most = max(weak, key=lambda i: (inside[i], -i), default=0)
+        if not most or not inside[most]:
+            return frozenset()
+        titled = any(t in ("h1", "article", "main") for t in self.tag[most : self.beyond[most]]) or self.nearest_up(most, ("article", "main"))
+        if shown and not (titled and shown < 0.1 * inside[most]):
+            return frozenset()
+        return frozenset(i for i in weak if 2 * inside[i] >= inside[most])
+
+    def nearest_up(self, i: int, names: tuple[str, ...]) -> bool:
+        """Whether element i stands in one of these."""
+        while i > 0 and self.tag[i] not in names:
+            i = self.parent[i]
+        return i > 0
+
     def blocks(self, i: int = 0) -> Iterator[tuple[int, str, int]]:
         """(element, text, characters of it in links) of each block in element i that isn't boilerplate."""
         held: list[str] = []
@@ -258,7 +309,7 @@ class Page:
         for e in [*self.events[self.first[i] : self.last[i]], None]:
             if e is None:
                 if held:
-                    text = " ".join(html.unescape("".join(held)).split())
+                    text = " ".join("".join(map(html.unescape, held)).split())  # a tag ends a reference
                     if text:
                         yield where, text, linked
                     held, linked = [], 0
@@ -288,6 +339,47 @@ class Page:
             found[i] *= 1.5 if self.tag[i] in ("article", "main") else 1.25 if last & GOOD_WORDS else 1.0
         return found
 
+    def whole(self, path: str) -> str:
+        """The path of the container that the best-scored ones, on ``path``, are the larger part of.
+
+        From the first of them outwards: an article around it is taken, and any container that adds only text of its own, or of parts of
+        an article, no more than there is so far and little of it in links. The page, its body and what
+        has other divisions with text beside the best end the way.
+        """
+        own: dict[int, list[int]] = {}
+        for where, text, linked in self.blocks():
+            while self.tag[where] not in CONTAINERS:
+                where = self.parent[where]
+            n = own.setdefault(where, [0, 0])
+            n[0] += len(text)
+            n[1] += linked
+        inside = self.on_path(path)
+        if not inside:
+            return path
+        at, last, have, best = inside[0], self.beyond[inside[0]], 0, path
+        for i in range(at, last):
+            have += own.get(i, (0, 0))[0]
+        while self.tag[at] != "article":
+            up = self.parent[at]
+            while up > 0 and self.tag[up] not in CONTAINERS:
+                up = self.parent[up]
+            if up <= 0 or self.tag[up] in ("body", "html"):
+                break
+            added, linked, apart = 0, 0, False
+            for i in (*range(up, at), *range(last, self.beyond[up])):  # what is new on this step
+                if i in own:
+                    n, in_links = own[i]
+                    if self.path[i] == path or self.path[i].startswith(path + ">"):
+                        have += n
+                    else:
+                        added, linked, apart = added + n, linked + in_links, apart or i != up and self.tag[i] not in PARTS
+            if self.tag[up] != "article" and (apart or added > have or linked > LINKED * added):
+                break
+            at, last, have = up, self.beyond[up], have + added
+            if added or self.tag[up] == "article":
+                best = self.path[up]
+        return best
+
     def on_path(self, path: str) -> list[int]:
         """The containers on a path, without those inside another of them."""
         found: list[int] = []
@@ -307,7 +399,17 @@ def ranked_paths(page: Page) -> list[tuple[str, float, bool]]:
     for i, s in page.scores().items():
         by_path[page.path[i]] = by_path.get(page.path[i], 0.0) + s
         root[page.path[i]] = page.depth[i] < 2
-    return sorted(((p, s, root[p]) for p, s in by_path.items()), key=lambda x: (-x[1], x[0]))
+    ranked = sorted(((p, s, root[p]) for p, s in by_path.items()), key=lambda x: (-x[1], x[0]))
+    if ranked and (around := page.whole(ranked[0][0])) != ranked[0][0]:
+        return [(around, ranked[0][1], False), *(x for x in ranked if x[0] != around)]
+    return ranked
+
+
+def read_page(source: str | None) -> Page:
+    """The page; read again where a class name would hide next to all of it."""
+    page = Page(source or "")
+    kept = page.wrongly_hidden()
+    return Page(source or "", kept) if kept else page
 
 
 def eligible(scores: list[tuple[str, float, bool]], least: float = LEAST) -> list[str]:
@@ -325,7 +427,7 @@ def eligible(scores: list[tuple[str, float, bool]], least: float = LEAST) -> lis
 
 def extract(source: str | None, paths: list[str], least: float = LEAST) -> str:
     """Text of the elements on the first of ``paths`` that the page is eligible for; or of its own best container."""
-    page = Page(source or "")
+    page = read_page(source)
     mine = eligible(ranked_paths(page), least)
     if not mine:
         return page.text([0])
@@ -343,7 +445,7 @@ def ballots(pages: DataFrame) -> DataFrame:
         for b in batches:
             own, mine, votes = [], [], []
             for source in b.column(2):
-                scores = ranked_paths(Page(source.as_py() or ""))
+                scores = ranked_paths(read_page(source.as_py()))
                 of = eligible(scores)
                 own.append(of[0] if of else None)
                 mine.append(sorted(of))
@@ -378,6 +480,7 @@ def main_text(pages: DataFrame) -> DataFrame:
     """``(page_id, url, text, n_chars)`` of every row of ``pages``.
 
     * null and empty html give an empty text; a null url is a host of its own;
+    * paths with equal votes go by their names; of a header in an article the headings are kept, other text of it isn't;
     * whole pages are read, at any length; repeated rows each come back;
     * an empty table gives an empty result; other columns are ignored, whatever their names.
 
