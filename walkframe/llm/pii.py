@@ -44,11 +44,19 @@ PHONE = (
 COUNTRY = "^(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
 MALE = r"Mr|Herr|Herrn|Monsieur|Señor|Signor|г-н|господин"
 FEMALE = r"Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Signora|г-жа|госпожа"
-PERSON = rf"(?<![\p{{L}}\p{{N}}])(?:{MALE}|{FEMALE})\.? \p{{Lu}}\p{{L}}+(?:[ \-]\p{{Lu}}\p{{L}}+){{0,2}}"
+NEUTRAL = "Dr|Prof|Professor|Doktor|Dott|Dra|Ing|Sir|Lady|Lord|Dame|Rev|др|проф"
+MALE, FEMALE, NEUTRAL = (f"{titles}|{titles.upper()}" for titles in (MALE, FEMALE, NEUTRAL))
+TITLES = f"{MALE}|{FEMALE}|{NEUTRAL}"
+#: One to four titles in a row, and each word of a name: not a title itself, with an apostrophe after its first letter or without.
+HEAD = rf"(?:(?:{TITLES})\.? ){{1,4}}"
+NAME = rf"(?!(?:{TITLES})(?![\p{{L}}\p{{N}}]))\p{{Lu}}(?:['’]\p{{Lu}})?\p{{L}}+"
+PERSON = rf"(?<![\p{{L}}\p{{N}}]){HEAD}{NAME}(?:[ \-]{NAME}){{0,2}}"
 KINDS = (("email", EMAIL), ("credential", CREDENTIAL), ("iban", IBAN), ("ip", IP), ("ssn", SSN), ("card", CARD), ("phone", PHONE), ("person", PERSON))
 ANY = "|".join(f"(?:{p})" for _, p in KINDS)
 
-HONORIFICS = f"{MALE}|{FEMALE}".split("|")
+#: The same, and capitalised words, for texts in which persons are found.
+MENTIONS = rf"{ANY}|(?:(?<![\p{{L}}\p{{N}}]){NAME}(?![\p{{L}}\p{{N}}]))"
+HONORIFICS = sorted(set(TITLES.split("|")))
 #: Without any of these in it, a text has no entity: a digit or @, a hexadecimal key of letters alone, the start of a key, an honorific.
 SIGNS = "[0-9@]|[a-f]{32}|[A-F]{32}"
 KEYS = ("AKIA", *(f"{p}{c}" for p in ("sk", "pk", "ghp", "gho", "xoxb") for c in "-_"))
@@ -132,7 +140,8 @@ def canonical(kind: Column, entity: Column) -> Column:
 
 
 def gender(entity: Column) -> Column:
-    return F.when(entity.rlike(rf"^(?:{FEMALE})\.? "), "female").otherwise("male")
+    title = lambda which: entity.rlike(rf"^(?:(?:{TITLES})\.? )*(?:{which})\.? ")
+    return F.when(title(FEMALE), "female").when(title(MALE), "male").otherwise("any")
 
 
 def atoms(entities: DataFrame) -> DataFrame:
@@ -142,13 +151,13 @@ def atoms(entities: DataFrame) -> DataFrame:
     without a given name; given names are drawn within their gender. So is the host of a mailbox.
     """
     kind = kind_of(F.col("entity"))
-    names = F.split(F.regexp_replace("entity", r"^\S+ ", ""), r"[ \-]")
+    names = F.split(F.regexp_replace("entity", f"^{HEAD}", ""), r"[ \-]")
     part = lambda atom_kind, atom, shown: F.struct(atom_kind.alias("atom_kind"), atom.alias("atom"), shown.alias("shown"))
     of_person = F.transform(
         names, lambda x, i: part(F.when(i == F.size(names) - 1, "surname").otherwise(F.concat(F.lit("given-"), gender(F.col("entity")))), F.lower(x), x)
     )
-    at = F.split(F.lower("entity"), "@")
-    of_mail = F.array(part(F.lit("mailbox"), at[0], at[0]), part(F.lit("host"), at[1], at[1]))
+    at = F.split("entity", "@")
+    of_mail = F.array(part(F.lit("mailbox"), F.lower(at[0]), at[0]), part(F.lit("host"), F.lower(at[1]), at[1]))
     # digits behind a + begin with a country code, others don't: a kind each, as the code stays
     other_kind = F.when((F.col("kind") == "phone") & F.col("entity").startswith("+"), "phone+").otherwise(F.col("kind"))
     other = F.array(part(other_kind, canonical(F.col("kind"), F.col("entity")), F.col("entity")))
@@ -248,26 +257,40 @@ def laid_out(kind: Column, shown: Column, surrogate: Column) -> Column:
     as_digits = F.concat(each_char(shown, lambda c, i: F.when(c.rlike("[0-9]"), F.substring(surrogate, digits_before(i), F.lit(1))).otherwise(c)), more)
     solid_before = lambda i: F.length(F.regexp_replace(F.substring(shown, F.lit(1), i), " ", ""))
     spaced = each_char(shown, lambda c, i: F.when(c == " ", c).otherwise(F.substring(surrogate, solid_before(i), F.lit(1))))
-    as_name = F.when(shown.rlike(r"^\p{Lu}{2,}$"), F.upper(surrogate)).otherwise(F.initcap(surrogate))
+    as_name = F.when(shown.rlike(r"^[\p{Lu}'’]{2,}$"), F.upper(surrogate)).otherwise(F.initcap(surrogate))
+    as_box = each_char(surrogate, lambda c, i: F.when(F.substring(shown, i, F.lit(1)).rlike(r"\p{Lu}"), F.upper(c)).otherwise(c))
+    as_host = F.when(shown.rlike(r"\p{Lu}") & ~shown.rlike(r"\p{Ll}"), F.upper(surrogate)).otherwise(surrogate)
     return (
         F.when(kind.isin("card", "ssn", "phone", "phone+"), as_digits)
         .when(kind == "iban", spaced)
         .when((kind == "surname") | kind.startswith("given-"), as_name)
+        .when((kind == "mailbox") & shown.rlike(r"\p{Lu}"), as_box)
+        .when(kind == "host", as_host)
         .otherwise(surrogate)
     )
 
 
-def replacements(occurrences: DataFrame, key: str) -> DataFrame:
-    """``(entity, replacement)`` of the distinct entities of ``occurrences``."""
+def replaced_parts(occurrences: DataFrame, key: str) -> DataFrame:
+    """``(entity, kind, n, atom_kind, original, shown)``: what the distinct entities of ``occurrences`` are made of, and what stands for each part."""
     made_of = cut(atoms(occurrences.select("entity").distinct()))
     of_atom = surrogates(made_of, key)
-    parts = made_of.join(of_atom, ["atom_kind", "atom"]).withColumn("shown", laid_out(F.col("atom_kind"), F.col("shown"), F.col("surrogate")))
+    shown = laid_out(F.col("atom_kind"), F.col("shown"), F.col("surrogate"))
+    return made_of.join(of_atom, ["atom_kind", "atom"]).select("entity", "kind", "n", "atom_kind", F.col("shown").alias("original"), shown.alias("shown"))
+
+
+def replacements(occurrences: DataFrame, key: str) -> DataFrame:
+    """``(entity, replacement)`` of the distinct entities of ``occurrences``."""
+    return put_together(replaced_parts(occurrences, key))
+
+
+def put_together(parts: DataFrame) -> DataFrame:
+    """``(entity, replacement)`` of the parts of entities."""
     whole = parts.groupBy("entity", "kind").agg(F.sort_array(F.collect_list(F.struct("n", "shown"))).alias("p"))
     shown = F.transform("p", lambda x: x["shown"])
-    # a person: honorific, then the names with the separators of the original
-    seps = F.split(F.regexp_replace(F.regexp_replace("entity", r"^\S+ ", ""), r"[^ \-]+", "\u0001"), "\u0001")
+    # a person: titles, then the names with the separators of the original
+    seps = F.split(F.regexp_replace(F.regexp_replace("entity", f"^{HEAD}", ""), r"[^ \-]+", "\u0001"), "\u0001")
     names = F.array_join(F.transform(shown, lambda x, i: F.concat(x, F.coalesce(F.get(seps, i + 1), F.lit("")))), "")
-    person = F.concat(F.regexp_extract("entity", r"^\S+ ", 0), names)
+    person = F.concat(F.regexp_extract("entity", f"^{HEAD}", 0), names)
     return whole.select("entity", F.when(F.col("kind") == "person", person).otherwise(F.array_join(shown, "@")).alias("replacement"))
 
 
@@ -285,6 +308,8 @@ def with_surrogates(docs: DataFrame, key: str | None = None) -> DataFrame:
     The same ``key`` gives the same surrogates; by default it is the session's (``KEY``).
 
     * a null text stays null, an empty one empty; ``n_entities`` is then 0;
+    * a person is found by a title; later and earlier mentions of the surname alone, or of given names before it, in the
+      same text are replaced alike and counted; after a title that tells no gender, given names are drawn from names of any;
     * texts are scanned and rewritten whole, at any length, and all between entities stays byte for byte;
     * repeated rows each come back, rewritten alike; a null ``doc_id`` is allowed;
     * an empty table gives an empty result; a column of ``docs`` named ``n_entities`` is replaced,
@@ -301,19 +326,28 @@ def with_surrogates(docs: DataFrame, key: str | None = None) -> DataFrame:
     hits = may.select("row_id", F.regexp_extract_all("text", F.lit(ANY), F.lit(0)).alias("hits"))
     hits = cut(hits.where(F.size("hits") > 0).dropDuplicates(["row_id"]))
     occurrences = hits.select("row_id", F.posexplode("hits").alias("n", "entity"))
-    by_row = (
-        occurrences.join(replacements(occurrences, key), "entity")
-        .groupBy("row_id")
-        .agg(F.sort_array(F.collect_list(F.struct("n", "replacement"))).alias("new"))
-    )
-    between = F.split("text", ANY, -1)
+    parts = cut(replaced_parts(occurrences, key))
+    whole = put_together(parts)
+    # the names of the persons that are found in a text: their other mentions in it follow them
+    of_person = parts.where("kind = 'person'").select("entity", F.col("original").alias("word"), F.struct((F.col("atom_kind") == "surname").alias("surname"), F.col("shown").alias("new")).alias("x"))
+    known = cut(occurrences.join(of_person, "entity").groupBy("row_id", "word").agg(F.max("x").alias("x")).select("row_id", "word", "x.surname", "x.new"))
+    named = known.select("row_id").distinct()
+    words = may.join(named, "row_id", "left_semi").dropDuplicates(["row_id"]).select("row_id", F.posexplode(F.regexp_extract_all("text", F.lit(MENTIONS), F.lit(0))).alias("n", "entity"))
+    words = words.join(whole, "entity", "left").join(known.withColumnRenamed("word", "entity"), ["row_id", "entity"], "left")
+    # a given name is one where the next capitalised word is one of the names, too
+    followed = F.lead(F.col("new").isNotNull(), 1, False).over(W.partitionBy("row_id").orderBy("n"))
+    new = F.coalesce("replacement", F.when(F.col("surname") | followed, F.col("new")))
+    words = words.withColumn("found", new).select("row_id", "n", F.coalesce("found", "entity").alias("replacement"), F.col("found").isNotNull().cast("long").alias("hit"), F.lit(True).alias("named"))
+    others = occurrences.join(named, "row_id", "left_anti").join(whole, "entity").select("row_id", "n", "replacement", F.lit(1).cast("long"), F.lit(False))
+    by_row = words.union(others).groupBy("row_id").agg(F.sort_array(F.collect_list(F.struct("n", "replacement"))).alias("new"), F.sum("hit").alias("hit"), F.max("named").alias("named"))
+    between = F.when(F.col("named"), F.split("text", MENTIONS, -1)).otherwise(F.split("text", ANY, -1))
     # zipped, so that the text is split once, however many entities it has
     pairs = F.zip_with("new", between, lambda x, rest: F.concat(rest, F.coalesce(x["replacement"], F.lit(""))))
     text = F.array_join(pairs, "")
     changed = F.col("new").isNotNull()
     out = (
         may.join(by_row, "row_id", "left")
-        .withColumn("n_entities", F.when(changed, F.size("new")).otherwise(0).cast("long"))
+        .withColumn("n_entities", F.when(changed, F.col("hit")).otherwise(0).cast("long"))
         .withColumn("text", F.when(changed, text).otherwise(F.col("text")))
     )
     value = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
