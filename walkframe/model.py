@@ -41,7 +41,9 @@ class PathGraph:
         for name in ("visit", "node", "segment", "path", "sample", "contig", "tag"):
             try:
                 tables[name] = spark.read.parquet(f"{path}/{name}")
-            except AnalysisException:
+            except AnalysisException as e:
+                if e.getCondition() != "PATH_NOT_FOUND":
+                    raise
                 tables[name] = None
         return cls(**tables)
 
