@@ -12,8 +12,10 @@ by the smallest position that has it, and drops what is unique.
 3. *Offsets 18 to 44.* Pairs of ranks of 32 bytes, at a context's start and at its end (and one between where it is longer
    than 64), give ranks of whole contexts, 50 to 76 bytes. Where an earlier document has the same, all its windows are repeats.
 4. Contexts that differ, but share their anchor's prefix, are taken apart. A window has 26 bytes beside the prefix, so 13 at least
-   on one side: the prefix with 13 bytes to its left and with 13 to its right (37 bytes) are ranked as in 2 and 3, and windows of
-   unique ones dropped. What is left is ranked window by window (offsets 16 and 18).
+   on one side: the prefix with 13 bytes to its left, and with 13 to its right (37 bytes, a *side*), are ranked, and sides that
+   one document alone has are dropped with their windows.
+5. *On to 50.* A window is the rank of its side, the place of the side in it, and the 13 bytes that are left over: one row,
+   sorted and named again.
 
 Ranks stand for bytes that were compared whole, so equality is exact. Equal texts are one class from the start: its first
 document is compared, and the others are removed whole (by SHA-256). Equal contexts of a group of texts are sent once.
@@ -170,6 +172,9 @@ CONTEXTS = "id long, same long, first long, rank long, doc_id long, at long, siz
 CONTEXTS_PA = pa.schema([*((c, pa.int64()) for c in ("id", "same", "first", "rank", "doc_id", "at")), ("size", pa.int32()), ("anchor", pa.int32())])
 PIECES = "place long, k0 long, k1 long, k2 long, k3 long"
 PIECES_PA = pa.schema([(c, pa.int64()) for c in ("place", *KEY)])
+#: ``bytes``: a side with 13 bytes before and 13 after it; ``before``: of these, how many the window that starts at ``start`` has.
+SIDES = "id long, doc_id long, start long, lo int, hi int, before int, bytes binary"
+SIDES_PA = pa.schema([*((c, pa.int64()) for c in ("id", "doc_id", "start")), *((c, pa.int32()) for c in ("lo", "hi", "before")), ("bytes", pa.binary())])
 RESULT = "doc_id long, key string, n_removed long, n_spans long, kept_sha256 string"
 RESULT_PA = pa.schema([("doc_id", pa.int64()), ("key", pa.string()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
 
@@ -283,17 +288,14 @@ def send_pieces(t: pa.Table, strings: pa.Table) -> pa.Table:
     return pa.table([place, *keys], schema=PIECES_PA)
 
 
-def earlier(by_group, strings: DataFrame, distinct: bool = False) -> DataFrame:
-    """``(id, first)`` of the strings that occur again: the smallest doc_id that has the same bytes.
+def earlier(by_group, strings: DataFrame) -> DataFrame:
+    """``(id, first)`` of the strings that another document has as well: the smallest doc_id that has the same bytes.
 
-    ``strings`` has ``id, doc_id, at, size`` (32 to 76 bytes) and ``grp``. Counts and smallest positions are
-    aggregated in the tasks first, so that a popular string is one row of each; it is a hot key of
-    joins only, which adaptive execution splits. Where no group has equal strings (``distinct``), that is
-    done already, and one exchange serves the counts and the join.
+    ``strings`` has ``id, doc_id, at, size`` (50 to 76 bytes) and ``grp``; no group has two that are equal, so
+    a string meets one row a group, and one exchange serves the counts and the join. A popular piece is
+    a hot key of joins only, which adaptive execution splits.
     """
-    pieces = by_group.cogroup(strings.groupBy("grp")).applyInArrow(send_pieces, PIECES)
-    if distinct:
-        pieces = pieces.repartition(*KEY)
+    pieces = by_group.cogroup(strings.groupBy("grp")).applyInArrow(send_pieces, PIECES).repartition(*KEY)
     ranks = pieces.groupBy(*KEY).agg(F.min("place").alias("rank"), F.count("*").alias("n")).where("n > 1").drop("n")
     ranked = pieces.join(ranks.hint("merge"), KEY).select(F.shiftright("place", 2).alias("id"), F.col("place").bitwiseAND(3).alias("slot"), "rank")
     of_slot = [F.max(F.when(F.col("slot") == k, F.col("rank"))).alias(f"rank{k}") for k in range(3)]
@@ -302,8 +304,59 @@ def earlier(by_group, strings: DataFrame, distinct: bool = False) -> DataFrame:
     open_ = stored(pairs.join(strings.select("id", "doc_id", "size"), "id").where(whole).withColumn("rank2", F.coalesce("rank2", F.lit(-1))))
     release(open_.sparkSession)
     name = ["size", "rank0", "rank1", "rank2"]
-    first = open_.groupBy(*name).agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return open_.join(first, name).select("id", "first")
+    return open_.join(smallest(open_, name).select(*name, "first"), name).select("id", "first")
+
+
+def smallest(rows: DataFrame, name: list[str]) -> DataFrame:
+    """``(*name, rank, first)`` of the names that two documents or more have: the smallest id as rank, and the smallest doc_id.
+
+    Aggregated in the tasks first, so a popular name is one row of each.
+    """
+    id_ = F.min("id") if "id" in rows.columns else F.lit(None)
+    of_name = rows.groupBy(*name).agg(id_.alias("rank"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+    return of_name.where("first < last").drop("last").hint("merge")
+
+
+def send_sides(t: pa.Table, sides: pa.Table) -> pa.Table:
+    """From a group: the bytes of each side, with 13 on either side (where the text ends sooner, any: no window has them)."""
+    if not len(t) or not len(sides):
+        return empty(SIDES_PA)
+    group = Group(t)
+    start, at = (sides.column(c).to_numpy() for c in ("start", "at"))
+    _, place = group.find(sides.column("doc_id").to_numpy(), at)
+    width = PREFIX + 3 * SIDE
+    data = np.empty((len(place), width), dtype=np.uint8)
+    for lo in range(0, len(place), STEP):
+        where = place[lo : lo + STEP, None] + np.arange(-SIDE, width - SIDE)
+        data[lo : lo + STEP] = group.bytes[np.clip(where, 0, len(group.bytes) - 1)]
+    offsets = pa.py_buffer(np.arange(0, (len(place) + 1) * width, width, dtype=np.int32))
+    around = pa.Array.from_buffers(pa.binary(), len(place), [None, offsets, pa.py_buffer(data)])
+    kept = [sides.column(c) for c in ("id", "doc_id", "start", "lo", "hi")]
+    return pa.table([*kept, pa.array((at - start).astype(np.int32)), around], schema=SIDES_PA)
+
+
+def repeated_windows(by_group, sides: DataFrame) -> DataFrame:
+    """``(doc_id, at, size)`` of the windows of ``sides`` that an earlier document has as well.
+
+    ``sides`` has ``id, doc_id, start, at, lo, hi`` and ``grp``: 37 bytes at ``at``, and the windows that start ``lo`` to ``hi`` after ``start``.
+    """
+    spark = sides.sparkSession
+    around = stored(by_group.cogroup(sides.groupBy("grp")).applyInArrow(send_sides, SIDES))
+    release(spark)
+    side = around.withColumn("side", F.substring("bytes", SIDE + 1, PREFIX + SIDE))
+    rest = F.concat(F.substring("bytes", 1, SIDE), F.substring("bytes", PREFIX + 2 * SIDE + 1, SIDE))
+    ranked = stored(side.join(smallest(side, ["side"]).drop("first"), "side").select("rank", "doc_id", "start", "lo", "hi", "before", rest.alias("rest")))
+    release(spark)
+    windows = ranked.withColumn("k", F.explode(F.sequence("lo", "hi"))).withColumn("p", F.col("before") - F.col("k"))
+    # of the 13 bytes before the side the last p, and of those after it the first 13 - p: neighbours in rest
+    windows = windows.select(
+        (F.col("rank") * 16 + F.col("p")).alias("side"), F.substring("rest", SIDE + 1 - F.col("p"), F.lit(SIDE)).alias("rest"), "doc_id", (F.col("start") + F.col("k")).alias("at")
+    )
+    name = ["side", "rest"]
+    repeats = windows.join(smallest(windows, name).drop("rank"), name).where("doc_id > first")
+    repeats = stored(repeats.select("doc_id", "at", F.lit(LENGTH).alias("size")))
+    release(spark)
+    return repeats
 
 
 def remove(t: pa.Table, repeats: pa.Table) -> pa.Table:
@@ -372,7 +425,7 @@ def repeated_bytes_removed(docs: DataFrame) -> DataFrame:
     contexts = stored(by_group.cogroup(replies.groupBy("grp")).applyInArrow(open_contexts(buckets), CONTEXTS))
     release(spark)
     # ranks of contexts
-    found = earlier(by_group, contexts.where("id = same").withColumn("grp", group_of), distinct=True)
+    found = earlier(by_group, contexts.where("id = same").withColumn("grp", group_of))
     judged = contexts.join(found.select(F.col("id").alias("same"), F.col("first").alias("before")), "same", "left")
     judged = stored(judged.select("id", "rank", "doc_id", "at", "size", "anchor", F.coalesce("before", "first").alias("first")))
     release(spark)
@@ -385,17 +438,9 @@ def repeated_bytes_removed(docs: DataFrame) -> DataFrame:
     lo = F.greatest(F.lit(0), F.col("anchor") - SIDE + 1)
     right = F.struct((F.col("id") * 2 + 1).alias("id"), (F.col("at") + F.col("anchor")).alias("at"), lo.alias("lo"), last.alias("hi"))
     sides = asked.select("doc_id", F.col("at").alias("start"), F.explode(F.array(left, right)).alias("side"))
-    sides = sides.select("doc_id", "start", "side.*", F.lit(PREFIX + SIDE).alias("size"), group_of).where("lo <= hi")
-    sides = stored(sides)
-    shared_sides = stored(sides.join(earlier(by_group, sides), "id", "left_semi"))
-    release(spark)
-    windows = shared_sides.select("id", "doc_id", "start", F.explode(F.sequence("lo", "hi")).alias("k"))
-    windows = windows.select((F.col("id") * 32 + F.col("k")).alias("id"), "doc_id", (F.col("start") + F.col("k")).alias("at"), F.lit(LENGTH).alias("size"))
-    windows = stored(windows).withColumn("grp", group_of)
-    open_repeats = windows.join(earlier(by_group, windows), "id").where("doc_id > first").select("doc_id", "at", "size", "grp")
-    open_repeats = stored(open_repeats)
-    release(spark)
-    repeats = judged.where("doc_id > first").select("doc_id", "at", "size", group_of).union(open_repeats)
+    sides = sides.select("doc_id", "start", "side.*", group_of).where("lo <= hi")
+    open_repeats = repeated_windows(by_group, sides)
+    repeats = judged.where("doc_id > first").select("doc_id", "at", "size", group_of).union(open_repeats.withColumn("grp", group_of))
     kept = by_group.cogroup(repeats.groupBy("grp")).applyInArrow(remove, RESULT)
     # copies of a text go whole, but for the first
     whole = F.coalesce((F.col("doc_id") > F.col("rep")) & (F.col("n_bytes") >= LENGTH), F.lit(False))
