@@ -31,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from walkframe.session import cut, release, stored
+from walkframe.session import cut, discard, release, stored
 
 LENGTH = 50
 PREFIX = 24
@@ -304,7 +304,9 @@ def earlier(by_group, strings: DataFrame) -> DataFrame:
     open_ = stored(pairs.join(strings.select("id", "doc_id", "size"), "id").where(whole).withColumn("rank2", F.coalesce("rank2", F.lit(-1))))
     release(open_.sparkSession)
     name = ["size", "rank0", "rank1", "rank2"]
-    return open_.join(smallest(open_, name).select(*name, "first"), name).select("id", "first")
+    found = stored(open_.join(smallest(open_, name).select(*name, "first"), name).select("id", "first"))
+    discard(open_)
+    return found
 
 
 def smallest(rows: DataFrame, name: list[str]) -> DataFrame:
@@ -346,6 +348,7 @@ def repeated_windows(by_group, sides: DataFrame) -> DataFrame:
     side = around.withColumn("side", F.substring("bytes", SIDE + 1, PREFIX + SIDE))
     rest = F.concat(F.substring("bytes", 1, SIDE), F.substring("bytes", PREFIX + 2 * SIDE + 1, SIDE))
     ranked = stored(side.join(smallest(side, ["side"]).drop("first"), "side").select("rank", "doc_id", "start", "lo", "hi", "before", rest.alias("rest")))
+    discard(around)
     release(spark)
     windows = ranked.withColumn("k", F.explode(F.sequence("lo", "hi"))).withColumn("p", F.col("before") - F.col("k"))
     # of the 13 bytes before the side the last p, and of those after it the first 13 - p: neighbours in rest
@@ -355,6 +358,7 @@ def repeated_windows(by_group, sides: DataFrame) -> DataFrame:
     name = ["side", "rest"]
     repeats = windows.join(smallest(windows, name).drop("rank"), name).where("doc_id > first")
     repeats = stored(repeats.select("doc_id", "at", F.lit(LENGTH).alias("size")))
+    discard(ranked)
     release(spark)
     return repeats
 
@@ -428,6 +432,8 @@ def repeated_bytes_removed(docs: DataFrame) -> DataFrame:
     found = earlier(by_group, contexts.where("id = same").withColumn("grp", group_of))
     judged = contexts.join(found.select(F.col("id").alias("same"), F.col("first").alias("before")), "same", "left")
     judged = stored(judged.select("id", "rank", "doc_id", "at", "size", "anchor", F.coalesce("before", "first").alias("first")))
+    discard(contexts)
+    discard(found)
     release(spark)
     # contexts of one prefix that differ: each place in a context's first document may hold windows of a smaller doc_id
     differ = judged.groupBy("rank").agg(F.min("first").alias("a"), F.max("first").alias("b")).where("a < b")
