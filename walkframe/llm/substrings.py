@@ -7,10 +7,10 @@ by the smallest position that has it, and drops what is unique.
    position whose 24-byte prefix has the smallest hash is looked at (its anchor, which depends on the window's
    bytes alone), and anchors whose prefix is in one text only are dropped, with all windows they stand for.
    Equal hashes keep too much at most, never too little. What is left are *contexts*: runs of windows of one anchor.
-2. *Offset 16.* Pairs of the 16 bytes at a position and the 16 bytes after them, compared as they are,
-   give ranks of 32 bytes. Unique ones, and the contexts that hold them, are dropped.
-3. *Offsets 18 to 44.* Pairs of ranks of 32 bytes, at a context's start and at its end (and one between where it is longer
-   than 64), give ranks of whole contexts, 50 to 76 bytes. Where an earlier document has the same, all its windows are repeats.
+2. *Offset 16.* Pairs of the first 16 bytes of a context and the 16 bytes after them, compared as they are,
+   give ranks of 32 bytes. Unique ones are dropped.
+3. *Offset 32.* Pairs of these ranks and the 18 to 44 bytes that follow give ranks of whole contexts, 50 to 76 bytes.
+   Where an earlier document has the same, all its windows are repeats.
 4. Contexts that differ, but share their anchor's prefix, are taken apart. A window has 26 bytes beside the prefix, so 13 at least
    on one side: the prefix with 13 bytes to its left, and with 13 to its right (37 bytes, a *side*), are ranked, and sides that
    one document alone has are dropped with their windows.
@@ -170,8 +170,11 @@ REPLY = "grp int, bucket int, shared binary"
 REPLY_PA = pa.schema([("grp", pa.int32()), ("bucket", pa.int32()), ("shared", pa.binary())])
 CONTEXTS = "id long, same long, first long, rank long, doc_id long, at long, size int, anchor int"
 CONTEXTS_PA = pa.schema([*((c, pa.int64()) for c in ("id", "same", "first", "rank", "doc_id", "at")), ("size", pa.int32()), ("anchor", pa.int32())])
-PIECES = "place long, k0 long, k1 long, k2 long, k3 long"
-PIECES_PA = pa.schema([(c, pa.int64()) for c in ("place", *KEY)])
+STARTS = "id long, doc_id long, at long, size int, k0 long, k1 long, k2 long, k3 long"
+STARTS_PA = pa.schema([*((c, pa.int64()) for c in ("id", "doc_id", "at")), ("size", pa.int32()), *((c, pa.int64()) for c in KEY)])
+#: ``rest``: what follows the bytes that ``rank`` stands for.
+RESTS = "id long, doc_id long, rank long, rest binary"
+RESTS_PA = pa.schema([*((c, pa.int64()) for c in ("id", "doc_id", "rank")), ("rest", pa.binary())])
 #: ``bytes``: a side with 13 bytes before and 13 after it; ``before``: of these, how many the window that starts at ``start`` has.
 SIDES = "id long, doc_id long, start long, lo int, hi int, before int, bytes binary"
 SIDES_PA = pa.schema([*((c, pa.int64()) for c in ("id", "doc_id", "start")), *((c, pa.int32()) for c in ("lo", "hi", "before")), ("bytes", pa.binary())])
@@ -271,51 +274,60 @@ def open_contexts(buckets: int):
     return run
 
 
-def send_pieces(t: pa.Table, strings: pa.Table) -> pa.Table:
-    """From a group: the 32 bytes at the start and at the end of each string (and after the first 32 of those over 64), as four numbers."""
+def send_starts(t: pa.Table, strings: pa.Table) -> pa.Table:
+    """From a group: the first 32 bytes of each string as four numbers."""
     if not len(t) or not len(strings):
-        return empty(PIECES_PA)
+        return empty(STARTS_PA)
     group = Group(t)
-    number, doc, at, size = (strings.column(c).to_numpy() for c in ("id", "doc_id", "at", "size"))
-    start = group.find(doc, at)[1]
-    over = size > 2 * RANKED
-    place = np.concatenate([number * 4, number * 4 + 1, number[over] * 4 + 2])
-    where = np.concatenate([start, start + size - RANKED, start[over] + RANKED])
-    keys = np.empty((len(KEY), len(where)), dtype=np.int64)
-    for lo in range(0, len(where), STEP):
-        part = group.bytes[where[lo : lo + STEP, None] + np.arange(RANKED)]
+    start = group.find(strings.column("doc_id").to_numpy(), strings.column("at").to_numpy())[1]
+    keys = np.empty((len(KEY), len(start)), dtype=np.int64)
+    for lo in range(0, len(start), STEP):
+        part = group.bytes[start[lo : lo + STEP, None] + np.arange(RANKED)]
         keys[:, lo : lo + STEP] = part.view("<i8").T
-    return pa.table([place, *keys], schema=PIECES_PA)
+    return pa.table([*(strings.column(c) for c in ("id", "doc_id", "at", "size")), *keys], schema=STARTS_PA)
+
 
+def send_rests(t: pa.Table, strings: pa.Table) -> pa.Table:
+    """From a group: what follows the first 32 bytes of each string, beside their rank."""
+    if not len(t) or not len(strings):
+        return empty(RESTS_PA)
+    group = Group(t)
+    size = strings.column("size").to_numpy() - RANKED
+    start = group.find(strings.column("doc_id").to_numpy(), strings.column("at").to_numpy())[1] + RANKED
+    offsets = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
+    data = np.empty(int(offsets[-1]), dtype=np.uint8)
+    for lo in range(0, len(start), STEP):
+        n, to = size[lo : lo + STEP], offsets[lo : lo + STEP + 1]  # one offset more than sizes
+        data[to[0] : to[-1]] = group.bytes[np.repeat(start[lo : lo + STEP] - to[:-1], n) + np.arange(to[0], to[-1])]
+    rest = pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data)])
+    return pa.table([*(strings.column(c) for c in ("id", "doc_id", "rank")), rest], schema=RESTS_PA)
 
-def earlier(by_group, strings: DataFrame) -> DataFrame:
+
+def earlier(by_group, strings: DataFrame, group_of) -> DataFrame:
     """``(id, first)`` of the strings that another document has as well: the smallest doc_id that has the same bytes.
 
     ``strings`` has ``id, doc_id, at, size`` (50 to 76 bytes) and ``grp``; no group has two that are equal, so
-    a string meets one row a group, and one exchange serves the counts and the join. A popular piece is
-    a hot key of joins only, which adaptive execution splits.
+    a string meets one row a group, and one exchange serves each round's counts and join. A popular start is
+    a hot key of the first round's join, which adaptive execution splits.
     """
-    pieces = by_group.cogroup(strings.groupBy("grp")).applyInArrow(send_pieces, PIECES).repartition(*KEY)
-    ranks = pieces.groupBy(*KEY).agg(F.min("place").alias("rank"), F.count("*").alias("n")).where("n > 1").drop("n")
-    ranked = pieces.join(ranks.hint("merge"), KEY).select(F.shiftright("place", 2).alias("id"), F.col("place").bitwiseAND(3).alias("slot"), "rank")
-    of_slot = [F.max(F.when(F.col("slot") == k, F.col("rank"))).alias(f"rank{k}") for k in range(3)]
-    pairs = ranked.groupBy("id").agg(*of_slot)
-    whole = F.col("rank0").isNotNull() & F.col("rank1").isNotNull() & (F.col("rank2").isNotNull() | (F.col("size") <= 2 * RANKED))
-    open_ = stored(pairs.join(strings.select("id", "doc_id", "size"), "id").where(whole).withColumn("rank2", F.coalesce("rank2", F.lit(-1))))
-    release(open_.sparkSession)
-    name = ["size", "rank0", "rank1", "rank2"]
-    found = stored(open_.join(smallest(open_, name).select(*name, "first"), name).select("id", "first"))
-    discard(open_)
+    spark = strings.sparkSession
+    starts = by_group.cogroup(strings.groupBy("grp")).applyInArrow(send_starts, STARTS).repartition(*KEY)
+    ranked = stored(starts.join(smallest(starts, KEY).drop("first"), KEY).select("id", "doc_id", "at", "size", "rank"))
+    release(spark)
+    rests = by_group.cogroup(ranked.withColumn("grp", group_of).groupBy("grp")).applyInArrow(send_rests, RESTS).repartition("rank", "rest")
+    found = stored(rests.join(smallest(rests, ["rank", "rest"]), ["rank", "rest"]).select("id", "first"))
+    discard(ranked)
+    release(spark)
     return found
 
 
 def smallest(rows: DataFrame, name: list[str]) -> DataFrame:
-    """``(*name, rank, first)`` of the names that two documents or more have: the smallest id as rank, and the smallest doc_id.
+    """``(*name, rank, first)`` of the names that two documents or more have: the smallest id as rank (where ``rows`` have an id and no rank), and the smallest doc_id.
 
     Aggregated in the tasks first, so a popular name is one row of each.
     """
-    id_ = F.min("id") if "id" in rows.columns else F.lit(None)
-    of_name = rows.groupBy(*name).agg(id_.alias("rank"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+    id_ = [] if "rank" in name or "id" not in rows.columns else [F.min("id").alias("rank")]
+    of_name = rows.groupBy(*name).agg(*id_, F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
     return of_name.where("first < last").drop("last").hint("merge")
 
 
@@ -356,7 +368,7 @@ def repeated_windows(by_group, sides: DataFrame) -> DataFrame:
         (F.col("rank") * 16 + F.col("p")).alias("side"), F.substring("rest", SIDE + 1 - F.col("p"), F.lit(SIDE)).alias("rest"), "doc_id", (F.col("start") + F.col("k")).alias("at")
     )
     name = ["side", "rest"]
-    repeats = windows.join(smallest(windows, name).drop("rank"), name).where("doc_id > first")
+    repeats = windows.join(smallest(windows, name), name).where("doc_id > first")
     repeats = stored(repeats.select("doc_id", "at", F.lit(LENGTH).alias("size")))
     discard(ranked)
     release(spark)
@@ -429,7 +441,7 @@ def repeated_bytes_removed(docs: DataFrame) -> DataFrame:
     contexts = stored(by_group.cogroup(replies.groupBy("grp")).applyInArrow(open_contexts(buckets), CONTEXTS))
     release(spark)
     # ranks of contexts
-    found = earlier(by_group, contexts.where("id = same").withColumn("grp", group_of))
+    found = earlier(by_group, contexts.where("id = same").withColumn("grp", group_of), group_of)
     judged = contexts.join(found.select(F.col("id").alias("same"), F.col("first").alias("before")), "same", "left")
     judged = stored(judged.select("id", "rank", "doc_id", "at", "size", "anchor", F.coalesce("before", "first").alias("first")))
     discard(contexts)
