@@ -304,7 +304,7 @@ def send_rests(t: pa.Table, strings: pa.Table) -> pa.Table:
 
 
 def earlier(by_group, strings: DataFrame, group_of) -> DataFrame:
-    """``(id, first)`` of the strings that another document has as well: the smallest doc_id that has the same bytes.
+    """``(id, first)`` of the strings that an earlier document has as well: the smallest doc_id that has the same bytes.
 
     ``strings`` has ``id, doc_id, at, size`` (50 to 76 bytes) and ``grp``; no group has two that are equal, so
     a string meets one row a group, and one exchange serves each round's counts and join. A popular start is
@@ -315,7 +315,7 @@ def earlier(by_group, strings: DataFrame, group_of) -> DataFrame:
     ranked = stored(starts.join(smallest(starts, KEY).drop("first"), KEY).select("id", "doc_id", "at", "size", "rank"))
     release(spark)
     rests = by_group.cogroup(ranked.withColumn("grp", group_of).groupBy("grp")).applyInArrow(send_rests, RESTS).repartition("rank", "rest")
-    found = stored(rests.join(smallest(rests, ["rank", "rest"]), ["rank", "rest"]).select("id", "first"))
+    found = stored(rests.join(smallest(rests, ["rank", "rest"]), ["rank", "rest"]).where("doc_id > first").select("id", "first"))
     discard(ranked)
     release(spark)
     return found
@@ -359,16 +359,17 @@ def repeated_windows(by_group, sides: DataFrame) -> DataFrame:
     release(spark)
     side = around.withColumn("side", F.substring("bytes", SIDE + 1, PREFIX + SIDE))
     rest = F.concat(F.substring("bytes", 1, SIDE), F.substring("bytes", PREFIX + 2 * SIDE + 1, SIDE))
-    ranked = stored(side.join(smallest(side, ["side"]).drop("first"), "side").select("rank", "doc_id", "start", "lo", "hi", "before", rest.alias("rest")))
+    ranked = stored(side.join(smallest(side, ["side"]), "side").select("rank", F.col("first").alias("side_first"), "doc_id", "start", "lo", "hi", "before", rest.alias("rest")))
     discard(around)
     release(spark)
     windows = ranked.withColumn("k", F.explode(F.sequence("lo", "hi"))).withColumn("p", F.col("before") - F.col("k"))
     # of the 13 bytes before the side the last p, and of those after it the first 13 - p: neighbours in rest
     windows = windows.select(
-        (F.col("rank") * 16 + F.col("p")).alias("side"), F.substring("rest", SIDE + 1 - F.col("p"), F.lit(SIDE)).alias("rest"), "doc_id", (F.col("start") + F.col("k")).alias("at")
+        (F.col("rank") * 16 + F.col("p")).alias("side"), F.substring("rest", SIDE + 1 - F.col("p"), F.lit(SIDE)).alias("rest"), "doc_id", (F.col("start") + F.col("k")).alias("at"), "side_first"
     )
     name = ["side", "rest"]
-    repeats = windows.join(smallest(windows, name), name).where("doc_id > first")
+    # the first document that has a side has no window of it from an earlier one
+    repeats = windows.where("doc_id > side_first").join(smallest(windows, name), name).where("doc_id > first")
     repeats = stored(repeats.select("doc_id", "at", F.lit(LENGTH).alias("size")))
     discard(ranked)
     release(spark)
@@ -395,13 +396,16 @@ def remove(t: pa.Table, repeats: pa.Table) -> pa.Table:
 
 
 def one_of_each(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of equal texts in a batch, the row with the smallest doc_id: copies don't reach the exchange."""
+    """``(doc_id, key, text)``, the key being the text's SHA-256; of equal texts in a batch the row with the smallest doc_id: copies don't reach the exchange."""
     for b in batches:
         best: dict[str, tuple[int, int]] = {}
-        for i, (d, k) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist())):
+        for i, (d, text) in enumerate(zip(b.column(0).to_pylist(), b.column(1))):
+            k = hashlib.sha256(text.as_buffer()).hexdigest()
             if k not in best or d < best[k][0]:
                 best[k] = (d, i)
-        yield b.take(pa.array(sorted(i for _, i in best.values()), pa.int64()))
+        keys = {i: k for k, (_, i) in best.items()}
+        kept = b.take(pa.array(sorted(keys), pa.int64()))
+        yield pa.RecordBatch.from_arrays([kept.column(0), pa.array([keys[i] for i in sorted(keys)], pa.string()), kept.column(1)], ["doc_id", "key", "text"])
 
 
 def repeated_bytes_removed(docs: DataFrame) -> DataFrame:
@@ -418,9 +422,8 @@ def repeated_bytes_removed(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumn("key", F.sha2("text", 256))
-    rows = rows.select("doc_id", "key", "text")
-    ids = cut(rows.select("doc_id", "key", F.octet_length("text").cast("long").alias("n_bytes")))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
+    ids = cut(rows.select("doc_id", F.sha2("text", 256).alias("key"), F.octet_length("text").cast("long").alias("n_bytes")))
     total = ids.agg(F.sum("n_bytes")).first()[0] or 0
     groups, buckets = max(1, -(-total // GROUP_BYTES)), max(1, -(-total // BUCKET_BYTES))
     group_of = F.pmod(F.xxhash64("doc_id"), F.lit(groups)).cast("int").alias("grp")
