@@ -1,10 +1,11 @@
 """Command line: render a graph as GFA, extract sequences or tags of a contig, time subpath search.
 
     python -m walkframe.cli render GRAPH OUT [--paths default|pan-sn|ref-only]
-    python -m walkframe.cli extract GRAPH OUT [--contig NAME] [--mode sequences|tag-array] [--end CHAR] [--suffix-array FILE]
+    python -m walkframe.cli extract GRAPH OUT [--contig NAME] [--mode sequences|tag-array] [--end CHAR] [--suffix-array FILE] [--bwt FILE] [--raw]
     python -m walkframe.cli search GRAPH [--length 10] [--digits 2]
 
 GRAPH is a GFA file (or a folder of its parts), or a folder that ``PathGraph.write`` made.
+``--raw`` writes plain bytes: parts that are one file in the order of their names. ``--bwt`` counts runs of tags and of that file's bytes.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ import time
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from walkframe.model import PathGraph
-from walkframe.operators import contigs, positions, search, tags
+from walkframe.operators import contigs, search, tags
 from walkframe.sources import gfa, sinks
 
 
@@ -37,19 +38,24 @@ def selected(graph: PathGraph, contig: str | None) -> DataFrame | None:
     return contigs.paths_of_contig(graph.visit, graph.path, found.contig_id, contigs.node_components(graph.visit))
 
 
-def extract(spark: SparkSession, graph: PathGraph, out: str, contig: str | None, mode: str, end: str, suffix_array: str | None) -> None:
+def extract(spark: SparkSession, graph: PathGraph, out: str, contig: str | None, mode: str, end: str, suffix_array: str | None, bwt: str | None = None, raw: bool = False) -> None:
     """Write ``OUT/sequences`` and ``OUT/names``, or ``OUT/tags`` in the order of a suffix array of the sequences."""
     paths = selected(graph, contig)
     if mode == "sequences":
-        sinks.sequence_dump(graph, paths, end).orderBy("path_id").write.mode("overwrite").parquet(f"{out}/sequences")
+        if raw:
+            sinks.write_dump(graph, f"{out}/sequences", paths, end)
+        else:
+            sinks.sequence_dump(graph, paths, end).orderBy("path_id").write.mode("overwrite").parquet(f"{out}/sequences")
         sinks.names_lines(graph, paths).orderBy("path_id").select("line").write.mode("overwrite").text(f"{out}/names")
         return
     if suffix_array is None:
         raise SystemExit("tag-array needs --suffix-array")
     visit = graph.visit if paths is None else graph.visit.join(paths, "path_id", "left_semi")
-    starts = positions.text_offsets(positions.path_lengths(visit, graph.node).select("path_id", "bp"))
-    found = tags.tag_array(tags.tags_of_text(visit, graph.node, starts), gfa.read_suffix_array(spark, suffix_array))
-    sinks.write_tags(found, f"{out}/tags")
+    found = tags.tag_array(tags.tags_of_text(visit, graph.node, sinks.path_starts(graph, paths)), gfa.read_suffix_array(spark, suffix_array))
+    (sinks.write_tag_words if raw else sinks.write_tags)(found, f"{out}/tags")
+    if bwt is not None:
+        print(tags.count_runs(found, "rank", "tag").first().runs, "runs of tags")
+        print(tags.count_runs(gfa.read_bwt(spark, bwt), "rank", "symbol").first().runs, "runs of the BWT")
 
 
 def time_search(graph: PathGraph, length: int, digits: int) -> str:
@@ -78,6 +84,8 @@ def main(argv: list[str] | None = None) -> None:
             c.add_argument("--mode", choices=("sequences", "tag-array"), default="sequences")
             c.add_argument("--end", default="\0", help="character after each sequence")
             c.add_argument("--suffix-array")
+            c.add_argument("--bwt")
+            c.add_argument("--raw", action="store_true")
         if name == "search":
             c.add_argument("--length", type=int, default=10)
             c.add_argument("--digits", type=int, default=2, help="about one visit in 16 ** DIGITS starts a query")
@@ -87,7 +95,7 @@ def main(argv: list[str] | None = None) -> None:
     if a.command == "render":
         sinks.write_gfa(graph, a.out, a.paths)
     elif a.command == "extract":
-        extract(spark, graph, a.out, a.contig, a.mode, a.end, a.suffix_array)
+        extract(spark, graph, a.out, a.contig, a.mode, a.end, a.suffix_array, a.bwt, a.raw)
     else:
         print(time_search(graph, a.length, a.digits))
 

@@ -8,6 +8,7 @@ from walkframe.functions.handles import encode
 from walkframe.functions.names import GENERIC_SAMPLE
 from walkframe.model import PathGraph
 from walkframe.operators.prefix import running_sum
+from walkframe.sources.raw import read_numbers
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -97,13 +98,10 @@ def read_names(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_suffix_array(spark: SparkSession, path: str, skip: int = 1) -> DataFrame:
-    """``(rank, text_offset)``: little-endian 64-bit integers, the first ``skip`` left out.
+    """``(rank, text_offset)``: little-endian 64-bit integers, the first ``skip`` left out; tasks read ranges of bytes."""
+    return read_numbers(spark, path, skip=skip).select(F.col("at").alias("rank"), F.col("value").alias("text_offset"))
 
-    Fixed-length records, so a large file is split between tasks.
-    """
-    from pyspark.sql import types as T
 
-    raw = spark.sparkContext.binaryRecords(path, 8)
-    schema = T.StructType([T.StructField("at", T.LongType()), T.StructField("text_offset", T.LongType())])
-    numbered = raw.zipWithIndex().map(lambda x: (x[1], int.from_bytes(x[0], "little")))
-    return spark.createDataFrame(numbered, schema).where(F.col("at") >= skip).select((F.col("at") - skip).alias("rank"), "text_offset")
+def read_bwt(spark: SparkSession, path: str, skip: int = 1) -> DataFrame:
+    """``(rank, symbol)``: one byte a suffix, the first ``skip`` left out."""
+    return read_numbers(spark, path, width=1, skip=skip).select(F.col("at").alias("rank"), F.col("value").alias("symbol"))

@@ -6,15 +6,16 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from walkframe.functions.dna import step_prefix, step_suffix
+from walkframe.functions.dna import oriented, step_prefix, step_suffix
 from walkframe.functions.handles import edge_is_canonical, id_of, is_reverse
 from walkframe.functions.names import GENERIC_SAMPLE, pansn_name
 from walkframe.model import PathGraph, names_of_paths
 from walkframe.operators.metadata import reference_samples
 from walkframe.operators.navigation import canonical_edges
-from walkframe.operators.positions import path_dna, path_lengths
+from walkframe.operators.positions import path_dna, path_lengths, path_offsets, text_offsets
 from walkframe.operators.segments import mirrored, segment_links, segment_paths_exact, used_segments
 from walkframe.session import stored
+from walkframe.sources.raw import write_bytes, write_words
 
 TAB = "\t"
 
@@ -135,6 +136,30 @@ def sequence_dump(graph: PathGraph, paths: DataFrame | None = None, end: str = "
     return path_dna(visit, graph.node).select("path_id", F.concat("dna", F.lit(end)).alias("text"))
 
 
+def path_starts(graph: PathGraph, paths: DataFrame | None = None) -> DataFrame:
+    """``(path_id, bp, offset)``: where each (selected) path begins in the dump; a path without visits is an end alone."""
+    bp = path_lengths(graph.visit, graph.node).select("path_id", "bp")
+    if graph.path is not None:
+        bp = graph.path.select("path_id").join(bp, "path_id", "left").select("path_id", F.coalesce("bp", F.lit(0).cast("long")).alias("bp"))
+    return text_offsets(bp if paths is None else bp.join(paths, "path_id", "left_semi"))
+
+
+def dump_pieces(graph: PathGraph, paths: DataFrame | None = None, end: str = "\0") -> DataFrame:
+    """``(at, data)``: the dump in pieces, one a visit and one an end, each with its first byte; no walk meets in a row."""
+    if len(end.encode()) != 1:
+        raise ValueError("an end is one byte")
+    starts = path_starts(graph, paths)
+    at = path_offsets(graph.visit, graph.node).withColumnRenamed("offset", "in_path").withColumn("node_id", id_of("g"))
+    pieces = at.join(graph.node, "node_id").join(starts.select("path_id", "offset"), "path_id")
+    ends = starts.select((F.col("offset") + F.col("bp")).alias("at"), F.lit(end).cast("binary").alias("data"))
+    return pieces.select((F.col("offset") + F.col("in_path")).alias("at"), oriented("seq", "g").cast("binary").alias("data")).union(ends)
+
+
+def write_dump(graph: PathGraph, path: str, paths: DataFrame | None = None, end: str = "\0") -> None:
+    """The dump as plain bytes, in parts that are one file in the order of their names."""
+    write_bytes(dump_pieces(graph, paths, end), path)
+
+
 def names_lines(graph: PathGraph, paths: DataFrame | None = None) -> DataFrame:
     """``(path_id, line)`` of a names file: path, sample, contig, phase, fragment, length."""
     n = names_of_paths(graph).join(path_lengths(graph.visit, graph.node).select("path_id", "bp"), "path_id", "left")
@@ -153,3 +178,8 @@ def write_tags(tags: DataFrame, path: str) -> None:
 
     ordered = tags.repartitionByRange("rank").sortWithinPartitions("rank").select(F.col("tag").cast("long"))
     ordered.mapInArrow(words, "words binary").write.mode("overwrite").parquet(path)
+
+
+def write_tag_words(tags: DataFrame, path: str) -> None:
+    """``(rank, tag)`` as little-endian 64-bit words and nothing else, in parts that are one file in the order of their names."""
+    write_words(tags.select(F.col("rank").alias("at"), F.col("tag").alias("value")), path)
