@@ -11,8 +11,8 @@ from walkframe.model import PathGraph, names_of_paths
 from walkframe.operators import contigs, lcs, lcs_tiles, metadata, navigation, order, positions, ranks, search, segments, subpaths, tags
 from walkframe.operators.components import connected_components, join_components
 from walkframe.plans.base_sql import BASE, EDGES, ORDER
-from walkframe.session import cut
-from walkframe.sources import sinks
+from walkframe.session import cut, shared_path
+from walkframe.sources import gfa as gfa_files, raw, sinks
 from walkframe.sources.projection import event_graph, order_graph
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -852,6 +852,49 @@ def tag_runs(g):
     return tags.count_runs(tags.tag_array(*text_tags(g)), "rank", "tag", 1 << 12)
 
 
+# ---------------------------------------------------------------- plain byte files
+
+
+@over(order_graph, """
+SELECT i * 65536 AS at, substr(text, (i * 65536 + 1)::BIGINT, 65536) AS text
+FROM (SELECT text, unnest(range((length(text) + 65535) // 65536)) AS i FROM (SELECT string_agg(coalesce(dna, '') || '$', '' ORDER BY path_id) AS text FROM path LEFT JOIN dna USING (path_id)))""", DNA)
+def dump_file(g):
+    out = shared_path(g.visit.sparkSession, "dump")
+    sinks.write_dump(g, out, end="$")
+    # a part may end within a block
+    pieces = raw.read_blocks(g.visit.sparkSession, out).groupBy((F.col("at") - F.col("at") % (1 << 16)).alias("block"))
+    parts = pieces.agg(F.sort_array(F.collect_list(F.struct("at", F.decode("data", "US-ASCII").alias("text")))).alias("p"))
+    return parts.select(F.col("block").alias("at"), F.array_join(F.transform("p", lambda x: x["text"]), "").alias("text"))
+
+
+@over(event_graph, "SELECT rank, tag FROM suffixes JOIN ttag USING (text_offset)", TEXT_TAGS)
+def tag_file(g):
+    spark = g.visit.sparkSession
+    text, suffixes = text_tags(g)
+    array, out = shared_path(spark, "suffixes"), shared_path(spark, "tags")
+    # an array that begins with an entry that isn't one of its suffixes, as builders write it
+    first = spark.range(1).select(F.col("id").alias("at"), F.lit(-1).cast("long").alias("value"))
+    raw.write_words(suffixes.select((F.col("rank") + 1).alias("at"), F.col("text_offset").alias("value")).union(first), array)
+    sinks.write_tag_words(tags.tag_array(text, gfa_files.read_suffix_array(spark, array)), out)
+    return raw.read_numbers(spark, out).select(F.col("at").alias("rank"), F.col("value").alias("tag"))
+
+
+@over(event_graph, """
+SELECT sum(CASE WHEN symbol = before THEN 0 ELSE 1 END)::BIGINT AS runs FROM (SELECT symbol, lag(symbol) OVER (ORDER BY rank) AS before FROM (
+  SELECT rank, CASE WHEN text_offset = start THEN '$' ELSE substr(dna, text_offset - start, 1) END AS symbol
+  FROM suffixes JOIN (SELECT *, unnest(range(bp + 1)) + start AS text_offset FROM estart) USING (text_offset)))""", TEXT_TAGS)
+def bwt_runs(g):
+    spark = g.visit.sparkSession
+    _, suffixes = text_tags(g)
+    dump, out = shared_path(spark, "dump"), shared_path(spark, "bwt")
+    sinks.write_dump(g, dump, end="$")
+    # the byte before each suffix; before the whole text, its last one
+    before = raw.read_numbers(spark, dump, width=1).select((F.col("at") + 1).alias("text_offset"), "value")
+    symbol = F.coalesce(F.chr("value"), F.lit("$")).cast("binary").alias("data")
+    raw.write_bytes(suffixes.join(before, "text_offset", "left").select(F.col("rank").alias("at"), symbol), out)
+    return tags.count_runs(gfa_files.read_bwt(spark, out, skip=0), "rank", "symbol", 1 << 12)
+
+
 # ---------------------------------------------------------------- scalars over tables
 
 

@@ -47,11 +47,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def shared_path(spark: SparkSession, kind: str = "table") -> str:
+    """A new place in the checkpoint folder."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{kind}-{uuid.uuid4().hex}"
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Write ``df`` as a compressed table to the checkpoint folder and read it again."""
     spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
+    path = shared_path(spark)
     df.write.parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     table._stored_at = path
