@@ -33,7 +33,10 @@ def find_path(graph: PathGraph, queries: DataFrame) -> DataFrame:
     s = graph.sample.withColumnRenamed("name", "sample")
     c = graph.contig.withColumnRenamed("name", "contig")
     q = queries.join(s, "sample", "left").join(c, "contig", "left")
-    hits = q.join(graph.path, ["sample_id", "contig_id", "phase", "fragment"]).groupBy("query_id").agg(F.min("path_id").alias("path_id"))
+    # a name is one row, however many paths have it
+    key = ["sample_id", "contig_id", "phase", "fragment"]
+    first = graph.path.groupBy(*key).agg(F.min("path_id").alias("path_id"))
+    hits = q.join(first, key).groupBy("query_id").agg(F.min("path_id").alias("path_id"))
     return queries.select("query_id").join(hits, "query_id", "left")
 
 
