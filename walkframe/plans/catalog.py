@@ -304,8 +304,7 @@ numbered AS (SELECT *, sum(new) OVER (PARTITION BY g ORDER BY off) AS run FROM f
 runs AS (SELECT g, next_g, min(off) AS start, count(*) AS len FROM numbered GROUP BY g, next_g, run)
 SELECT g, next_g, start, len, coalesce(sum(len) OVER (PARTITION BY g, next_g ORDER BY start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM runs""", ORDER)
 def rank_runs(g):
-    # of these tables no handle fills a block
-    return rank_tables(g).pieces.select("g", "next_g", "start", "len", F.col("inside").alias("before"))
+    return ranks.whole_runs(rank_tables(g))
 
 
 @over(event_graph, """
