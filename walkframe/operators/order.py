@@ -70,6 +70,18 @@ def ranked(rows: DataFrame) -> DataFrame:
     return rows.join(rank, "key").select(*keep, F.col("new_rank").alias("rank"))
 
 
+def ranked_apart(rows: DataFrame) -> DataFrame:
+    """The same where no two keys are equal: keys are sorted once, and neither counted nor joined with, nor kept."""
+    keep = [c for c in rows.columns if c not in ("key", "rank")]
+    at = F.monotonically_increasing_id()  # the partition, and the place in it
+    ordered = cut(rows.repartitionByRange("key").sortWithinPartitions("key").select(*keep, at.alias("_at")))
+    ordered = ordered.withColumn("_part", F.shiftright("_at", 33))
+    parts = ordered.groupBy("_part").agg(F.count("*").alias("n"))  # one row a partition
+    before = F.coalesce(F.sum("n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    rank = F.col("before") + F.col("_at") - F.shiftleft("_part", 33)
+    return ordered.join(parts.select("_part", before.alias("before")), "_part").select(*keep, rank.alias("rank"))
+
+
 def visit_order(seqs: DataFrame, longest: int | None = None) -> DataFrame:
     """``(g, off, seq_id, pos)`` of every visit; ``longest`` (visits a walk, if known) picks the way."""
     if longest is None:

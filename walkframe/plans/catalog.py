@@ -837,7 +837,7 @@ def text_tags(g: PathGraph) -> tuple[DataFrame, DataFrame]:
     suffix = dna_of.select("path_id", "offset", "dna", F.explode(F.expr("sequence(0L, bp)")).alias("i")).select(
         (F.col("offset") + F.col("i")).alias("text_offset"), F.struct(F.expr("substring(dna, int(i) + 1)").alias("suffix"), "path_id").alias("key")
     )
-    return tags.tags_of_text(g.visit, g.node, starts), order.ranked(suffix)
+    return tags.tags_of_text(g.visit, g.node, starts), order.ranked_apart(suffix)
 
 
 @over(event_graph, "SELECT rank, tag FROM suffixes JOIN ttag USING (text_offset)", TEXT_TAGS)
