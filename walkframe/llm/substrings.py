@@ -218,7 +218,27 @@ def shared_ranks(t: pa.Table) -> pa.Table:
     return pa.table({"grp": t.column("grp"), "bucket": t.column("bucket"), "shared": pa.array(own, pa.binary())})
 
 
-def first_equal(group: Group, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+def first_equal(group: Group, start: np.ndarray, size: np.ndarray, rank: np.ndarray, step: int = STEP) -> np.ndarray:
+    """For each context of a group, which one is the first with the same bytes.
+
+    Equal ones have one anchor, so one prefix rank, and one size: only those that share both are compared, some ``step`` at a time.
+    """
+    same, order = np.arange(len(start)), np.lexsort((size, rank))
+    new = np.flatnonzero(np.concatenate([[True], (rank[order[1:]] != rank[order[:-1]]) | (size[order[1:]] != size[order[:-1]])]))
+    count = np.diff(np.append(new, len(order)))
+    order = order[np.repeat(count > 1, count)]
+    # whole runs of contexts that may be equal
+    ends = np.cumsum(count[count > 1])
+    at = 0
+    while at < len(order):
+        to = ends[max(np.searchsorted(ends, at + step, side="right") - 1, np.searchsorted(ends, at, side="right"))]
+        some = np.sort(order[at:to])
+        same[some] = some[equal_bytes(group, start[some], size[some])]
+        at = to
+    return same
+
+
+def equal_bytes(group: Group, start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """For each string of a group, which one is the first with the same bytes."""
     widest = int(size.max())
     rows = np.zeros((len(start), widest), dtype=np.uint8)
@@ -267,7 +287,7 @@ def open_contexts(buckets: int):
         rank, doc, at, size, anchor = (np.concatenate(o) for o in out)
         if not len(rank):
             return empty(CONTEXTS_PA)
-        same = first_equal(group, group.find(doc, at)[1], size)
+        same = first_equal(group, group.find(doc, at)[1], size, rank)
         base = t.column("grp")[0].as_py() << 28
         return pa.table([base + np.arange(len(rank)), base + same, doc[same], rank, doc, at, size, anchor], schema=CONTEXTS_PA)
 
