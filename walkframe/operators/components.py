@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from walkframe.session import cut
+from walkframe.session import cut, discard, stored
 
 #: Edges that a task contracts at a time.
 CHUNK = 1 << 18
@@ -88,6 +88,49 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", c
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
 
 
+def contracted_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
+    """``(node, component)`` as of ``connected_components``, for edges of which many are repeated or soon lie within a component; a self edge makes a node its own.
+
+    Each round every node points to the neighbour that comes first in a random order, if before itself, and is merged with
+    the node that this one points to. Distinct edges between what is left go on, so nodes and edges get fewer with each
+    round, whatever the graph's diameter and the order of its ids, until one task's chunk holds them. The least node of a
+    component is carried along, and in the end labels go back round by round, along the pointers.
+    """
+    ends = [F.col(c).cast("long") for c in (src, dst)]
+    e = edges.where(F.col(src).isNotNull() & F.col(dst).isNotNull()).select(F.least(*ends).alias("u"), F.greatest(*ends).alias("v")).distinct()
+    e, merged, low = stored(e), [], None
+    while left := e.count():
+        if left < CHUNK and merged:
+            stars = e.coalesce(1).mapInArrow(contracted, "u long, v long")
+            root = stored(stars.select(F.col("u").alias("node"), F.col("v").alias("root")).union(stars.select("v", "v").distinct()))
+        else:
+            root = stored(pointed(e, len(merged)))
+            root = root.join(root.select(F.col("node").alias("root"), F.col("root").alias("further")), "root").select("node", F.col("further").alias("root"))
+        root = root.withColumn("low", F.col("node")) if low is None else root.join(low.select(F.col("root").alias("node"), "low"), "node")
+        merged.append(stored(root))
+        if left < CHUNK and len(merged) > 1:
+            break
+        low = merged[-1].groupBy("root").agg(F.min("low").alias("low"))
+        side = lambda c: merged[-1].select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
+        apart = e.where("u <> v").join(side("u"), "u").join(side("v"), "v").where("u_root <> v_root")
+        before, e = e, stored(apart.select(F.least("u_root", "v_root").alias("u"), F.greatest("u_root", "v_root").alias("v")).distinct())
+        discard(before)
+    label = edges.sparkSession.createDataFrame([], "root long, final long")
+    for m in reversed(merged):
+        lowest = m.groupBy("root").agg(F.min("low").alias("low"))
+        known = lowest.join(label, "root", "left").select("root", F.coalesce("final", "low").alias("final"))
+        label = m.join(known, "root").select(F.col("node").alias("root"), "final")
+    return label.select(F.col("root").alias("node"), F.col("final").alias("component"))
+
+
+def pointed(e: DataFrame, turn: int) -> DataFrame:
+    """``(node, root)``: of a node and its neighbours, the one that comes first in the ``turn``-th random order."""
+    place = lambda c: F.xxhash64(c, F.lit(turn))
+    both = e.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e"))
+    first = both.groupBy(F.col("e.u").alias("node")).agg(F.min_by("e.v", place("e.v")).alias("first"))
+    return first.select("node", F.when(place("first") < place("node"), F.col("first")).otherwise(F.col("node")).alias("root"))
+
+
 def join_components(labels: DataFrame, edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """``(node, component)`` after new edges, from the ``labels`` before them; edges that made those aren't read again.
 
@@ -98,6 +141,6 @@ def join_components(labels: DataFrame, edges: DataFrame, src: str = "src", dst:
     known = labels.select("node", "component").union(new)
     side = lambda c: known.select(F.col("node").alias(c), F.col("component").alias(f"{c}_label"))
     links = edges.select(F.col(src).cast("long").alias("a"), F.col(dst).cast("long").alias("b")).join(side("a"), "a").join(side("b"), "b")
-    change = connected_components(links.select("a_label", "b_label"), "a_label", "b_label")
+    change = contracted_components(links.where("a_label <> b_label"), "a_label", "b_label")
     change = change.select(F.col("node").alias("component"), F.col("component").alias("lower")).where("component <> lower")
     return known.join(change, "component", "left").select("node", F.coalesce("lower", "component").alias("component"))

@@ -5,18 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from walkframe.functions.handles import id_of
-from walkframe.operators.components import connected_components
+from walkframe.operators.components import contracted_components
 from walkframe.operators.navigation import steps
 from walkframe.operators.prefix import running_sum
 from walkframe.session import stored
 
 
+def node_links(visit: DataFrame) -> DataFrame:
+    """``(src, dst)`` of adjacent visits; the last visit of a walk is a link with itself, so every node has one and walks are read once."""
+    last, node = F.col("next_g") == 0, id_of("g")
+    return steps(visit).select(node.alias("src"), F.when(last, node).otherwise(id_of("next_g")).alias("dst"))
+
+
 def node_components(visit: DataFrame) -> DataFrame:
     """``(node_id, component)``, the smallest node of each component, for every visited node."""
-    links = steps(visit).where("next_g <> 0").select(id_of("g").alias("src"), id_of("next_g").alias("dst"))
-    label = connected_components(links)
-    nodes = visit.select(id_of("g").alias("node_id")).distinct()
-    return nodes.join(label, nodes.node_id == label.node, "left").select("node_id", F.coalesce("component", "node_id").alias("component"))
+    return contracted_components(node_links(visit)).withColumnRenamed("node", "node_id")
 
 
 def numbered_components(components: DataFrame) -> DataFrame:
