@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -88,34 +89,72 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", c
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
 
 
+def labelled(batches: Iterable[pa.RecordBatch], chunk: int = CHUNK) -> Iterator[pa.RecordBatch]:
+    """Of a task's edges, ``chunk`` at a time: each node, and the smallest one that these edges connect it with."""
+
+    def labels(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        u, v = (np.concatenate([b.column(k).to_numpy() for b in held]) for k in (0, 1))
+        ids, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+        root = roots(len(ids), at[: len(u)], at[len(u) :])
+        return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ids[root])], ["node", "root"])
+
+    held, n = [], 0
+    for b in batches:
+        while n + b.num_rows >= chunk:
+            yield labels([*held, b.slice(0, chunk - n)])
+            b, held, n = b.slice(chunk - n), [], 0
+        if b.num_rows:
+            held, n = [*held, b], n + b.num_rows
+    if held:
+        yield labels(held)
+
+
 def contracted_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """``(node, component)`` as of ``connected_components``, for edges of which many are repeated or soon lie within a component; a self edge makes a node its own.
 
+    Edges of near ids meet in one task, which finds the components of each of its chunks. A node that is in several chunks
+    links what they call its component; only these links, distinct, go into rounds, and there are few where ids follow walks.
+    """
+    ends = [F.col(c).cast("long") for c in (src, dst)]
+    e = edges.where(F.col(src).isNotNull() & F.col(dst).isNotNull()).select(F.least(*ends).alias("u"), F.greatest(*ends).alias("v")).distinct()
+    e, schema = stored(e), "node long, root long"
+    if e.count() < CHUNK:
+        return stored(e.coalesce(1).mapInArrow(partial(labelled, chunk=CHUNK), schema)).withColumnRenamed("root", "component")
+    near = e.repartitionByRange("u", "v").sortWithinPartitions("u", "v")
+    every = stored(near.mapInArrow(partial(labelled, chunk=CHUNK), schema))
+    discard(e)
+    root = stored(every.groupBy("node").agg(F.min("root").alias("root"), F.max("root").alias("other")))
+    several = root.where("root <> other").select("node", F.col("root").alias("low"))
+    links = every.join(several, "node").where("root <> low").select(F.col("low").alias("u"), F.col("root").alias("v")).distinct()
+    label = merged_components(stored(links)).select(F.col("node").alias("root"), "component")
+    return root.join(label, "root", "left").select("node", F.coalesce("component", "root").alias("component"))
+
+
+def merged_components(e: DataFrame) -> DataFrame:
+    """``(node, component)`` of the stored, distinct edges ``(u, v)`` between different nodes.
+
     Each round every node points to the neighbour that comes first in a random order, if before itself, and is merged with
     the node that this one points to. Distinct edges between what is left go on, so nodes and edges get fewer with each
     round, whatever the graph's diameter and the order of its ids, until one task's chunk holds them. The least node of a
     component is carried along, and in the end labels go back round by round, along the pointers.
     """
-    ends = [F.col(c).cast("long") for c in (src, dst)]
-    e = edges.where(F.col(src).isNotNull() & F.col(dst).isNotNull()).select(F.least(*ends).alias("u"), F.greatest(*ends).alias("v")).distinct()
-    e, merged, low = stored(e), [], None
+    spark, merged, low = e.sparkSession, [], None
     while left := e.count():
-        if left < CHUNK and merged:
-            stars = e.coalesce(1).mapInArrow(contracted, "u long, v long")
-            root = stored(stars.select(F.col("u").alias("node"), F.col("v").alias("root")).union(stars.select("v", "v").distinct()))
+        if left < CHUNK:
+            root = stored(e.coalesce(1).mapInArrow(partial(labelled, chunk=CHUNK), "node long, root long"))
         else:
             root = stored(pointed(e, len(merged)))
             root = root.join(root.select(F.col("node").alias("root"), F.col("root").alias("further")), "root").select("node", F.col("further").alias("root"))
         root = root.withColumn("low", F.col("node")) if low is None else root.join(low.select(F.col("root").alias("node"), "low"), "node")
         merged.append(stored(root))
-        if left < CHUNK and len(merged) > 1:
+        if left < CHUNK:
             break
         low = merged[-1].groupBy("root").agg(F.min("low").alias("low"))
         side = lambda c: merged[-1].select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
-        apart = e.where("u <> v").join(side("u"), "u").join(side("v"), "v").where("u_root <> v_root")
+        apart = e.join(side("u"), "u").join(side("v"), "v").where("u_root <> v_root")
         before, e = e, stored(apart.select(F.least("u_root", "v_root").alias("u"), F.greatest("u_root", "v_root").alias("v")).distinct())
         discard(before)
-    label = edges.sparkSession.createDataFrame([], "root long, final long")
+    label = spark.createDataFrame([], "root long, final long")
     for m in reversed(merged):
         lowest = m.groupBy("root").agg(F.min("low").alias("low"))
         known = lowest.join(label, "root", "left").select("root", F.coalesce("final", "low").alias("final"))
