@@ -67,8 +67,8 @@ def exits_of_blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield from out.combine_chunks().to_batches()
 
 
-def marked(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``(walk, block, pos, nth)`` of the visits on the chain from the block's ``entry``, numbered in the block."""
+def marked(batches: Iterable[pa.RecordBatch], keep: tuple[str, ...] = ()) -> Iterator[pa.RecordBatch]:
+    """``(walk, block, pos, nth)``, and the columns to ``keep``, of the visits on the chain from the block's ``entry``, numbered in the block."""
     for t, at in whole_blocks(batches):
         pos = t.column("pos").to_numpy()
         size = np.diff(np.append(at, len(pos)))
@@ -81,7 +81,7 @@ def marked(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank = np.cumsum(on)
         nth = rank - 1 - np.repeat(rank[at] - on[at], size)
         rows = np.flatnonzero(on)
-        out = pa.table({"walk": t.column("walk").take(pa.array(rows)), "block": t.column("block").take(pa.array(rows)), "pos": pos[rows], "nth": nth[rows]})
+        out = pa.table({"walk": t.column("walk").take(pa.array(rows)), "block": t.column("block").take(pa.array(rows)), "pos": pos[rows], "nth": nth[rows], **{c: t.column(c).take(pa.array(rows)) for c in keep}})
         yield from out.combine_chunks().to_batches()
 
 

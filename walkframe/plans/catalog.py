@@ -501,7 +501,7 @@ def segment_paths(g):
 
 @over(order_graph, "SELECT path_id, sv AS seg_no, seg_id, is_rev FROM segment_visit")
 def segment_paths_exact(g):
-    return segments.segment_paths_exact(g.visit, g.segment)
+    return segments.segment_paths_exact(g.visit, g.segment, node=g.node)
 
 
 # ---------------------------------------------------------------- names

@@ -59,7 +59,7 @@ def walk_steps(graph: PathGraph, paths: DataFrame | None = None) -> DataFrame:
     visit = graph.visit if paths is None else graph.visit.join(paths, "path_id", "left_semi")
     if graph.segment is None:
         return visit.select("path_id", F.col("pos").alias("n"), id_of("g").cast("string").alias("name"), is_reverse("g").alias("is_rev"))
-    walks = segment_paths_exact(visit, graph.segment)
+    walks = segment_paths_exact(visit, graph.segment, node=graph.node)
     return walks.join(graph.segment.select("seg_id", "name"), "seg_id").select("path_id", F.col("seg_no").alias("n"), "name", "is_rev")
 
 
