@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
 from walkframe.llm.common import slices, term_bytes, terms_of
+from walkframe.operators.prefix import large
 from walkframe.session import cut, stored
 
 #: A language keeps the terms that occur in so many of its documents.
@@ -30,6 +31,8 @@ SMOOTH = 5
 TERMS = 50
 #: Entries that a task counts in before it hands them on.
 ENTRIES = 1 << 18
+#: Bytes of languages and sources up to which they are broadcast.
+SMALL = 8 << 20
 LETTERS = term_bytes(digits=False)
 
 
@@ -85,24 +88,27 @@ def share(n: Column, total: Column, terms: Column) -> Column:
     return F.call_function("div", a * 100_000, b) * 10_000 + F.call_function("div", (a * 100_000) % b * 10_000, b) + 1
 
 
-def source_divergence(docs: DataFrame, least: int = LEAST, ranks: int = TERMS) -> DataFrame:
+def source_divergence(docs: DataFrame, least: int = LEAST, ranks: int = TERMS, small: int = SMALL) -> DataFrame:
     """``(lang, source, part, item, value, rank)``: distances of sources of a language, and the terms that a source has more of.
 
     * null texts, languages and sources are ``''``; rows count as documents, also repeated ones;
     * a language that keeps no term has pairs at distance 0 and no terms; a source alone in its language has no pairs;
-    * ties go by the item in UTF-8; an empty table gives an empty result; other columns are ignored, whatever their names.
+    * ties go by the item in UTF-8; an empty table gives an empty result; other columns are ignored, whatever their names;
+    * languages with their sources are broadcast below ``small`` bytes in all (counted), terms never.
     """
     index = stored(inverted_index(docs, least))
-    postings = index.select("lang", "term", "lang_n", F.inline("postings"))
+    # Spark takes postings for as small as the file of the index is, packed and before they are taken apart
+    postings = large(index.select("lang", "term", "lang_n", F.inline("postings")))
     totals = postings.groupBy("lang", "source").agg(F.sum("n").alias("total"))
     langs = index.groupBy("lang").agg(F.count("*").alias("terms"), F.sum("lang_n").alias("lang_total"))
-    groups = docs.select(named("lang"), named("source")).distinct().join(totals, ["lang", "source"], "left").join(langs, "lang", "left")
+    groups = docs.select(named("lang"), named("source")).distinct().join(large(totals), ["lang", "source"], "left").join(large(langs), "lang", "left")
     zero = F.lit(0).cast("long")
     groups = groups.select("lang", "source", *[F.coalesce(c, zero).alias(c) for c in ("total", "terms", "lang_total")])
     # without a kept term the baseline is 0 times anything
     groups = cut(groups.withColumn("nothing", F.when(F.col("terms") > 0, share(zero, F.col("total"), F.col("terms"))).otherwise(zero)))
 
-    shares = postings.join(groups, ["lang", "source"]).select(
+    size = groups.agg(F.sum(F.octet_length("lang") + F.octet_length("source") + 64)).first()[0] or 0
+    shares = postings.join(F.broadcast(groups) if size < small else groups, ["lang", "source"]).select(
         "lang", "term", "source", "nothing", share(F.col("n"), F.col("total"), F.col("terms")).alias("p"), share(F.col("lang_n"), F.col("lang_total"), F.col("terms")).alias("q")
     )
     over = shares.where("p > q").select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), (F.col("p") - F.col("q")).alias("value"))
@@ -140,7 +146,7 @@ def corrections_of_one(shares: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def corrections_of_both(shares: DataFrame) -> DataFrame:
     """``(lang, source, item, value)`` for terms that both have, once for each pair: what the one-sided corrections got wrong, summed."""
-    a = shares.select("lang", "term", "source", "p", "nothing")
+    a = large(shares).select("lang", "term", "source", "p", "nothing")
     b = a.select("lang", "term", F.col("source").alias("item"), F.col("p").alias("r"), F.col("nothing").alias("item_nothing"))
     apart = lambda x, y: F.abs(F.col(x) - F.col(y))
     off = apart("p", "r") - apart("p", "item_nothing") - apart("nothing", "r") + apart("nothing", "item_nothing")
