@@ -51,15 +51,14 @@ def segment_visits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def order_visits(visits: DataFrame, segment: DataFrame) -> DataFrame:
     """``(path_id, pos, g)``: segment visits taken apart into node visits."""
-    seg = segment.select("seg_id", "node_lo", "node_hi")
+    seg = segment.select("seg_id", "node_lo", (F.col("node_hi") - F.col("node_lo")).alias("nn"))
     before = W.partitionBy("path_id").orderBy("sv").rowsBetween(W.unboundedPreceding, -1)
     steps = (
         visits.join(seg, "seg_id")
-        .withColumn("nn", F.col("node_hi") - F.col("node_lo"))
         .withColumn("before", F.coalesce(F.sum("nn").over(before), F.lit(0)))
         .withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nn") - 1)))
     )
-    node = F.when(F.col("is_rev"), F.col("node_hi") - 1 - F.col("i")).otherwise(F.col("node_lo") + F.col("i"))
+    node = F.when(F.col("is_rev"), F.col("node_lo") + F.col("nn") - 1 - F.col("i")).otherwise(F.col("node_lo") + F.col("i"))
     return steps.select("path_id", (F.col("before") + F.col("i")).cast("long").alias("pos"), encode(node, "is_rev").alias("g"))
 
 
