@@ -859,10 +859,13 @@ FROM (SELECT text, unnest(range((length(text) + 65535) // 65536)) AS i FROM (SEL
 def dump_file(g):
     out = shared_path(g.visit.sparkSession, "dump")
     sinks.write_dump(g, out, end="$")
-    # a part may end within a block
-    pieces = raw.read_blocks(g.visit.sparkSession, out).groupBy((F.col("at") - F.col("at") % (1 << 16)).alias("block"))
-    parts = pieces.agg(F.sort_array(F.collect_list(F.struct("at", F.decode("data", "US-ASCII").alias("text")))).alias("p"))
-    return parts.select(F.col("block").alias("at"), F.array_join(F.transform("p", lambda x: x["text"]), "").alias("text"))
+    pieces = raw.read_blocks(g.visit.sparkSession, out)
+    whole = F.octet_length("data") == 1 << 16
+    # a part may end within a block; only what it cuts has to meet
+    cuts = pieces.where(~whole).groupBy((F.col("at") - F.col("at") % (1 << 16)).alias("block"))
+    parts = cuts.agg(F.sort_array(F.collect_list(F.struct("at", F.decode("data", "US-ASCII").alias("text")))).alias("p"))
+    parts = parts.select(F.col("block").alias("at"), F.array_join(F.transform("p", lambda x: x["text"]), "").alias("text"))
+    return pieces.where(whole).select("at", F.decode("data", "US-ASCII").alias("text")).union(parts)
 
 
 @over(event_graph, "SELECT rank, tag FROM suffixes JOIN ttag USING (text_offset)", TEXT_TAGS)

@@ -3,8 +3,8 @@
 A Python data source reads a file, or a folder of parts, in ranges of bytes, one task
 a range; nothing is read to number the entries, their places follow from the sizes of
 the files. It writes a folder of parts. Each row says where it belongs, so a task knows
-the byte at which its part begins and names the part after it: in the order of names
-the parts are the file. Parts are written under a name of their own for each attempt of
+the byte at which its part begins and names the part after it (or rows are in order, and the
+commit adds up what tasks wrote): in the order of names the parts are the file. Parts are written under a name of their own for each attempt of
 a task and put in place by the commit, once all are there and no byte is missing or
 written twice; a lost executor's attempt leaves nothing that a reader would see.
 """
@@ -15,10 +15,12 @@ import re
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 from pyspark.sql.types import BinaryType, StructType
@@ -112,11 +114,15 @@ class Written(WriterCommitMessage):
     file: str
     begin: int
     end: int
+    #: place of the task among others
+    task: int
 
 
 class RawWriter(DataSourceArrowWriter):
     def __init__(self, options: dict, schema: StructType):
         self.options = dict(options)
+        #: rows are the bytes, in the order of tasks and of rows in a task
+        self.in_order = "at" not in schema.names
         self.words = not isinstance(schema["data" if "data" in schema.names else "value"].dataType, BinaryType)
         self.run = uuid.uuid4().hex
 
@@ -124,8 +130,11 @@ class RawWriter(DataSourceArrowWriter):
         files, path = opened(self.options)
         return files, path, f"{path}/_writing-{self.run}"
 
-    def laid_out(self, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, list]:
-        """First and last byte of each row, and the bytes in order."""
+    def laid_out(self, batch: pa.RecordBatch, end: int) -> tuple[np.ndarray, np.ndarray, list]:
+        """First and last byte of each row, and the bytes in order; ``end`` is where the rows before end."""
+        if self.in_order:
+            data = b"".join(batch.column("data").to_pylist())
+            return np.array([end]), np.array([end + len(data)]), [data]
         at = batch.column("at").to_numpy(zero_copy_only=False)
         if self.words:
             value = batch.column("value")
@@ -142,7 +151,7 @@ class RawWriter(DataSourceArrowWriter):
             for batch in iterator:
                 if not batch.num_rows:
                     continue
-                first, last, pieces = self.laid_out(batch)
+                first, last, pieces = self.laid_out(batch, end)
                 if out is None:
                     files.create_dir(writing, recursive=True)
                     out, begin, end = files.open_output_stream(file), int(first[0]), int(first[0])
@@ -154,11 +163,16 @@ class RawWriter(DataSourceArrowWriter):
         finally:
             if out is not None:
                 out.close()
-        return Written(file, begin, end)
+        return Written(file, begin, end, TaskContext.get().partitionId())
 
     def commit(self, messages: list[Written | None]) -> None:
         files, path, writing = self.folder()
-        parts, at = sorted((m.begin, m.end, m.file) for m in messages if m is not None and m.begin < m.end), 0
+        written = sorted((m for m in messages if m is not None and m.begin < m.end), key=lambda m: m.task)
+        if self.in_order:
+            ends = [0, *accumulate(m.end for m in written)]
+            parts, at = [(begin, end, m.file) for begin, end, m in zip(ends, ends[1:], written)], 0
+        else:
+            parts, at = sorted((m.begin, m.end, m.file) for m in written), 0
         for begin, end, _ in parts:
             if begin != at:
                 files.delete_dir(writing)
@@ -234,3 +248,10 @@ def write_bytes(pieces: DataFrame, path: str, parts: int | None = None) -> None:
 def placed(rows: DataFrame, path: str, parts: int | None) -> None:
     ordered = rows.repartitionByRange(*[parts] * (parts is not None), "at").sortWithinPartitions("at")
     ordered.write.format(FORMAT).options(**located(rows.sparkSession, path)).mode("overwrite").save()
+
+
+def write_in_order(pieces: DataFrame, path: str, *order: str) -> None:
+    """Write ``data`` of rows with ``order``, no two equal, one after the other; where a row begins follows from what was written before, so it needn't be known."""
+    some = pieces.select(*order, F.col("data").cast("binary").alias("data")).where(F.octet_length("data") > 0)
+    ordered = some.repartitionByRange(*order).sortWithinPartitions(*order).select("data")
+    ordered.write.format(FORMAT).options(**located(pieces.sparkSession, path)).mode("overwrite").save()

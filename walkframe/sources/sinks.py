@@ -19,9 +19,9 @@ from walkframe.operators.metadata import reference_samples
 from walkframe.operators.navigation import canonical_edges
 from walkframe.operators.positions import path_dna, path_lengths, path_offsets, text_offsets
 from walkframe.operators.prefix import large
-from walkframe.operators.segments import chosen, fits, links_entered, mirrored, segment_links, segment_paths_exact, segment_pieces, used_segments, whole_walks
+from walkframe.operators.segments import RUN, chosen, fits, links_entered, mirrored, runs_of_visits, segment_links, segment_paths_exact, segment_pieces, used_segments, whole_walks
 from walkframe.session import stored
-from walkframe.sources.raw import write_bytes, write_words
+from walkframe.sources.raw import write_in_order, write_words
 
 TAB = "\t"
 
@@ -250,9 +250,57 @@ def dump_pieces(graph: PathGraph, paths: DataFrame | None = None, end: str = "\0
     return pieces.select((F.col("offset") + F.col("in_path")).alias("at"), oriented("seq", "g").cast("binary").alias("data")).union(ends)
 
 
+#: Ids of nodes whose sequences are read together, and what a byte of them is on the other strand.
+NODES = 1 << 6
+OTHER = bytes({"A": "T", "C": "G", "G": "C", "T": "A"}.get(chr(b).upper(), "N").encode()[0] for b in range(256))
+
+
+def dna_of_runs(batches: Iterable[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """``(path_id, pos, data)`` of nodes (no ``path_id``) and then runs of each ``part``: the bytes along each run. Nodes of one part are held."""
+    held = None
+    for b in batches:
+        t = pa.Table.from_batches([b])
+        is_run = t.column("path_id").is_valid()
+        node, run = t.filter(pc.invert(is_run)), t.filter(is_run)
+        node = (node if held is None else pa.concat_tables([held, node])).combine_chunks()
+        of, at = (node.column(c).to_numpy() for c in ("part", "lo"))
+        held, at = node.slice(int(np.searchsorted(of, t.column("part")[-1].as_py()))), of * width + at
+        if not run.num_rows:
+            continue
+        seqs = [x or b"" for x in node.column("seq").to_pylist()]
+        before, text = np.concatenate([[0], np.cumsum([len(x) for x in seqs], dtype=np.int64)]), b"".join(seqs)
+        part, lo, n, rev = (run.column(c).to_numpy() for c in ("part", "lo", "len", "is_rev"))
+        lo = part * width + lo
+        begin, end = before[np.searchsorted(at, lo)], before[np.searchsorted(at, lo + n)]
+        # the other strand lies behind the one that nodes have
+        both = text + text.translate(OTHER)[::-1]
+        begin, end = np.where(rev, len(both) - end, begin), np.where(rev, len(both) - begin, end)
+        data = pa.array([both[i:j] for i, j in zip(begin.tolist(), end.tolist())], pa.binary())
+        yield from pa.table([run.column("path_id"), run.column("pos"), data], ["path_id", "pos", "data"]).combine_chunks().to_batches()
+
+
+def dump_runs(graph: PathGraph, paths: DataFrame | None = None, end: str = "\0", width: int = NODES) -> DataFrame:
+    """``(path_id, pos, data)``: the dump in pieces that follow each other by walk and position, one a run of visits over the next ids and one an end."""
+    if len(end.encode()) != 1:
+        raise ValueError("an end is one byte")
+    known = (graph.visit.select("path_id").distinct() if graph.path is None else graph.path.select("path_id")) if paths is None else paths.select("path_id")
+    if paths is not None and graph.path is not None:
+        known = graph.path.select("path_id").join(known, "path_id", "left_semi")
+    known = stored(known)
+    # a table for each task, so visits stay in their order
+    visit = graph.visit.join(known.hint("shuffle_hash"), "path_id", "left_semi").select("path_id", "pos", "g")
+    runs = visit.mapInArrow(lambda x: runs_of_visits(x, width), RUN).select("part", "lo", "len", "path_id", "pos", "is_rev", F.lit(None).cast("binary").alias("seq"))
+    part = F.floor(F.col("node_id") / width)
+    none = [F.lit(None).cast(t) for t in ("long", "long", "boolean")]
+    nodes = graph.node.select(part.alias("part"), (F.col("node_id") - part * width).alias("lo"), F.lit(1).cast("long").alias("len"), *none, F.col("seq").cast("binary").alias("seq"))
+    both = runs.union(nodes).repartition("part").sortWithinPartitions("part", F.col("path_id").isNotNull(), "lo")
+    found = both.mapInArrow(lambda x: dna_of_runs(x, width), "path_id long, pos long, data binary")
+    return found.union(known.select("path_id", F.lit(2**63 - 1).alias("pos"), F.lit(end).cast("binary").alias("data")))
+
+
 def write_dump(graph: PathGraph, path: str, paths: DataFrame | None = None, end: str = "\0") -> None:
-    """The dump as plain bytes, in parts that are one file in the order of their names."""
-    write_bytes(dump_pieces(graph, paths, end), path)
+    """The dump as plain bytes, in parts that are one file in the order of their names; no walk meets in a row."""
+    write_in_order(dump_runs(graph, paths, end), path, "path_id", "pos")
 
 
 def names_lines(graph: PathGraph, paths: DataFrame | None = None) -> DataFrame:
